@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import urls
 from .decontaminate import op7_benchmark_decontamination
+from .langid import op10_language_id
 from .quality import op3_quality_rules
 from .secrets import op1_secret_scan
+from .urls import op9_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -16,7 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_secret_scan,
         op3_quality_rules,
         op7_benchmark_decontamination,
+        op9_url_filters,
+        op10_language_id,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_url_filters": urls.oracle()}
