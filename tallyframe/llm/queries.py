@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from . import urls
 from .decontaminate import op7_benchmark_decontamination
 from .langid import op10_language_id
+from .pieces import op2_sentencepiece
 from .quality import op3_quality_rules
 from .secrets import op1_secret_scan
+from .tokens import op6_token_file
 from .urls import op9_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan,
+        op2_sentencepiece,
         op3_quality_rules,
+        op6_token_file,
         op7_benchmark_decontamination,
         op9_url_filters,
         op10_language_id,
