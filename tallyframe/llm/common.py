@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -20,8 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shipped(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context: they need not have it, nor share a folder with the driver."""
+    sc, top = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(sc, "_package_sent", False) or not top.is_dir():
+        return
+    path = Path(tempfile.mkdtemp()) / f"{top.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for p in sorted(top.rglob("*.py")):
+            out.write(p, p.relative_to(top.parent))
+    sc.addPyFile(str(path))
+    sc._package_sent = True
+
+
 def bounded(spark: SparkSession) -> None:
     """Keep Arrow batches small: a batch of BATCH_ROWS very long texts still fits a worker."""
+    shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

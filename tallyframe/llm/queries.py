@@ -12,6 +12,7 @@ from .langid import op10_language_id
 from .pieces import op2_sentencepiece
 from .quality import op3_quality_rules
 from .secrets import op1_secret_scan
+from .simhash import op8_simhash
 from .tokens import op6_token_file
 from .urls import op9_url_filters
 
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_quality_rules,
         op6_token_file,
         op7_benchmark_decontamination,
+        op8_simhash,
         op9_url_filters,
         op10_language_id,
     )
