@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -93,3 +94,9 @@ def removed(spark: SparkSession, *frames: DataFrame) -> None:
 
 def hex64(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -13,6 +13,8 @@ from .pieces import op2_sentencepiece
 from .quality import op3_quality_rules
 from .secrets import op1_secret_scan
 from .simhash import op8_simhash
+from .substring import op5_substring_dedup
+from .suffixarray import op4_suffix_array_dedup
 from .tokens import op6_token_file
 from .urls import op9_url_filters
 
@@ -22,6 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_secret_scan,
         op2_sentencepiece,
         op3_quality_rules,
+        op4_suffix_array_dedup,
+        op5_substring_dedup,
         op6_token_file,
         op7_benchmark_decontamination,
         op8_simhash,
