@@ -49,13 +49,13 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each has at most SLICE_BYTES of text, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each has at most `most` bytes of text, or one row."""
     for batch in batches:
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(lengths):
-            if i > start and total + n > SLICE_BYTES:
+            if i > start and total + n > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n
@@ -63,7 +63,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(start)
 
 
-def raw_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+def raw_texts(batch: pa.RecordBatch, column: str | int = "text") -> list[bytes]:
     """The texts as UTF-8; null is empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, keyed_text, raw_texts, slices, table
@@ -126,30 +126,45 @@ def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> list:
     return [sc.broadcast([(r.item, r.text.encode()) for r in items.filter(part == k).toLocalIterator()]) for k in range(n)]
 
 
-def search(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, hits (numbers of the hit words, ascending), items (ids as strings, ascending) of every row."""
+def searched(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
+    """The rows, all columns as they were, with `__words`, `__hits` (numbers of the hit words) and `__items` (item ids), both ascending."""
     bounded(df.sparkSession)
-    data = keyed_text(df, id_col, text_col)
-    kind = data.schema["doc_id"].dataType.simpleString()
-    out = data.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
-    passes = _passes(benchmark, item_col, item_text) or [df.sparkSession.sparkContext.broadcast([])]
-    names = ["doc_id", "text", "n_words", "hits", "items"]
-    for told in passes:  # no shuffle: each pass adds to the rows as they stream by
+    out = df.select("*", F.lit(0).cast("long").alias("__words"), F.expr("cast(array() as array<int>)").alias("__hits"), F.expr("cast(array() as array<string>)").alias("__items"))
+    at, n = df.columns.index(text_col), len(df.columns)
+    for told in _passes(benchmark, item_col, item_text) or [df.sparkSession.sparkContext.broadcast([])]:  # no shuffle: each pass adds to the rows as they stream by
 
         def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(told.value, size)
-            for b in slices(batches):
-                found = searcher.search(raw_texts(b))
-                hits = [sorted({*x[1], *old}) for x, old in zip(found, b.column("hits").to_pylist(), strict=True)]
-                items = [sorted({*x[2], *old}) for x, old in zip(found, b.column("items").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array([x[0] for x in found], pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names)
+            for b in slices(batches, at):
+                found = searcher.search(raw_texts(b, at))
+                hits = [sorted({*x[1], *old}) for x, old in zip(found, b.column(n + 1).to_pylist(), strict=True)]
+                items = [sorted({*x[2], *old}) for x, old in zip(found, b.column(n + 2).to_pylist(), strict=True)]
+                columns = [pa.array([x[0] for x in found], pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], *columns], b.schema.names)
+
+        out = out.mapInArrow(run, out.schema)
+    return out
+
+
+def search(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, hits (numbers of the hit words, ascending), items (ids as strings, ascending) of every row."""
+    found = searched(keyed_text(df, id_col, text_col), benchmark, "text", item_col, item_text, size)
+    return found.select("doc_id", F.col("__words").alias("n_words"), F.col("__hits").alias("hits"), F.col("__items").alias("items"))
+
+
+def contaminated(n_hit: Column, n_words: Column) -> Column:
+    """1 word in 20 or more is hit."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
 
-        out = out.mapInArrow(run, f"doc_id {kind}, text string, n_words long, hits array<int>, items array<string>")
-    return out.select("doc_id", "n_words", "hits", "items")
+def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they were, that aren't contaminated."""
+    found = searched(df, benchmark, text_col)
+    return found.filter(~contaminated(F.size("__hits").cast("long"), F.col("__words"))).select(*df.columns)
 
 
 def verdicts(found: DataFrame) -> DataFrame:
-    """The contract's columns from what `search` found: contaminated if 1 word in 20 or more is hit."""
+    """The contract's columns from what `search` found."""
     n_hit = F.size("hits").cast("long")
     return found.select(
         "doc_id",
@@ -157,7 +172,7 @@ def verdicts(found: DataFrame) -> DataFrame:
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        contaminated(n_hit, F.col("n_words")).alias("contaminated"),
     )
 
 
