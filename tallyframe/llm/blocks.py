@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import bounded, freed, raw_texts, removed, slices, written
 from .winnow import BASES, Hashes, finished, runs
 
+#: Text bytes that anchors are sought in at once; each takes about 100 bytes of memory.
+ANCHOR_BYTES = 1 << 20
 #: Different blocks of one anchor that one kernel call takes.
 HOT, PARTS = 256, 6
 #: Bytes of block text that a kernel works on at once, if single anchors allow.
@@ -60,7 +62,7 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _anchors(data: DataFrame, plan: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=ANCHOR_BYTES):
             t, *_, h, _a, _b = runs(*plan.codes(raw_texts(b)), plan.size, plan.gram)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("id").take(pa.array(t))], ["h", "id"])
 
@@ -69,7 +71,7 @@ def _anchors(data: DataFrame, plan: Plan) -> DataFrame:
 
 def _candidates(data: DataFrame, plan: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=ANCHOR_BYTES):
             t, s, n, off, h, x, y = runs(*plan.codes(raw_texts(b)), plan.size, plan.gram)
             own = pa.array(t)
             yield pa.RecordBatch.from_arrays(
@@ -107,7 +109,7 @@ def _cut(data: DataFrame, blocks: DataFrame, plan: Plan) -> DataFrame:
     names = ["h", "a", "b", "n", "least", "most", "k", "shape", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most=ANCHOR_BYTES):
             rows: list[tuple] = []
             for text, wanted in zip(raw_texts(b), b.column("wanted").to_pylist(), strict=True):
                 cut = plan.cutter(text)

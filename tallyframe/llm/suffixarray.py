@@ -80,12 +80,9 @@ def kernel(blocks: list[bytes], anchor: np.ndarray, copies: np.ndarray, least: n
             symbol = np.fromfile(file, np.uint8, m)
             if x + 1 in stops:  # documents that begin right of here are done
                 stay = np.flatnonzero(begin[order] <= x)
-                if len(stay):
-                    common = np.minimum.reduceat(common, np.concatenate([[0], stay[:-1] + 1])) if len(stay) < len(order) else common
-                    common = common[: len(stay)]
+                if len(stay) < len(order):  # what a document has in common with the one before that stays: the least up to there
+                    common = np.minimum.reduceat(common[: stay[-1] + 1], np.concatenate([[0], stay[:-1] + 1])) if len(stay) else common[:0]
                     order = order[stay]
-                else:
-                    order, common = order[:0], common[:0]
             new = starting[at[x + 1 - low] : at[x + 2 - low]]
             if len(new):
                 order, common = np.concatenate([new, order]), np.concatenate([np.zeros(len(new), np.int32), common])

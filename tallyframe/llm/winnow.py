@@ -14,7 +14,7 @@ import numpy as np
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 PLACE = np.uint64((1 << 24) - 1)
-SECTION = 1 << 23
+SECTION = 1 << 21
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
