@@ -10,7 +10,9 @@
    the first. At one window a block is its anchor's only one, so this ends.
 5. Decided windows are joined back to the places of their blocks.
 
-No step drops rows: whatever is left out is known not to repeat. Intermediate tables are in the shared folder.
+No step drops rows: whatever is left out is known not to repeat. Intermediate tables are in the shared folder. Joins
+shuffle both sides unless Spark finds one under its broadcast limit; those on hot keys read plain tables, so that
+adaptive execution can split them.
 A text is known by its id and a hash of the text, so repeated ids and repeated rows are kept apart or agree.
 """
 
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, freed, raw_texts, removed, slices, written
@@ -33,8 +35,6 @@ ANCHOR_BYTES = 1 << 20
 HOT, PARTS = 256, 6
 #: Bytes of block text that a kernel works on at once, if single anchors allow.
 KERNEL_BYTES = 4 << 20
-#: A side of a join is broadcast if it is measured to have no more bytes than this, else shuffled.
-BROADCAST_BYTES = 8 << 20
 #: Stands for a null id, below all others.
 NO_ID = -(1 << 63)
 RANGES = "array<struct<first:int,last:int,least:bigint>>"
@@ -82,12 +82,6 @@ def _candidates(data: DataFrame, plan: Plan) -> DataFrame:
     return data.select("id", "mark", "text").mapInArrow(run, "id long, mark int, start int, shape int, h long, a long, b long")
 
 
-def small(df: DataFrame, n_bytes: Column) -> DataFrame:
-    """Marked for broadcast if its rows' measured bytes allow it."""
-    total = df.agg(F.sum(n_bytes)).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
-
-
 def _counted(blocks: DataFrame) -> DataFrame:
     """With k, the different blocks of each row's anchor."""
     k = written(blocks.groupBy("h").agg(F.count("*").alias("k")), "counts")
@@ -105,7 +99,7 @@ def _cut(data: DataFrame, blocks: DataFrame, plan: Plan) -> DataFrame:
     """The blocks with their text, from the place of one copy each."""
     wanted = blocks.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "shape", "h", "a", "b", "n", "least", "most", "k")).alias("wanted"))
     wanted = written(wanted.withColumnsRenamed({"id": "id_", "mark": "mark_"}), "wanted")
-    met = data.select("id", "mark", "text").join(small(wanted, F.size("wanted") * 72 + 32), (F.col("id") == F.col("id_")) & (F.col("mark") == F.col("mark_"))).select("text", "wanted")
+    met = data.select("id", "mark", "text").join(wanted, (F.col("id") == F.col("id_")) & (F.col("mark") == F.col("mark_"))).select("text", "wanted")
     names = ["h", "a", "b", "n", "least", "most", "k", "shape", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +227,7 @@ def repeated(df: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str =
 def texts_with(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and spans (null where there are none) of every row."""
     data = keyed(df, id_col, text_col)
-    side = small(spans, F.size("spans") * 8 + 32)
-    return data.join(side, (F.col("id") == F.col("id_")) & (F.col("mark") == F.col("mark_")), "left").select("doc_id", "text", "spans")
+    return data.join(spans, (F.col("id") == F.col("id_")) & (F.col("mark") == F.col("mark_")), "left").select("doc_id", "text", "spans")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
