@@ -2,20 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import boxes, counts, distributions, ranking, sequences  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def topk_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 100 frames with the most detections of class R; ties go to the smaller frame id."""
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("frame_id"), "l_returnflag")
-    return line.filter("l_returnflag = 'R'").groupBy("frame_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "frame_id").limit(100)
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"topk_frames": topk_frames}
-
-ORACLE_SQL: dict[str, str] = {
-    "topk_frames": "select l_orderkey as frame_id, count(*) as n from lineitem where l_returnflag = 'R' group by 1 order by n desc, frame_id limit 100",
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]
