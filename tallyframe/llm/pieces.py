@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,12 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bounded, slices, table
+from .common import bounded, keyed_text, slices, table
 
 ALPHA, SEED = 1.0, 17
-CHUNK = re.compile(rb" *[^ \n]+|\n| +")
+#: Chunks that are learned at once.
+LEARN = 20_000
 #: Chunks whose tables a worker keeps; beyond that it starts anew, without effect on results.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 400_000
 G1, G2, G3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -46,6 +46,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def chunk_starts(data: np.ndarray) -> np.ndarray:
+    """Where chunks begin within a text: at and after newlines, and at the first of several spaces."""
+    out = data == 10
+    out[1:] |= data[:-1] == 10
+    out[1:] |= (data[1:] == 32) & (data[:-1] != 32)
+    return out
+
+
 def row_seed(key: object, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}:{key}".encode(), digest_size=8).digest(), "little")
 
@@ -128,7 +136,7 @@ class Sampler:
         self.known: dict[bytes, int] = {}
         self.last = np.zeros(0, np.int64)  # a chunk's final state
         self.states = 0
-        self.first, self.limit, self.back, self.id = (np.zeros(0, np.int64) for _ in range(4))
+        self.first, self.limit, self.back, self.id = (np.zeros(0, t) for t in (np.int32, np.uint32, np.int32, np.int32))
 
     def learn(self, chunks: list[bytes]) -> None:
         """Forward filtering of new chunks, which advance together place by place.
@@ -169,10 +177,10 @@ class Sampler:
         origin[first + np.arange(len(chunks))] = True
         back = np.where(origin[head], -1, head + self.states)
         self.last = np.concatenate([self.last, first + size + np.arange(len(chunks)) + self.states])
-        self.first = np.concatenate([self.first, np.searchsorted(tail[order], np.arange(len(total))) + len(self.limit)])
-        self.limit = np.concatenate([self.limit, threshold[order]])
-        self.back = np.concatenate([self.back, back[order]])
-        self.id = np.concatenate([self.id, ids[order]])
+        self.first = np.concatenate([self.first, (np.searchsorted(tail[order], np.arange(len(total))) + len(self.limit)).astype(np.int32)])
+        self.limit = np.concatenate([self.limit, (threshold[order] - 1).astype(np.uint32)])
+        self.back = np.concatenate([self.back, back[order].astype(np.int32)])
+        self.id = np.concatenate([self.id, ids[order].astype(np.int32)])
         base = len(self.known)
         self.known.update((c, base + i) for i, c in enumerate(chunks))
         self.states += len(total)
@@ -181,34 +189,43 @@ class Sampler:
         """(ids of all texts one after another, where each text's begin, and the end)."""
         if len(self.known) > CACHE_CHUNKS:
             self.clear()
-        chunks = [CHUNK.findall(b" " + t) if t else [] for t in texts]
-        flat = [c for own in chunks for c in own]
-        if new := list(set(flat).difference(self.known)):
-            self.learn(new)
-        size = np.array([len(c) for c in chunks], np.int64)
-        number = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        whole = b"".join([b" " + t if t else t for t in texts])
+        data = np.frombuffer(whole, np.uint8)
+        length = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        begin = np.cumsum(length) - length
+        cut = chunk_starts(data)
+        cut[begin[length > 0]] = True
+        starts = np.flatnonzero(cut)
+        size = np.diff(np.searchsorted(starts, np.append(begin, len(data))))
+        offsets = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(whole)]).dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        new = [c for c in chunks if c not in self.known]
+        for i in range(0, len(new), LEARN):
+            self.learn(new[i : i + LEARN])
+        number = np.arange(len(starts)) - np.repeat(np.cumsum(size) - size, size)
         seeds = np.repeat(np.array([row_seed(k, self.seed) for k in keys], np.uint64), size) + number.astype(np.uint64) * G1
-        state = self.last[np.array(list(map(self.known.__getitem__, flat)), np.int64)]
-        who, steps, drawn = np.arange(len(flat)), np.zeros(len(flat), np.int64), []
+        state = self.last[np.array([self.known[c] for c in chunks], np.int64)[coded.indices.to_numpy()]]
+        who, steps, drawn = np.arange(len(starts), dtype=np.int32), np.zeros(len(starts), np.int32), []
         step = 0
         while len(who):
-            u = (mixed(seeds[who] + np.uint64((step + 1) * int(G3) % (1 << 64))) >> np.uint64(32)).astype(np.int64)
+            step += 1
+            u = (mixed(seeds + np.uint64(step * int(G3) % (1 << 64))) >> np.uint64(32)).astype(np.uint32)
             arc = self.first[state]
-            past = np.flatnonzero(self.limit[arc] <= u)
+            past = np.flatnonzero(self.limit[arc] < u)
             while len(past):
                 arc[past] += 1
-                past = past[self.limit[arc[past]] <= u[past]]
+                past = past[self.limit[arc[past]] < u[past]]
             drawn.append((who, self.id[arc]))
-            steps[who] += 1
+            steps[who] = step
             state = self.back[arc]
             more = state >= 0
-            who, state = who[more], state[more]
-            step += 1
-        begin = np.cumsum(steps) - steps
-        ids = np.empty(int(steps.sum()), np.int32)
+            who, state, seeds = who[more], state[more], seeds[more]
+        last = np.cumsum(steps, dtype=np.int64)
+        ids = np.empty(int(last[-1]) if len(last) else 0, np.int32)
         for s, (w, x) in enumerate(drawn):
-            ids[begin[w] + steps[w] - 1 - s] = x
-        ends = np.concatenate([[0], np.cumsum(steps)])[np.concatenate([[0], np.cumsum(size)])]
+            ids[last[w] - 1 - s] = x
+        ends = np.concatenate([[0], last])[np.concatenate([[0], np.cumsum(size)])]
         return ids, ends
 
 
@@ -262,27 +279,29 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model:
     return df.mapInArrow(run, _same(df, f"`{out_col}` string"))
 
 
-def digest(df: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, ids, n_pieces, ids_crc32 (of little-endian 32-bit ids), decoded_sha256, lossless; from doc_id, text, ids."""
+def encode_checked(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", model: str | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """doc_id, ids, n_pieces, ids_crc32 (of little-endian 32-bit ids), decoded_sha256 and lossless (ids decode to the text) of every row."""
     bounded(df.sparkSession)
+    data = keyed_text(df, key_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = Vocabulary(model).raw
-        for b in batches:
+        own = sampler(model, alpha, seed)
+        raw = own.vocabulary.raw
+        for b in slices(batches):
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            ids, ends = own.encode([t or b"" for t in texts], b.column("doc_id").to_pylist())
             rows = []
-            for ids, text in zip(b.column("ids"), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if text is None:
-                    rows.append((0, 0, None, True))
-                    continue
-                own = ids.values.to_numpy().astype("<i4")
-                back = decoded(raw, own.tolist())
-                rows.append((len(own), zlib.crc32(own.tobytes()), hashlib.sha256(back).hexdigest(), back == text))
-            n, crc, sha, same = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "ids_crc32", "decoded_sha256", "lossless"])
+            for t, s, e in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                back = decoded(raw, ids[s:e].tolist())
+                rows.append((e - s, zlib.crc32(ids[s:e]), hashlib.sha256(back).hexdigest(), back == t) if t is not None else (None, None, None, True))
+            n, crc, sha, same = zip(*rows, strict=True)
+            null = pa.array([t is None for t in texts] + [False], pa.bool_())
+            places = pa.compute.if_else(null, pa.scalar(None, pa.int32()), pa.array(ends, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(places, pa.array(ids, pa.int32())), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_pieces", "ids_crc32", "decoded_sha256", "lossless"])
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return df.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean")
+    kind = data.schema["doc_id"].dataType.simpleString()
+    return data.mapInArrow(run, f"doc_id {kind}, ids array<int>, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return encode_checked(table(spark, sf_dir, "documents"))
