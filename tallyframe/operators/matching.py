@@ -78,11 +78,18 @@ def match(pred: np.ndarray, truth: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
+def _ordered(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """By `prob` from the highest and by `rank`; a frame's missing side has no columns, so they are added."""
+    if not len(pdf):
+        return pd.DataFrame({c: [] for c in ("frame_id", *BOX, "rank", "prob", "score", "class_id")})
+    return pdf.sort_values(by, ascending=[c != "prob" for c in by])
+
+
 def match_boxes(pred: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """frame_id, rank, prob and matched (0 or 1) of each prediction; predictions have prob and rank, both tables boxes."""
 
     def one(key: tuple, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, t = p.sort_values(["prob", "rank"], ascending=[False, True]), t.sort_values("rank")
+        p, t = _ordered(p, ["prob", "rank"]), _ordered(t, ["rank"])
         return pd.DataFrame({"frame_id": key[0], "rank": p["rank"], "prob": p.prob, "matched": match(p[BOX].to_numpy(float), t[BOX].to_numpy(float), threshold)})
 
     return pred.groupBy("frame_id").cogroup(truth.groupBy("frame_id")).applyInPandas(one, "frame_id long, rank long, prob double, matched int")
@@ -108,7 +115,7 @@ def true_positives(pred: DataFrame, truth: DataFrame, threshold: float = 0.5) ->
     """frame_id, rank, score, class_id and tp of each prediction (with rank, score, class_id), for average precision."""
 
     def one(key: tuple, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, t = p.sort_values("rank"), t.sort_values("rank")
+        p, t = _ordered(p, ["rank"]), _ordered(t, ["rank"])
         tp = positives(p[BOX].to_numpy(float), p.class_id.to_numpy(), t[BOX].to_numpy(float), t.class_id.to_numpy(), threshold)
         return pd.DataFrame({"frame_id": key[0], "rank": p["rank"], "score": p.score, "class_id": p.class_id, "tp": tp})
 
