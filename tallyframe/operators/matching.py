@@ -80,7 +80,7 @@ def match(pred: np.ndarray, truth: np.ndarray, threshold: float) -> np.ndarray:
 
 def _ordered(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
     """By `prob` from the highest and by `rank`; a frame's missing side has no columns, so they are added."""
-    if not len(pdf):
+    if not len(pdf) or "rank" not in pdf:
         return pd.DataFrame({c: [] for c in ("frame_id", *BOX, "rank", "prob", "score", "class_id")})
     return pdf.sort_values(by, ascending=[c != "prob" for c in by])
 
