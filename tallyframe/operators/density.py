@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from .frames import Arrays, per_frame
+
 SIGMA, REACH = 15.0, 4.0
 
 
@@ -30,10 +31,10 @@ def density(points: np.ndarray, height: int, width: int, sigma: float = SIGMA) -
 
 
 def density_maps(boxes: DataFrame, height: int, width: int, sigma: float = SIGMA) -> DataFrame:
-    """frame_id, height, width and density (row by row) from normalised centres xc, yc; a frame is a group."""
+    """frame_id, height, width and density (row by row) from normalised centres xc, yc."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = np.column_stack([pdf.xc * width, pdf.yc * height])
-        return pd.DataFrame({"frame_id": [pdf.frame_id.iloc[0]], "height": [height], "width": [width], "density": [density(points, height, width, sigma).astype(np.float32).ravel()]})
+    def one(frame: int, r: Arrays) -> list[tuple]:
+        points = np.column_stack([r["xc"] * width, r["yc"] * height])
+        return [(frame, height, width, density(points, height, width, sigma).astype(np.float32).ravel())]
 
-    return boxes.groupBy("frame_id").applyInPandas(one, "frame_id long, height int, width int, density array<float>")
+    return per_frame(boxes.select("frame_id", "xc", "yc"), [], one, "frame_id long, height int, width int, density array<float>")

@@ -1,17 +1,17 @@
 """Greedy work within a frame: suppression, matching with truth, true positives.
 
-Each frame's boxes are one group, bounded by what a frame can show; frames are dealt over all tasks.
+A frame's boxes are bounded by what it can show; frames are dealt over all tasks.
 Columns: frame_id, x1, y1, x2, y2, and as noted. Ties follow the row's `rank` column, which a caller makes unique.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Corners, iou
+from .frames import Arrays, per_frame
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -48,18 +48,27 @@ def suppress(boxes: np.ndarray, obj: np.ndarray, cls: np.ndarray, score: np.ndar
     return out
 
 
+def boxes_of(rows: Arrays) -> np.ndarray:
+    return np.column_stack([rows[c] for c in BOX]).astype(float)
+
+
 def non_max_suppression(detections: DataFrame, conf: float = 0.5, threshold: float = 0.4) -> DataFrame:
     """Detections (with obj_conf, cls_conf, class_id, rank) left after suppression, their boxes merged; frames without any give no row."""
     schema = "frame_id long, x1 double, y1 double, x2 double, y2 double, obj_conf double, cls_conf double, class_id int"
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        kept = suppress(pdf[BOX].to_numpy(float), pdf.obj_conf.to_numpy(float), pdf.class_id.to_numpy(), (pdf.obj_conf * pdf.cls_conf).to_numpy(float), threshold)
-        heads = pdf.iloc[[i for i, _ in kept]].copy()
-        heads[BOX] = np.array([b for _, b in kept]).reshape(-1, 4)
-        return heads[["frame_id", *BOX, "obj_conf", "cls_conf", "class_id"]]
+    def one(frame: int, r: Arrays) -> list[tuple]:
+        kept = suppress(boxes_of(r), r["obj_conf"], r["class_id"], r["obj_conf"] * r["cls_conf"], threshold)
+        return [(frame, *box.tolist(), float(r["obj_conf"][i]), float(r["cls_conf"][i]), int(r["class_id"][i])) for i, box in kept]
+
+    own = detections.filter(F.col("obj_conf") >= conf).select("frame_id", "rank", *BOX, "obj_conf", "cls_conf", "class_id")
+    return per_frame(own, ["rank"], one, schema)
 
-    return detections.filter(F.col("obj_conf") >= conf).groupBy("frame_id").applyInPandas(one, schema)
+
+def _sided(pred: DataFrame, truth: DataFrame, columns: list[str]) -> DataFrame:
+    """Predictions (side 0) and truth (side 1) as one table; `columns` are the predictions' own."""
+    p = pred.select("frame_id", F.lit(0).alias("side"), "rank", *BOX, *columns)
+    t = truth.select("frame_id", F.lit(1).alias("side"), "rank", *BOX, *(F.col(c) if c in truth.columns else F.lit(None).cast(pred.schema[c].dataType).alias(c) for c in columns))
+    return p.unionByName(t)
 
 
 def match(pred: np.ndarray, truth: np.ndarray, threshold: float) -> np.ndarray:
@@ -78,21 +87,16 @@ def match(pred: np.ndarray, truth: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def _ordered(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
-    """By `prob` from the highest and by `rank`; a frame's missing side has no columns, so they are added."""
-    if not len(pdf) or "rank" not in pdf:
-        return pd.DataFrame({c: [] for c in ("frame_id", *BOX, "rank", "prob", "score", "class_id")})
-    return pdf.sort_values(by, ascending=[c != "prob" for c in by])
-
-
 def match_boxes(pred: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """frame_id, rank, prob and matched (0 or 1) of each prediction; predictions have prob and rank, both tables boxes."""
 
-    def one(key: tuple, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, t = _ordered(p, ["prob", "rank"]), _ordered(t, ["rank"])
-        return pd.DataFrame({"frame_id": key[0], "rank": p["rank"], "prob": p.prob, "matched": match(p[BOX].to_numpy(float), t[BOX].to_numpy(float), threshold)})
+    def one(frame: int, r: Arrays) -> list[tuple]:
+        box, own = boxes_of(r), np.flatnonzero(r["side"] == 0)
+        own = own[np.argsort(-r["prob"][own], kind="stable")]
+        hits = match(box[own], box[r["side"] == 1], threshold)
+        return [(frame, int(r["rank"][i]), float(r["prob"][i]), int(h)) for i, h in zip(own, hits, strict=True)]
 
-    return pred.groupBy("frame_id").cogroup(truth.groupBy("frame_id")).applyInPandas(one, "frame_id long, rank long, prob double, matched int")
+    return per_frame(_sided(pred, truth, ["prob"]), ["side", "rank"], one, "frame_id long, rank long, prob double, matched int")
 
 
 def positives(pred: np.ndarray, pred_cls: np.ndarray, truth: np.ndarray, truth_cls: np.ndarray, threshold: float) -> np.ndarray:
@@ -114,12 +118,13 @@ def positives(pred: np.ndarray, pred_cls: np.ndarray, truth: np.ndarray, truth_c
 def true_positives(pred: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
     """frame_id, rank, score, class_id and tp of each prediction (with rank, score, class_id), for average precision."""
 
-    def one(key: tuple, p: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        p, t = _ordered(p, ["rank"]), _ordered(t, ["rank"])
-        tp = positives(p[BOX].to_numpy(float), p.class_id.to_numpy(), t[BOX].to_numpy(float), t.class_id.to_numpy(), threshold)
-        return pd.DataFrame({"frame_id": key[0], "rank": p["rank"], "score": p.score, "class_id": p.class_id, "tp": tp})
+    def one(frame: int, r: Arrays) -> list[tuple]:
+        box, own, other = boxes_of(r), r["side"] == 0, r["side"] == 1
+        cls = r["class_id"].astype(int)
+        tp = positives(box[own], cls[own], box[other], cls[other], threshold)
+        return [(frame, int(k), float(s), int(c), int(t)) for k, s, c, t in zip(r["rank"][own], r["score"][own], cls[own], tp, strict=True)]
 
-    return pred.groupBy("frame_id").cogroup(truth.groupBy("frame_id")).applyInPandas(one, "frame_id long, rank long, score double, class_id int, tp int")
+    return per_frame(_sided(pred, truth, ["score", "class_id"]), ["side", "rank"], one, "frame_id long, rank long, score double, class_id int, tp int")
 
 
 def pairs(pred: DataFrame, truth: DataFrame, measure=iou) -> DataFrame:

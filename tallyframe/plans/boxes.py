@@ -131,5 +131,5 @@ def yolo_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def density_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the density maps of frames with detections of class R sum to, and their cells' number."""
     b = boxes(spark, sf_dir).filter("class_name = 'R'").select("frame_id", "xc", "yc")
-    maps = density.density_maps(b, 60, 80, 4.0)
+    maps = density.density_maps(b, 30, 40, 2.0)
     return maps.select("frame_id", F.size("density").alias("cells"), F.aggregate("density", F.lit(0.0), lambda s, v: s + v).alias("total"))
