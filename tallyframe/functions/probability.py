@@ -58,6 +58,25 @@ def mixture_pdf(parts: Column, x: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, p: s + p.pi * normal_pdf(x, p.mu, p.sigma))
 
 
+def mixture_sample(parts: Column, seed: int) -> Column:
+    """A draw: a part by its weight, then a normal number of it; the same for a seed and a dealing of rows."""
+    u = F.rand(seed)
+    chosen = F.aggregate(parts, F.struct(u.alias("left"), F.lit(-1).alias("i"), F.lit(0).alias("at")), lambda s, p: F.struct((s["left"] - p.pi).alias("left"), F.when((s.i < 0) & (s["left"] <= p.pi), s["at"]).otherwise(s.i).alias("i"), (s["at"] + 1).alias("at")))
+    part = F.get(parts, F.when(chosen.i < 0, F.size(parts) - 1).otherwise(chosen.i))
+    return part.mu + part.sigma * F.randn(seed + 1)
+
+
+def linear(x: Column, weights: list[list[float]], bias: list[float]) -> Column:
+    """Array of w . x + b for each row of weights."""
+    dot = lambda w: F.aggregate(F.zip_with(x, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return F.array(*(dot(w) + F.lit(b) for w, b in zip(weights, bias, strict=True)))
+
+
+def mixture_head(x: Column, pi: tuple, sigma: tuple, mu: tuple) -> Column:
+    """A mixture from features by three linear heads, each (weights, bias): softmax weights, exponential deviations, plain means."""
+    return mixture(softmax(linear(x, *pi)), linear(x, *mu), F.transform(linear(x, *sigma), lambda v: F.exp(v)))
+
+
 def mixture_bound(parts: Column, z: float = Z) -> Column:
     """The largest mu + z * sigma."""
     return F.array_max(F.transform(parts, lambda p: p.mu + F.lit(z) * p.sigma))

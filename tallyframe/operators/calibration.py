@@ -13,6 +13,14 @@ def fit(pairs: DataFrame, prob: str = "prob", label: str = "label") -> IsotonicR
     return IsotonicRegression(featuresCol="prob", labelCol="label", weightCol="weight", isotonic=True).fit(pooled)
 
 
+def save(model: IsotonicRegressionModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> IsotonicRegressionModel:
+    return IsotonicRegressionModel.load(path)
+
+
 def calibrated(model: IsotonicRegressionModel, df: DataFrame, prob: str = "prob", out: str = "calibrated") -> DataFrame:
     """`out` within 0 and 1; confidences outside the fitted ones take the nearest one's value. Each different confidence is predicted once."""
     levels = df.select(F.col(prob).cast("double").alias("__p")).distinct()

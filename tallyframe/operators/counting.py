@@ -40,6 +40,17 @@ def missing(frames: DataFrame, frame_col: str = "frame_id") -> DataFrame:
     return every.join(frames.select(frame_col).distinct(), frame_col, "left_anti")
 
 
+def require_dense(frames: DataFrame, frame_col: str = "frame_id", first: int = 1) -> int:
+    """The number of frames, if they are numbered from `first` on without holes; else an error that names the first hole."""
+    bounds = id_bounds(frames, frame_col)
+    if bounds is None:
+        return 0
+    hole = missing(frames, frame_col).agg(F.min(frame_col)).first()[0]
+    if bounds[0] != first or hole is not None:
+        raise ValueError(f"no frame {first if bounds[0] != first else hole}")
+    return bounds[1] - bounds[0] + 1
+
+
 def missing_count(frames: DataFrame, frame_col: str = "frame_id") -> DataFrame:
     return frames.agg((F.max(frame_col) - F.min(frame_col) + 1 - F.count_distinct(frame_col)).alias("n_missing"))
 

@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..session import shipped
+
 #: A frame's columns as arrays of equal length, in the given order of rows.
 Arrays = dict[str, np.ndarray]
 
 
 def per_frame(df: DataFrame, order: list[str], work: Callable[[int, Arrays], list[tuple]], schema: str) -> DataFrame:
     """Apply `work` to (frame id, arrays) of every frame; it returns rows of `schema`. The column frame_id deals the rows."""
+    shipped(df.sparkSession)
     kind: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 

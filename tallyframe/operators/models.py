@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shipped
+
 DETECTIONS = "frame_id long, x1 double, y1 double, x2 double, y2 double, obj_conf double, cls_conf double, class_id int"
 
 
@@ -28,6 +30,8 @@ class Estimator(Protocol):
 def detect(frames: DataFrame, load: Callable[[], Detector], batch: int = 64) -> DataFrame:
     """A row for each detection in frames (frame_id, content). `load` runs once in a task; images go to the model `batch` at a time."""
 
+    shipped(frames.sparkSession)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for pdf in parts:
@@ -42,6 +46,8 @@ def detect(frames: DataFrame, load: Callable[[], Detector], batch: int = 64) ->
 def estimate(frames: DataFrame, load: Callable[[], Estimator], batch: int = 64) -> DataFrame:
     """frame_id, pi, mu, sigma of each frame."""
 
+    shipped(frames.sparkSession)
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for pdf in parts:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import shipped
+
 SALTS = 64
 
 
@@ -47,6 +49,7 @@ def top_gap(counts: DataFrame, k: int, gap: int, value: str = "n", frame_col: st
     A chosen frame rules out at most 2 * gap others, so the first k * (2 * gap + 1) rows decide; only they are
     sorted, in one group of that bounded size.
     """
+    shipped(counts.sparkSession)
     schema = counts.schema
     bound = counts.orderBy(F.desc(value), F.asc(frame_col)).limit(k * (2 * gap + 1))
 

@@ -80,6 +80,11 @@ def timing(text: str) -> float:
     return int(parts["days"]) * 86400 + int(parts["seconds"]) + int(parts["microseconds"]) / 1e6
 
 
+def timing_text(seconds: float) -> str:
+    days, rest = divmod(seconds, 86400)
+    return f"days:{int(days)}\nseconds:{int(rest)}\nmicroseconds:{round(rest % 1 * 1e6)}\n"
+
+
 def timings(spark: SparkSession, path: str) -> DataFrame:
     """baseline and ours, the seconds of inference, from nested JSON."""
     return spark.read.schema("baseline struct<inference:double>, ours struct<inference:double>").json(path, multiLine=True).select(F.col("baseline.inference").alias("baseline"), F.col("ours.inference").alias("ours"))
