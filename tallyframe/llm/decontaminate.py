@@ -123,7 +123,7 @@ def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> list:
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = -(-total // PASS_BYTES)
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [sc.broadcast([(r.item, r.text.encode()) for r in items.filter(part == k).toLocalIterator()]) for k in range(n)]
+    return [sc.broadcast([(r.item, r.text.encode()) for r in items.filter(part == k).collect()]) for k in range(n)]
 
 
 def searched(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -176,6 +176,22 @@ def verdicts(found: DataFrame) -> DataFrame:
     )
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The same rows by DuckDB: windows as strings, joined; for small tables.
+ORACLE = rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') as w from benchmark),
+p as (select distinct item_id, least(len(w), 13) as n, array_to_string(w[i:i + 12], ' ') as k from b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as t(i) where len(w) > 0),
+x as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as k from d, (select distinct n from p), unnest(range(1, greatest(len(w) - n + 2, 1))) as t(i)),
+h as (select doc_id, i, x.n, item_id from x join p on x.n = p.n and x.k = p.k),
+c as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from h) group by 1),
+o as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from h) group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join c using (doc_id) left join o using (doc_id)
+"""
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import urls
+from . import decontaminate, substring, suffixarray, urls
 from .decontaminate import op7_benchmark_decontamination
 from .langid import op10_language_id
 from .pieces import op2_sentencepiece
@@ -34,4 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filters": urls.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op4_suffix_array_dedup": suffixarray.ORACLE,
+    "op5_substring_dedup": substring.ORACLE,
+    "op7_benchmark_decontamination": decontaminate.ORACLE,
+    "op9_url_filters": urls.oracle(),
+}

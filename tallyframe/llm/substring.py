@@ -133,5 +133,18 @@ def digest(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
+#: The same rows by DuckDB: a row for each window; for small tables.
+ORACLE = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+x as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as k from d, unnest(range(1, greatest(len(w) - 48, 1))) as t(i)),
+m as (select k, min(doc_id) as least from x group by 1),
+g as (select distinct doc_id, unnest(range(i, i + 50)) as j from x join m using (k) where least < doc_id),
+v as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as j from d),
+r as (select v.doc_id, string_agg(word, ' ' order by v.j) as kept from v left join g on v.doc_id = g.doc_id and v.j = g.j where g.j is null group by 1),
+n as (select doc_id, count(*) as n from g group by 1)
+select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join n using (doc_id) left join r using (doc_id)
+"""
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spans(table(spark, sf_dir, "documents")))

@@ -128,5 +128,20 @@ def digest(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+#: The same rows by DuckDB: a row for each window; for small tables.
+ORACLE = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+x as (select doc_id, i, md5(substr(h, 2 * i - 1, 400)) as k from d, unnest(range(1, greatest(n - 198, 1))) as t(i)),
+m as (select k from x group by 1 having count(*) > 1),
+s as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from x semi join m using (k)),
+q as (select doc_id, i, sum(case when before is null or i > before + 200 then 1 else 0 end) over (partition by doc_id order by i) as run from s),
+r as (select doc_id, run, min(i) as a, max(i) + 200 as z from q group by 1, 2),
+e as (select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 1) as since, row_number() over (partition by doc_id order by a desc) as last from r),
+k as (select e.doc_id, sum(z - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * since - 1, 2 * (a - since)), '' order by a) || max(case when last = 1 then substr(h, 2 * z - 1) else '' end) as kept
+  from e join d on e.doc_id = d.doc_id group by 1)
+select d.doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join k on d.doc_id = k.doc_id
+"""
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spans(table(spark, sf_dir, "documents")))
