@@ -76,6 +76,6 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
-def yolo_box(tx: Column, ty: Column, tw: Column, th: Column, gx: Column, gy: Column, anchor_w: Column, anchor_h: Column, stride: Column) -> tuple[Column, Column, Column, Column]:
+def grid_box(tx: Column, ty: Column, tw: Column, th: Column, gx: Column, gy: Column, anchor_w: Column, anchor_h: Column, stride: Column) -> tuple[Column, Column, Column, Column]:
     """Centre and size in pixels of a raw grid prediction; anchors in pixels."""
     return (sigmoid(tx) + gx) * stride, (sigmoid(ty) + gy) * stride, F.exp(tw) * anchor_w, F.exp(th) * anchor_h

@@ -50,7 +50,7 @@ def precision_recall(detections: DataFrame, truth: DataFrame) -> DataFrame:
     steps = detections.groupBy("class_id", "conf").agg(F.sum("tp").cast("long").alias("tp"), F.sum(1 - F.col("tp")).cast("long").alias("fp"))
     down = W.partitionBy("class_id").orderBy(F.desc("conf")).rowsBetween(W.unboundedPreceding, 0)
     curve = steps.select("class_id", "conf", F.sum("tp").over(down).alias("tp"), F.sum("fp").over(down).alias("fp"))
-    return curve.join(F.broadcast(truth), "class_id").select("class_id", "conf", "tp", "fp", "n_truth", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / (F.col("n_truth") + F.lit(1e-16))).alias("recall"))
+    return curve.join(truth, "class_id").select("class_id", "conf", "tp", "fp", "n_truth", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / (F.col("n_truth") + F.lit(1e-16))).alias("recall"))
 
 
 def average_precision(detections: DataFrame, truth: DataFrame) -> DataFrame:

@@ -120,10 +120,10 @@ def true_positive_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{SQL}
 select frame_id, rank, floor((1 / (1 + exp(-xc)) + line) * 32 * 1e6 + 0.5) / 1e6 as px, floor((1 / (1 + exp(-yc)) + line) * 32 * 1e6 + 0.5) / 1e6 as py,
 floor(exp(w) * 116 * 1e6 + 0.5) / 1e6 as pw, floor(exp(h) * 90 * 1e6 + 0.5) / 1e6 as ph from b""")
-def yolo_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grid_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw grid predictions to pixels, on a grid of 32 pixels with one anchor."""
     line = F.col("line").cast("double")
-    out = G.yolo_box(F.col("xc"), F.col("yc"), F.col("w"), F.col("h"), line, line, F.lit(116.0), F.lit(90.0), F.lit(32.0))
+    out = G.grid_box(F.col("xc"), F.col("yc"), F.col("w"), F.col("h"), line, line, F.lit(116.0), F.lit(90.0), F.lit(32.0))
     return boxes(spark, sf_dir).select("frame_id", "rank", *(quantised(v).alias(n) for n, v in zip(("px", "py", "pw", "ph"), out, strict=True)))
 
 
