@@ -99,13 +99,17 @@ def _cut(data: DataFrame, blocks: DataFrame, plan: Plan) -> DataFrame:
     """The blocks with their text, from the place of one copy each."""
     wanted = blocks.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "shape", "h", "a", "b", "n", "least", "most", "k")).alias("wanted"))
     wanted = written(wanted.withColumnsRenamed({"id": "id_", "mark": "mark_"}), "wanted")
-    met = data.select("id", "mark", "text").join(wanted, (F.col("id") == F.col("id_")) & (F.col("mark") == F.col("mark_"))).select("text", "wanted")
+    met = data.select("id", "mark", "text").join(wanted, (F.col("id") == F.col("id_")) & (F.col("mark") == F.col("mark_"))).select("id", "mark", "text", "wanted")
     names = ["h", "a", "b", "n", "least", "most", "k", "shape", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # the task's texts: repeated rows give their blocks once
         for b in slices(batches, most=ANCHOR_BYTES):
             rows: list[tuple] = []
-            for text, wanted in zip(raw_texts(b), b.column("wanted").to_pylist(), strict=True):
+            for i, mark, text, wanted in zip(b.column("id").to_pylist(), b.column("mark").to_pylist(), raw_texts(b), b.column("wanted").to_pylist(), strict=True):
+                if (i, mark) in seen:
+                    continue
+                seen.add((i, mark))
                 cut = plan.cutter(text)
                 rows += [(*(w[c] for c in names[:-1]), cut(w["start"], w["start"] + (w["shape"] >> 10) + plan.size - 1)) for w in wanted]
                 if len(rows) > 8192:
@@ -114,7 +118,6 @@ def _cut(data: DataFrame, blocks: DataFrame, plan: Plan) -> DataFrame:
             if rows:
                 yield _batch(rows, names)
 
-    # rows of equal id and mark give a block more than once
     return met.mapInArrow(run, "h long, a long, b long, n long, least long, most long, k long, shape int, block binary")
 
 
@@ -217,7 +220,7 @@ def repeated(df: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str =
     rows = found.join(ranges, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")))
     hits = F.filter("ranges", lambda x: x.least < F.col("id")) if plan.across else F.col("ranges")
     spans = F.transform(hits, lambda x: F.struct((x.first + F.col("start")).alias("first"), (x["last"] + F.col("start") + F.lit(plan.size - 1)).alias("last")))
-    own = rows.select("id", "mark", spans.alias("spans")).filter(F.size("spans") > 0).groupBy(F.col("id").alias("id_"), F.col("mark").alias("mark_")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    own = rows.select("id", "mark", spans.alias("spans")).filter(F.size("spans") > 0).groupBy(F.col("id").alias("id_"), F.col("mark").alias("mark_")).agg(F.flatten(F.collect_set("spans")).alias("spans"))  # repeated rows have equal ones
     out = written(own, "spans")
     removed(spark, often, found, blocks, whole, ranges)
     freed(spark)

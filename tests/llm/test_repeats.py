@@ -93,6 +93,16 @@ def test_null_and_repeated_ids(make, nothing):
     assert suffixarray.digest(suffixarray.spans(nothing)).count() == 0 and substring.digest(substring.spans(nothing)).count() == 0
 
 
+def test_many_equal_rows(make):
+    texts = corpus()[:6]
+    texts, ids = texts + [texts[0]] * 60, [*range(6)] + [0] * 60
+    df = make(texts, ids)
+    got = sorted(tuple(r) for r in suffixarray.digest(suffixarray.spans(df)).collect())
+    assert got == sorted((i, *x) for i, x in zip(ids, bytes_removed(texts), strict=True))
+    got = sorted(tuple(r) for r in substring.digest(substring.spans(df)).collect())
+    assert got == sorted((i, *x) for i, x in zip(ids, words_removed(texts, ids), strict=True))
+
+
 def test_sections_of_a_long_text_miss_nothing(make, monkeypatch):
     monkeypatch.setattr(winnow, "SECTION", 900)
     units = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
