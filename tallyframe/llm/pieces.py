@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bounded, keyed_text, slices, table
 
 ALPHA, SEED = 1.0, 17
+#: Text bytes that are encoded at once.
+SLICE = 2 << 20
 #: Chunks that are learned at once.
-LEARN = 20_000
-#: Chunks whose tables a worker keeps; beyond that it starts anew, without effect on results.
-CACHE_CHUNKS = 400_000
+LEARN = 10_000
+#: Chunks whose tables a worker keeps; beyond that it goes on with the most used third, without effect on results.
+CACHE_CHUNKS = 150_000
 G1, G2, G3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -134,6 +136,7 @@ class Sampler:
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.uses = np.zeros(0, np.int32)
         self.last = np.zeros(0, np.int64)  # a chunk's final state
         self.states = 0
         self.first, self.limit, self.back, self.id = (np.zeros(0, t) for t in (np.int32, np.uint32, np.int32, np.int32))
@@ -183,12 +186,22 @@ class Sampler:
         self.id = np.concatenate([self.id, ids[order].astype(np.int32)])
         base = len(self.known)
         self.known.update((c, base + i) for i, c in enumerate(chunks))
+        self.uses = np.concatenate([self.uses, np.zeros(len(chunks), np.int32)])
         self.states += len(total)
 
+    def shrink(self) -> None:
+        """Go on with the most used chunks."""
+        most = np.argsort(-self.uses, kind="stable")[: CACHE_CHUNKS // 3]
+        chosen = set(most[self.uses[most] > 1].tolist())
+        kept = [c for c, i in self.known.items() if i in chosen]
+        self.clear()
+        for i in range(0, len(kept), LEARN):
+            self.learn(kept[i : i + LEARN])
+
     def encode(self, texts: list[bytes], keys: list[object]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, where each text's begin, and the end)."""
         if len(self.known) > CACHE_CHUNKS:
-            self.clear()
+            self.shrink()
         whole = b"".join([b" " + t if t else t for t in texts])
         data = np.frombuffer(whole, np.uint8)
         length = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
@@ -205,7 +218,9 @@ class Sampler:
             self.learn(new[i : i + LEARN])
         number = np.arange(len(starts)) - np.repeat(np.cumsum(size) - size, size)
         seeds = np.repeat(np.array([row_seed(k, self.seed) for k in keys], np.uint64), size) + number.astype(np.uint64) * G1
-        state = self.last[np.array([self.known[c] for c in chunks], np.int64)[coded.indices.to_numpy()]]
+        place = np.array([self.known[c] for c in chunks], np.int64)
+        self.uses[place] += np.bincount(coded.indices.to_numpy(), minlength=len(place)).astype(np.int32)
+        state = self.last[place[coded.indices.to_numpy()]]
         who, steps, drawn = np.arange(len(starts), dtype=np.int32), np.zeros(len(starts), np.int32), []
         step = 0
         while len(who):
@@ -255,7 +270,7 @@ def encode(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", out_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sampler(model, alpha, seed)
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, SLICE):
             texts = b.column(text).cast(pa.binary()).to_pylist()
             ids, ends = own.encode([t or b"" for t in texts], b.column(key).to_pylist())
             null = pa.array([t is None for t in texts] + [False], pa.bool_())
@@ -287,7 +302,7 @@ def encode_checked(df: DataFrame, key_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sampler(model, alpha, seed)
         raw = own.vocabulary.raw
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             texts = b.column("text").cast(pa.binary()).to_pylist()
             ids, ends = own.encode([t or b"" for t in texts], b.column("doc_id").to_pylist())
             rows = []
