@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import bounded, keyed_text, shared_dir, slices, table
 
 END_ID = 2
+#: Text bytes that are encoded at once: the more, the fewer different words for each.
+SLICE = 8 << 20
 #: Ids in a segment; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 20
 SAMPLE = 64
@@ -148,14 +150,16 @@ class Encoder:
         texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # A-Z go to a-z in any case, but for special tokens
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.known]:
+        words, known = coded.dictionary.to_pylist(), self.known
+        place = np.array([known.get(w, -1) for w in words], np.int64)
+        if len(unknown := np.flatnonzero(place < 0)):
+            new = [words[i] for i in unknown.tolist()]
             found = self.learn(new)
-            base = len(self.known)
-            self.known.update((w, base + i) for i, w in enumerate(new))
+            place[unknown] = len(known) + np.arange(len(new))
+            known.update(zip(new, place[unknown].tolist(), strict=True))
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in found])])
             self.ids = np.concatenate([self.ids, np.array(list(chain.from_iterable(found)), np.uint32)])
-        which = np.array([self.known[w] for w in words], np.int64)[coded.indices.to_numpy()]
+        which = place[coded.indices.to_numpy()]
         first, size = self.begin[which], self.begin[which + 1] - self.begin[which]
         place = np.cumsum(size) - size
         ids = self.ids[np.repeat(first - place, size) + np.arange(int(size.sum()))]
@@ -189,7 +193,7 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
             row = [part, seq, before, len(ends), n, own_encoder.width, np.concatenate(ids).astype(f"<u{own_encoder.width}").tobytes(), ef.low_bits, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes(), np.array(known, "<i8").tobytes(), len(known) < len(owners)]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, TYPES, strict=True)], NAMES)
 
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             found, places = own_encoder.encode(b.column("text"))
             begin = np.concatenate([[0], places[:-1]])
             own = b.column("doc_id").to_pylist()
