@@ -6,7 +6,7 @@ some rule has. For each list, level 0 encodes the listed keys, level 1 those key
 though unlisted, level 2 the listed ones that pass level 1, and so on until none passes: over this universe
 (the corpus's keys and all rules) the answer is exact. The first level's rate is chosen so that about as many
 false positives as listed keys are expected; so all levels, which plans hold as literals, are as large as the lists.
-At most MAX_RULES rules are taken, which bounds them.
+At most MAX_RULES rules are taken (more are an error), which bounds them.
 
 Null urls and those without `://` have empty host and path. The longest fitting rule wins, between equals the one
 of the longer host; of a rule listed twice the first counts. A url that no rule fits is allowed. Every input row
@@ -31,7 +31,7 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-MAX_RULES = 100_000
+MAX_RULES = 10_000
 #: False positive rate of all levels but the first.
 RATE = 0.5
 
