@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +26,12 @@ from .common import bounded, keyed_text, slices, table
 
 SAMPLE_DOCS = 1600
 #: Words of one sampled text that training keeps, evenly spread stretches of it; prediction takes all words.
-SAMPLE_WORDS = 400
+SAMPLE_WORDS = 200
 BITS = 16
 BUCKETS = 1 << BITS
 GRAM = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SEQUENCE, STRETCH, ROUNDS, BATCH, RATE, DECAY = 24, 8, 3, 32, 0.2, 1e-6
+SEQUENCE, STRETCH, ROUNDS, BATCH, RATE, DECAY = 24, 8, 3, 64, 0.2, 1e-6
 MIN_COUNT, MIN_SHARE = 3, 0.6
 CACHE_WORDS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -243,7 +242,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     most = max(1, SAMPLE_DOCS // len(counts))
     place = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, most / n))) for k, n in sorted(counts.items())))
-    rows = own.filter(place < share).select("text", "lang").toLocalIterator()
+    rows = own.filter(place < share).select("text", "lang").collect()  # about SAMPLE_DOCS
     return fit([(r.text, r.lang) for r in rows])
 
 
