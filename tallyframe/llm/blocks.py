@@ -30,11 +30,11 @@ from .common import bounded, freed, raw_texts, removed, slices, written
 from .winnow import BASES, Hashes, finished, runs
 
 #: Text bytes that anchors are sought in at once; each takes about 100 bytes of memory.
-ANCHOR_BYTES = 1 << 20
+ANCHOR_BYTES = 1 << 19
 #: Different blocks of one anchor that one kernel call takes.
 HOT, PARTS = 256, 6
 #: Bytes of block text that a kernel works on at once, if single anchors allow.
-KERNEL_BYTES = 4 << 20
+KERNEL_BYTES = 2 << 20
 #: Stands for a null id, below all others.
 NO_ID = -(1 << 63)
 RANGES = "array<struct<first:int,last:int,least:bigint>>"
