@@ -32,6 +32,7 @@ BUCKETS = 1 << BITS
 GRAM = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEQUENCE, STRETCH, ROUNDS, BATCH, RATE, DECAY = 24, 8, 3, 64, 0.2, 1e-6
+SCALE = 8
 MIN_COUNT, MIN_SHARE = 3, 0.6
 CACHE_WORDS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -40,7 +41,8 @@ SCHEMA = "held_out boolean, lang_pred string, score double, n_words long, n_othe
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters."""
-    return [w for w in WORD.findall(text.lower()) if w.isalpha() or any(c.isalpha() for c in w)] if text else []
+    found = WORD.findall(text.lower()) if text else []
+    return found if "".join(found).isalpha() else [w for w in found if any(c.isalpha() for c in w)]
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,41 +90,49 @@ class Field:
         return np.add.reduceat(self.weights[flat], ends[:-1], axis=0)
 
 
-def forward_backward(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of every position of sequences that lie one after another in `emit`, and expected transitions.
+def forward_backward(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray, expect: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of every position of sequences that lie one after another in `emit`, and, if asked for, expected transitions.
 
-    All sequences advance together, the longest first; alpha and beta are scaled at each step.
+    All sequences advance together, the longest first, so rows are put in order of time and a step works on one stretch of
+    them; alpha and beta are scaled every SCALE steps, as only proportions count.
     """
-    n = len(move)
-    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    order = np.argsort(-lengths, kind="stable")
-    begin, lengths = begin[order], lengths[order]
-    live = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), "left")  # sequences longer than t
-    e = np.exp(emit - emit.max(axis=1, keepdims=True))
-    a = np.exp(move)
-    alpha, out, pairs = np.empty_like(e), np.empty_like(e), np.zeros((n, n))
-    now = e[begin]
-    now /= now.sum(axis=1, keepdims=True)
-    alpha[begin] = now
-    for t in range(1, len(live)):
-        at = begin[: live[t]] + t
-        now = (now[: live[t]] @ a) * e[at]
-        now /= now.sum(axis=1, keepdims=True)
-        alpha[at] = now
-    beta = np.ones((len(lengths), n))
-    for t in range(len(live) - 1, -1, -1):
-        k = live[t]
-        at = begin[:k] + t
-        p = alpha[at] * beta[:k]
-        out[at] = p / p.sum(axis=1, keepdims=True)
+    n, most = len(move), int(lengths.max(initial=0))
+    begin = np.cumsum(lengths) - lengths
+    rank = np.empty(len(lengths), np.int64)
+    rank[np.argsort(-lengths, kind="stable")] = np.arange(len(lengths))
+    live = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(most), "right")  # sequences longer than t
+    first = np.cumsum(live) - live
+    time = np.arange(len(emit)) - np.repeat(begin, lengths)
+    place = first[time] + np.repeat(rank, lengths)
+    e = np.empty_like(emit)
+    e[place] = np.exp(emit - emit.max(axis=1, keepdims=True))
+    a = np.exp(move - move.max())
+    back = np.ascontiguousarray(a.T)
+    alpha, pairs = np.empty_like(e), np.zeros((n, n))
+    steps = list(zip(first.tolist(), live.tolist(), strict=True))
+    for t, (s, k) in enumerate(steps):
+        now = alpha[s : s + k]
         if t:
-            b = beta[:k] * e[at]
-            last = alpha[at - 1]
-            joint = (last.T @ (b / ((last @ a) * b).sum(axis=1, keepdims=True))) * a
-            pairs += joint
-            b = b @ a.T
-            beta[:k] = b / b.sum(axis=1, keepdims=True)
-    return out, pairs
+            np.matmul(alpha[steps[t - 1][0] : steps[t - 1][0] + k], a, out=now)
+            now *= e[s : s + k]
+        else:
+            now[:] = e[:k]
+        if t % SCALE == 0:
+            now /= now.sum(axis=1, keepdims=True)
+    beta = np.ones((len(lengths), n))
+    for t in range(most - 1, -1, -1):
+        s, k = steps[t]
+        now = beta[:k]
+        ahead = now * e[s : s + k]
+        if expect and t:
+            last = alpha[steps[t - 1][0] : steps[t - 1][0] + k]
+            pairs += (last.T @ (ahead / ((last @ a) * ahead).sum(axis=1, keepdims=True))) * a
+        alpha[s : s + k] *= now
+        np.matmul(ahead, back, out=now)
+        if t % SCALE == 0:
+            now /= now.sum(axis=1, keepdims=True)
+    alpha /= alpha.sum(axis=1, keepdims=True)
+    return alpha[place], pairs
 
 
 def fit(texts: list[tuple[str, str]], seed: int = 7) -> Field:
@@ -175,7 +185,7 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Field:
             place = np.repeat(first[ids] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             active, word = flat[place], np.repeat(np.arange(len(ids)), n)
             emit = np.add.reduceat(field.weights[active], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
-            p, pairs = forward_backward(emit, lengths, field.move)
+            p, pairs = forward_backward(emit, lengths, field.move, True)
             wrong = -p
             wrong[np.arange(len(ids)), gold] += 1
             grad = np.stack([np.bincount(active, wrong[word, y], BUCKETS + len(labels)) for y in range(len(labels))], axis=1) / len(chosen) - DECAY * field.weights
@@ -202,12 +212,12 @@ class Labeller:
         if len(self.known) > CACHE_WORDS:
             self.known, self.table = {}, self.table[:0]
         flat = [w for t in texts for w in t]
-        new = [w for w in dict.fromkeys(flat) if w not in self.known]
+        new = sorted(set(flat).difference(self.known))
         base = len(self.known)
         self.known.update((w, base + i) for i, w in enumerate(new))
         if new:
             self.table = np.concatenate([self.table, self.field.scores(new)])
-        ids = np.fromiter((self.known[w] for w in flat), np.int64, len(flat))
+        ids = np.array(list(map(self.known.__getitem__, flat)), np.int64)
         lengths = np.array([len(t) for t in texts if t])
         return forward_backward(self.table[ids], lengths, self.field.move)[0] if len(ids) else np.zeros((0, len(self.field.labels)))
 
