@@ -32,7 +32,7 @@ from .winnow import BASES, Hashes, finished, runs
 #: Text bytes that anchors are sought in at once; each takes about 100 bytes of memory.
 ANCHOR_BYTES = 1 << 19
 #: Different blocks of one anchor that one kernel call takes.
-HOT, PARTS = 256, 6
+HOT, PARTS = 128, 6
 #: Bytes of block text that a kernel works on at once, if single anchors allow.
 KERNEL_BYTES = 2 << 20
 #: Stands for a null id, below all others.
