@@ -96,6 +96,12 @@ class Vocabulary:
             ends[node] = i
         self.edge = np.array(sorted(edges), np.int64)
         self.node = np.array([edges[x] for x in sorted(edges)], np.int64)
+        self.two = np.full(1 << 16, -1, np.int64)  # nodes of the first two bytes, as most walks end there
+        for x, node in edges.items():
+            if x < 256:
+                for y in range(256):
+                    self.two[x * 256 + y] = edges.get(node * 256 + y, -1)
+        self.one = np.array([edges.get(x, -1) for x in range(256)], np.int64)
         self.end = np.full(len(edges) + 1, -1, np.int64)
         self.end[list(ends)] = list(ends.values())
 
@@ -109,10 +115,19 @@ class Vocabulary:
         start, length, ids = [], [], []
         n = 0
         while len(at):
-            key = node * 256 + data[at + n]
-            place = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
-            found = self.edge[place] == key
-            at, node = at[found], self.node[place[found]]
+            if n == 0:
+                node = self.one[data[at]]
+                found = node >= 0
+                at, node = at[found], node[found]
+            elif n == 1:
+                node = self.two[data[at].astype(np.int64) * 256 + data[at + 1]]
+                found = node >= 0
+                at, node = at[found], node[found]
+            else:
+                key = node * 256 + data[at + n]
+                place = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+                found = self.edge[place] == key
+                at, node = at[found], self.node[place[found]]
             n += 1
             piece = self.end[node]
             whole = piece >= 0
@@ -180,7 +195,8 @@ class Sampler:
         origin[first + np.arange(len(chunks))] = True
         back = np.where(origin[head], -1, head + self.states)
         self.last = np.concatenate([self.last, first + size + np.arange(len(chunks)) + self.states])
-        self.first = np.concatenate([self.first, (np.searchsorted(tail[order], np.arange(len(total))) + len(self.limit)).astype(np.int32)])
+        arcs = np.bincount(tail, minlength=len(total))
+        self.first = np.concatenate([self.first, (np.cumsum(arcs) - arcs + len(self.limit)).astype(np.int32)])
         self.limit = np.concatenate([self.limit, (threshold[order] - 1).astype(np.uint32)])
         self.back = np.concatenate([self.back, back[order].astype(np.int32)])
         self.id = np.concatenate([self.id, ids[order].astype(np.int32)])
