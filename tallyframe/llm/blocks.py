@@ -1,7 +1,8 @@
 """Finding repeated windows of a corpus: anchors, different blocks, a kernel for each anchor's blocks, and back to places.
 
 1. Every run's anchor hash goes into one aggregate; anchors that occur once are left out.
-2. Runs of the others (candidates) are aggregated by their block's 128-bit hash: copies of a block count, they are not moved.
+2. Runs of the others (candidates) are aggregated by their block's 128-bit digest (BLAKE2b of its bytes, so that equal
+   digests are equal blocks, also of texts made to collide): copies of a block count, they are not moved.
 3. A block that is its anchor's only one is decided by its count. Of the others one copy each is cut from the texts.
 4. An anchor's blocks meet in a task, where the operator's kernel finds the windows that they share. An anchor of more
    than HOT different blocks is split: its windows' distances from the anchor are cut into PARTS ranges, each window's
@@ -13,11 +14,13 @@
 No step drops rows: whatever is left out is known not to repeat. Intermediate tables are in the shared folder. Joins
 shuffle both sides unless Spark finds one under its broadcast limit; those on hot keys read plain tables, so that
 adaptive execution can split them.
-A text is known by its id and a hash of the text, so repeated ids and repeated rows are kept apart or agree.
+A text is known by its id and a 128-bit hash of the text: rows of one id, or without one, are kept apart, and repeated
+rows agree. Ids of any type that has an order will do; those that aren't integers are numbered in their order first.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import bounded, freed, raw_texts, removed, slices, written
-from .winnow import BASES, Hashes, finished, runs
+from .common import bounded, passing, raw_texts, removed, shared_dir, slices, written
+from .winnow import runs
 
 #: Text bytes that anchors are sought in at once; each takes about 100 bytes of memory.
 ANCHOR_BYTES = 1 << 19
@@ -37,6 +41,8 @@ HOT, PARTS = 128, 6
 KERNEL_BYTES = 2 << 20
 #: Stands for a null id, below all others.
 NO_ID = -(1 << 63)
+#: What a text is known by.
+KEY = ["id", "m1", "m2"]
 RANGES = "array<struct<first:int,last:int,least:bigint>>"
 #: (first window, one after the last, smallest id with such windows) in a block.
 Range = tuple[int, int, int]
@@ -51,19 +57,30 @@ class Plan:
     codes: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]  # 64-bit codes of texts one after another, and their numbers
     cutter: Callable[[bytes], Callable[[int, int], bytes]]  # of a text: the block from a unit to another
     across: bool  # windows must repeat across ids, not just anywhere
-    kernel: Callable[..., list[list[Range]]]  # (blocks, anchor of each, copies, least id, greatest id, windows, anchor's place)
+    kernel: Callable[..., list[list[Range]]]  # (blocks, anchor of each, copies, least id, greatest id, windows, anchor's place, shared folder for external files)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, id (never null), mark (the text's hash) and text."""
-    text = F.col(text_col).cast("string")
-    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("mark"), text.alias("text"))
+    """doc_id, id (a number in the order of the ids, null lowest), m1 and m2 (a 128-bit hash of the text) and text."""
+    own = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    number = F.col("doc_id").cast("long")
+    if not isinstance(own.schema["doc_id"].dataType, IntegralType):
+        ids = own.select(F.col("doc_id").alias("of")).filter("of is not null").distinct()
+        ids = ids.repartitionByRange("of").sortWithinPartitions("of").withColumn("number", F.monotonically_increasing_id())
+        own, number = own.join(written(ids, "ids"), F.col("doc_id") == F.col("of"), "left"), F.col("number")
+    return own.select("doc_id", F.coalesce(number, F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("m1"), F.xxhash64(F.lit(1), "text").alias("m2"), "text")
+
+
+def digests(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of each block's 128-bit digest."""
+    both = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in blocks]), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def _anchors(data: DataFrame, plan: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=ANCHOR_BYTES):
-            t, *_, h, _a, _b = runs(*plan.codes(raw_texts(b)), plan.size, plan.gram)
+            t, *_, h = runs(*plan.codes(raw_texts(b)), plan.size, plan.gram)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("id").take(pa.array(t))], ["h", "id"])
 
     return data.select("id", "text").mapInArrow(run, "h long, id long")
@@ -72,14 +89,20 @@ def _anchors(data: DataFrame, plan: Plan) -> DataFrame:
 def _candidates(data: DataFrame, plan: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, most=ANCHOR_BYTES):
-            t, s, n, off, h, x, y = runs(*plan.codes(raw_texts(b)), plan.size, plan.gram)
+            texts = raw_texts(b)
+            t, s, n, off, h = runs(*plan.codes(texts), plan.size, plan.gram)
+            found, last, cut = [], -1, None
+            for i, x, y in zip(t.tolist(), s.tolist(), (s + n + plan.size - 1).tolist(), strict=True):
+                if i != last:
+                    last, cut = i, plan.cutter(texts[i])
+                found.append(cut(x, y))
             own = pa.array(t)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(own), b.column("mark").take(own), pa.array(s, pa.int32()), pa.array(n * 1024 + off, pa.int32()), *(pa.array(v.view(np.int64)) for v in (h, x, y))],
-                ["id", "mark", "start", "shape", "h", "a", "b"],
+                [*(b.column(c).take(own) for c in KEY), pa.array(s, pa.int32()), pa.array(n * 1024 + off, pa.int32()), *(pa.array(v) for v in (h.view(np.int64), *digests(found)))],
+                [*KEY, "start", "shape", "h", "a", "b"],
             )
 
-    return data.select("id", "mark", "text").mapInArrow(run, "id long, mark int, start int, shape int, h long, a long, b long")
+    return data.select(*KEY, "text").mapInArrow(run, "id long, m1 long, m2 long, start int, shape int, h long, a long, b long")
 
 
 def _counted(blocks: DataFrame) -> DataFrame:
@@ -95,21 +118,26 @@ def _decided(blocks: DataFrame, plan: Plan) -> DataFrame:
     return one.select("a", "b", whole.cast(RANGES).alias("ranges"))
 
 
+def _same():
+    """Of a text's key and one whose columns end in an underscore."""
+    return (F.col("id") == F.col("id_")) & (F.col("m1") == F.col("m1_")) & (F.col("m2") == F.col("m2_"))
+
+
 def _cut(data: DataFrame, blocks: DataFrame, plan: Plan) -> DataFrame:
     """The blocks with their text, from the place of one copy each."""
-    wanted = blocks.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "shape", "h", "a", "b", "n", "least", "most", "k")).alias("wanted"))
-    wanted = written(wanted.withColumnsRenamed({"id": "id_", "mark": "mark_"}), "wanted")
-    met = data.select("id", "mark", "text").join(wanted, (F.col("id") == F.col("id_")) & (F.col("mark") == F.col("mark_"))).select("id", "mark", "text", "wanted")
+    wanted = blocks.groupBy(*KEY).agg(F.collect_list(F.struct("start", "shape", "h", "a", "b", "n", "least", "most", "k")).alias("wanted"))
+    wanted = written(wanted.withColumnsRenamed({c: c + "_" for c in KEY}), "wanted")
+    met = data.select(*KEY, "text").join(wanted, _same()).select(*KEY, "text", "wanted")
     names = ["h", "a", "b", "n", "least", "most", "k", "shape", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()  # the task's texts: repeated rows give their blocks once
         for b in slices(batches, most=ANCHOR_BYTES):
             rows: list[tuple] = []
-            for i, mark, text, wanted in zip(b.column("id").to_pylist(), b.column("mark").to_pylist(), raw_texts(b), b.column("wanted").to_pylist(), strict=True):
-                if (i, mark) in seen:
+            for *key, text, wanted in zip(*(b.column(c).to_pylist() for c in KEY), raw_texts(b), b.column("wanted").to_pylist(), strict=True):
+                if tuple(key) in seen:
                     continue
-                seen.add((i, mark))
+                seen.add(tuple(key))
                 cut = plan.cutter(text)
                 rows += [(*(w[c] for c in names[:-1]), cut(w["start"], w["start"] + (w["shape"] >> 10) + plan.size - 1)) for w in wanted]
                 if len(rows) > 8192:
@@ -128,6 +156,8 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def _kernel(blocks: DataFrame, plan: Plan) -> DataFrame:
     """Shared windows of anchors with 2 to HOT blocks; an anchor's blocks are consecutive rows of one task."""
+    folder = shared_dir(blocks.sparkSession, "external")
+    passing(blocks.sparkSession, folder)
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("least", pa.int64())]))
 
     def out(rows: list[dict]) -> pa.RecordBatch:
@@ -135,7 +165,7 @@ def _kernel(blocks: DataFrame, plan: Plan) -> DataFrame:
         rows = list(seen.values())
         n, least, most, shape = (np.array([r[c] for r in rows], np.int64) for c in ("n", "least", "most", "shape"))
         anchor = np.cumsum([0, *(x["h"] != y["h"] for x, y in zip(rows, rows[1:]))])  # noqa: B905
-        found = plan.kernel([r["block"] for r in rows], anchor, n, least, most, shape >> 10, shape & 1023)
+        found = plan.kernel([r["block"] for r in rows], anchor, n, least, most, shape >> 10, shape & 1023, folder)
         own = [(r["a"], r["b"], [dict(zip(("first", "last", "least"), x, strict=True)) for x in f]) for r, f in zip(rows, found, strict=True) if f]
         a, b, f = zip(*own, strict=True) if own else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(f, kind)], ["a", "b", "ranges"])
@@ -164,18 +194,15 @@ def _split(blocks: DataFrame, plan: Plan, step: int) -> DataFrame:
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                codes, _ = plan.codes([r["block"]])
-                one, two, cut = Hashes(codes, BASES[0]), Hashes(codes, BASES[1]), plan.cutter(r["block"])
-                count, off = r["shape"] >> 10, r["shape"] & 1023
+                cut, count, off = plan.cutter(r["block"]), r["shape"] >> 10, r["shape"] & 1023
                 first = 0
                 while first < count:
                     part = (off - first) // step
                     last = min(count, off - part * step + 1)  # one after the last window of this range
                     s, e = off - part * step, off - part * step - step + 1 + plan.size  # covered by any window of the range
-                    deal = finished(one.of(np.array([s]), np.array([e])) + np.uint64(part * 2 + 1))
-                    span = np.array([first]), np.array([last + plan.size - 1])
-                    ids = [int(x.view(np.int64)[0]) for x in (deal, one.of(*span), two.of(*span))]
-                    rows.append((r["a"], r["b"], first, *ids, r["n"], r["least"], r["most"], (last - first) * 1024 + off - first, cut(first, last + plan.size - 1)))
+                    whole = cut(first, last + plan.size - 1)
+                    (deal, one), (_, two) = digests([b"%d %b" % (part, cut(s, e)), whole])
+                    rows.append((r["a"], r["b"], first, int(deal), int(one), int(two), r["n"], r["least"], r["most"], (last - first) * 1024 + off - first, whole))
                     first = last
             if rows:
                 yield _batch(rows, names)
@@ -200,37 +227,28 @@ def _found(blocks: DataFrame, plan: Plan, step: int) -> DataFrame:
     return plain.unionByName(own.select(F.col("pa").alias("a"), F.col("pb").alias("b"), F.col("ranges").cast(RANGES)))
 
 
-def repeated(df: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_, mark_ and spans array<struct<first,last>> (units, in no order, possibly overlapping) of texts with units in repeated windows."""
+def spans(df: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and spans array<struct<first,last>> of every row: units in repeated windows, in no order, possibly overlapping; null without any."""
     spark = df.sparkSession
     bounded(spark)
     data = keyed(df, id_col, text_col)
     met = _anchors(data, plan).groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n"))
     often = written(met.filter("most > least" if plan.across else "n > 1").select(F.col("h").alias("h_")), "anchors")
-    freed(spark)
     found = written(_candidates(data, plan).join(often, F.col("h") == F.col("h_"), "left_semi"), "candidates")
-    freed(spark)
-    first = F.min(F.struct("id", "mark", "start", "shape")).alias("own")
+    removed(spark, often)
+    first = F.min(F.struct(*KEY, "start", "shape")).alias("own")
     blocks = found.groupBy("h", "a", "b").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"), first)
     blocks = written(_counted(written(blocks.select("h", "a", "b", "n", "least", "most", "own.*"), "different")), "blocks")
     whole = written(_cut(data, blocks.filter("k > 1"), plan), "cut")
-    freed(spark)
-    ranges = _decided(blocks, plan).unionByName(_found(whole, plan, plan.size - plan.gram + 1))
-    ranges = written(ranges.withColumnsRenamed({"a": "a_", "b": "b_"}), "ranges")
+    ranges = written(_decided(blocks, plan).unionByName(_found(whole, plan, plan.size - plan.gram + 1)).withColumnsRenamed({"a": "a_", "b": "b_"}), "ranges")
+    removed(spark, blocks, whole)
     rows = found.join(ranges, (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")))
     hits = F.filter("ranges", lambda x: x.least < F.col("id")) if plan.across else F.col("ranges")
-    spans = F.transform(hits, lambda x: F.struct((x.first + F.col("start")).alias("first"), (x["last"] + F.col("start") + F.lit(plan.size - 1)).alias("last")))
-    own = rows.select("id", "mark", spans.alias("spans")).filter(F.size("spans") > 0).groupBy(F.col("id").alias("id_"), F.col("mark").alias("mark_")).agg(F.flatten(F.collect_set("spans")).alias("spans"))  # repeated rows have equal ones
-    out = written(own, "spans")
-    removed(spark, often, found, blocks, whole, ranges)
-    freed(spark)
-    return out
-
-
-def texts_with(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and spans (null where there are none) of every row."""
-    data = keyed(df, id_col, text_col)
-    return data.join(spans, (F.col("id") == F.col("id_")) & (F.col("mark") == F.col("mark_")), "left").select("doc_id", "text", "spans")
+    moved = F.transform(hits, lambda x: F.struct((x.first + F.col("start")).alias("first"), (x["last"] + F.col("start") + F.lit(plan.size - 1)).alias("last")))
+    own = rows.select(*(F.col(c).alias(c + "_") for c in KEY), moved.alias("spans")).filter(F.size("spans") > 0)
+    own = written(own.groupBy(*(c + "_" for c in KEY)).agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")  # repeated rows have equal ones
+    removed(spark, found, ranges)
+    return data.join(own, _same(), "left").select("doc_id", "text", "spans")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -16,7 +16,7 @@ from ..session import shipped
 #: Text bytes that one step of a Python kernel takes at once; a longer single text is a step of its own.
 SLICE_BYTES = 4 << 20
 #: Rows in an Arrow batch sent to Python; whole batches are in a worker's memory.
-BATCH_ROWS = 1024
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded(spark: SparkSession) -> None:
-    """Keep Arrow batches small: a batch of BATCH_ROWS very long texts still fits a worker."""
+    """Keep Arrow batches small: a batch of BATCH_ROWS very long texts still fits a worker.
+
+    Batches are sized when a plan runs, after the operator has returned it, so the session keeps these settings;
+    smaller ones of its own stay as they are.
+    """
     shipped(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        own = str(spark.conf.get(key))
+        if not (own.isdigit() and 0 < int(own) <= most):
+            spark.conf.set(key, str(most))
 
 
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -55,34 +61,68 @@ def raw_texts(batch: pa.RecordBatch, column: str | int = "text") -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one that the session names; a default only where it is unset."""
+    """A new folder below the shared one that the session names; only a local session may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Within, an execution's shuffle files go as it ends; the session's own setting comes back after."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write as Parquet to the shared folder and read again, safe against lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage: write as Parquet to the shared folder and read again, safe against lost executors.
 
+    The folder goes by `removed`, at the latest when the application ends.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    with shuffles_cleaned(spark):
+        df.write.parquet(path)
+    passing(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def removed(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete what `written` made, once nothing reads it any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for df in frames:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
-def hex64(c: Column) -> Column:
-    return F.lower(F.lpad(F.hex(c), 16, "0"))
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the application ends."""
+    fs, p = _hadoop(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
 
 
-def freed(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def removed(spark: SparkSession, *frames: DataFrame | str) -> None:
+    """Delete what `written` made, or folders, once nothing reads them any more."""
+    for x in frames:
+        for path in {x} if isinstance(x, str) else {f.rsplit("/", 1)[0] for f in x.inputFiles()}:
+            fs, p = _hadoop(spark, path)
+            fs.delete(p, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put in front until the input has no such column."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
+def hex64(c: Column) -> Column:
+    return F.lower(F.lpad(F.hex(c), 16, "0"))

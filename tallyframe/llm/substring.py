@@ -2,9 +2,13 @@
 
 `blocks` says how the corpus is cut so that equal windows meet. In a task, the suffixes that start the windows of its blocks
 are split by variable-length prefixes: a prefix of one word is made longer, word by word, where more than LIMIT suffixes
-share it, and small groups share a tree. Each group's suffixes are sorted, the common prefixes of neighbours are the
-depths of its suffix tree's internal nodes, and the maximal nodes of SIZE words or more are the repeated windows; a
-node's smallest id decides for all suffixes below it.
+share it, and small groups share a tree. Each group's suffixes are sorted, the common prefixes of neighbours give its
+suffix tree's internal nodes, and those of SIZE words or more (to which suffixes are cut, so none is below another) are
+the repeated windows; a node's smallest id decides for all suffixes below it.
+
+Tasks are dealt by prefixes too, though not by those of the windows: an anchor is the first GRAM words of the suffix that
+begins there, so dealing by anchors deals these suffixes by a prefix, and an anchor of many blocks is split by longer
+stretches. Dealing each window's suffix by its own prefix would move 50 words for each word.
 
 Null texts and texts of under SIZE words lose nothing. Of equal rows with equal ids none is smaller, so neither loses to the
 other. A null id is smaller than any other. Repetition within one document doesn't count. Other columns never matter.
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -21,7 +26,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .blocks import Plan, Range, merged, ranges_of, repeated, texts_with
+from . import blocks as B
+from .blocks import Plan, Range, merged, ranges_of
 from .common import raw_texts, slices, table
 
 SIZE, GRAM = 50, 12
@@ -45,7 +51,8 @@ def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def cutter(text: bytes) -> Callable[[int, int], bytes]:
     words = text.split()
-    return lambda s, e: b" ".join(words[s:e])
+    joined, at = b" ".join(words), list(accumulate([len(w) + 1 for w in words], initial=0))
+    return lambda s, e: joined[at[s] : at[e] - 1]
 
 
 def prefix_groups(words: np.ndarray, starts: np.ndarray, size: int = SIZE, limit: int = LIMIT) -> np.ndarray:
@@ -82,12 +89,25 @@ def tree(words: np.ndarray, starts: np.ndarray, size: int = SIZE) -> tuple[np.nd
     return order, np.concatenate([[0], common])
 
 
-def deep_nodes(common: np.ndarray, size: int = SIZE) -> np.ndarray:
-    """For each suffix in order, the number of its maximal node of depth `size` or more (alone: a leaf)."""
-    return np.cumsum(common < size) - 1
+def nodes(common: np.ndarray) -> list[tuple[int, int, int]]:
+    """The internal nodes of a suffix tree as (depth, first suffix, one after the last) in the suffixes' order, children before parents, the root last."""
+    out, open_ = [], [(0, 0)]  # (depth, first suffix) of the nodes on the way to the suffix at hand
+    for i, depth in enumerate(common.tolist()):
+        first = max(0, i - 1)
+        while open_[-1][0] > depth:
+            deeper, first = open_.pop()
+            out.append((deeper, first, i))
+        if open_[-1][0] < depth:
+            open_.append((depth, first))
+    return out + [(depth, first, len(common)) for depth, first in reversed(open_)]
+
+
+def deep(found: list[tuple[int, int, int]], size: int = SIZE) -> list[tuple[int, int]]:
+    """The suffixes below each maximal repeat, an internal node of `size` words or more: (first, one after the last)."""
+    return [(s, e) for depth, s, e in found if depth >= size]
 
 
-def kernel(blocks: list[bytes], anchor: np.ndarray, copies: np.ndarray, least: np.ndarray, most: np.ndarray, windows: np.ndarray, off: np.ndarray, size: int = SIZE) -> list[list[Range]]:
+def kernel(blocks: list[bytes], anchor: np.ndarray, copies: np.ndarray, least: np.ndarray, most: np.ndarray, windows: np.ndarray, off: np.ndarray, folder: str | None = None, size: int = SIZE) -> list[list[Range]]:
     """Ranges of each block's windows by the smallest id that has them, where that is below the block's greatest."""
     split = [b.split() for b in blocks]
     words = pd.factorize(np.array([w for s in split for w in s], dtype=object))[0] + 1
@@ -98,9 +118,9 @@ def kernel(blocks: list[bytes], anchor: np.ndarray, copies: np.ndarray, least: n
     low = least[own].copy()
     for some in trees(prefix_groups(words, starts, size)):
         order, common = tree(words, starts[some], size)
-        node = deep_nodes(common, size)
-        best = np.minimum.reduceat(low[some][order], np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])))
-        low[some[order]] = best[node]
+        for s, e in deep(nodes(common), size):
+            below = some[order[s:e]]
+            low[below] = low[below].min()
     cut = np.cumsum(windows)[:-1]
     return [ranges_of(v, v < m) for v, m in zip(np.split(low, cut), most.tolist(), strict=True)]
 
@@ -110,7 +130,7 @@ PLAN = Plan(SIZE, GRAM, codes, cutter, True, kernel)
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and spans array<struct<first,last>>, word runs to remove (null: none; unsorted, may overlap), of every row."""
-    return texts_with(df, repeated(df, PLAN, id_col, text_col), id_col, text_col)
+    return B.spans(df, PLAN, id_col, text_col)
 
 
 def digest(found: DataFrame) -> DataFrame:

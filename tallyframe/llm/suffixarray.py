@@ -1,12 +1,15 @@
 """Suffix-array dedup: bytes covered by a string of 200 bytes that also starts elsewhere go.
 
-`blocks` says how the corpus is cut so that equal windows meet. In a task, the blocks of many anchors are a collection of
-documents aligned at their anchors. It is sorted column by column from the right: each round reads one column of an
-external file, one symbol of each document, puts the symbols before the suffixes in the order so far, which is that
-column's part of the collection's Burrows-Wheeler transform, and stably sorts them into the order of the suffixes that
-are one symbol longer. The common prefixes of neighbours follow from the smallest one between their places before. Equal
-windows stand in the same column, so neighbours with SIZE common symbols are all that is looked for; of each column
-only its order and common prefixes stay in memory.
+`blocks` says how the corpus is cut so that equal windows meet: an exact filter before the construction. In a task, the
+blocks of many anchors are a collection of documents aligned at their anchors. It is sorted column by column from the right
+through sequential files in the shared folder: each round reads one column, one symbol of each document, and inserts it.
+The symbols in the order of the suffixes so far are that column's part of the collection's Burrows-Wheeler transform;
+stably sorting by them gives the order of the suffixes that are one symbol longer, and the common prefixes of neighbours
+follow from the smallest one between their places before. Each round appends its part of the transform, the new order
+and the common prefixes to a file of SEGMENT rounds; the next file's first round starts from the last run of the one
+before. When all columns are in, the files are read from the first, and neighbours with SIZE common symbols or more
+are repeated windows. Equal windows stand in equal columns, so the parts of different columns are not merged into one
+transform, which would make every round rewrite all those before it.
 
 Matches never cross texts. Null and empty texts and those under SIZE bytes lose nothing. Repeated rows repeat each other: all
 of them lose what they share. Overlapping windows count, in one text too. Ids that are null or repeat are kept apart by a
@@ -16,18 +19,22 @@ hash of the text. Other columns never matter.
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
-from .blocks import Plan, Range, merged, ranges_of, repeated, texts_with
+from . import blocks as B
+from .blocks import Plan, Range, merged, ranges_of
 from .common import raw_texts, slices, table
 from .winnow import finished
 
 SIZE, GRAM = 200, 32
+#: Rounds of one external file.
+SEGMENT = 64
 CODES = finished(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -57,45 +64,113 @@ def inserted(order: np.ndarray, common: np.ndarray, group: np.ndarray, symbol: n
     return order[place], out
 
 
-def kernel(blocks: list[bytes], anchor: np.ndarray, copies: np.ndarray, least: np.ndarray, most: np.ndarray, windows: np.ndarray, off: np.ndarray, size: int = SIZE) -> list[list[Range]]:
-    """The windows of each block that start twice or more in the collection."""
+class External:
+    """Sequential files of one collection, in the shared folder; in memory without one, or where only Spark reads it."""
+
+    def __init__(self, folder: str | None):
+        self.held: dict[str, pa.Buffer] = {}
+        try:
+            self.fs, self.path = pyarrow.fs.FileSystem.from_uri(f"{folder}/{uuid.uuid4().hex}") if folder else (None, "")
+        except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+            self.fs, self.path = None, ""
+        if self.fs:
+            self.fs.create_dir(self.path, recursive=True)
+
+    def write(self, name: str) -> pa.NativeFile:
+        return self.fs.open_output_stream(f"{self.path}/{name}") if self.fs else pa.BufferOutputStream()
+
+    def done(self, name: str, stream: pa.NativeFile) -> None:
+        if self.fs:
+            stream.close()
+        else:
+            self.held[name] = stream.getvalue()
+
+    def read(self, name: str) -> pa.NativeFile:
+        return self.fs.open_input_file(f"{self.path}/{name}") if self.fs else pa.BufferReader(self.held[name])
+
+    def clear(self) -> None:
+        if self.fs:
+            self.fs.delete_dir(self.path)
+
+
+def put(file: pa.NativeFile, x: int, symbols: np.ndarray, order: np.ndarray, common: np.ndarray) -> None:
+    """Append a round's run: its column, the transform's part, the order of the documents and the common prefixes."""
+    file.write(np.array([x, len(symbols), len(order)], np.int32).tobytes() + symbols.tobytes() + order.astype(np.int32).tobytes() + common.astype(np.int16).tobytes())
+
+
+def get(file: pa.NativeFile) -> tuple[int, np.ndarray, np.ndarray, np.ndarray] | None:
+    """The next run, or None at the end."""
+    head = file.read(12)
+    if not head:
+        return None
+    x, m, n = np.frombuffer(head, np.int32).tolist()
+    return x, np.frombuffer(file.read(m), np.uint8), np.frombuffer(file.read(4 * n), np.int32).astype(np.int64), np.frombuffer(file.read(2 * n), np.int16).astype(np.int32)
+
+
+def construct(files: External, blocks: list[bytes], anchor: np.ndarray, off: np.ndarray, size: int) -> list[str]:
+    """Insert all columns of a collection; the names of the files of runs, in order."""
     m = len(blocks)
     length = np.array([len(b) for b in blocks], np.int64)
-    low, high = int((-off).min()), int((length - off).max())
-    flags = np.zeros((m, int(windows.max())), bool)
     begin, end = -off, length - off
-    with tempfile.TemporaryFile() as file:
-        whole = np.zeros((high - low, m), np.uint8)  # columns from the right are rows here
-        own = np.repeat(np.arange(m), length)
-        column = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length) - off[own]
-        whole[high - 1 - column, own] = np.frombuffer(b"".join(blocks), np.uint8)
-        whole.tofile(file)
-        del whole, own, column
-        file.seek(0)
-        order, common = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        starting = np.argsort(end, kind="stable")
-        at = np.searchsorted(end[starting], np.arange(low, high + 2))
-        stops = set(begin.tolist())
-        for x in range(high - 1, low - 1, -1):
-            symbol = np.fromfile(file, np.uint8, m)
-            if x + 1 in stops:  # documents that begin right of here are done
-                stay = np.flatnonzero(begin[order] <= x)
-                if len(stay) < len(order):  # what a document has in common with the one before that stays: the least up to there
-                    common = np.minimum.reduceat(common[: stay[-1] + 1], np.concatenate([[0], stay[:-1] + 1])) if len(stay) else common[:0]
-                    order = order[stay]
-            new = starting[at[x + 1 - low] : at[x + 2 - low]]
-            if len(new):
-                order, common = np.concatenate([new, order]), np.concatenate([np.zeros(len(new), np.int32), common])
-                common[len(new) : len(new) + 1] = 0
-            if not len(order):
-                continue
-            order, common = inserted(order, common, anchor, symbol, size)
-            first = x + off[order]
-            number = np.cumsum(common < size) - 1
-            whole_ = first < windows[order]
-            total = np.bincount(number, weights=copies[order] * whole_)
-            again = np.flatnonzero((total[number] > 1) & whole_)
-            flags[order[again], first[again]] = True
+    low, high = int(begin.min()), int(end.max())
+    whole = np.zeros((high - low, m), np.uint8)  # columns from the right are rows here
+    own = np.repeat(np.arange(m), length)
+    column = np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length) - off[own]
+    whole[high - 1 - column, own] = np.frombuffer(b"".join(blocks), np.uint8)
+    out = files.write("columns")
+    out.write(whole.tobytes())
+    files.done("columns", out)
+    del whole, own, column
+    starting = np.argsort(end, kind="stable")
+    at = np.searchsorted(end[starting], np.arange(low, high + 2))
+    stops = set(begin.tolist())
+    names, last = [], 0
+    with files.read("columns") as columns:
+        for top in range(high - 1, low - 1, -SEGMENT):
+            order, common = np.zeros(0, np.int64), np.zeros(0, np.int32)
+            if names:
+                with files.read(names[-1]) as before:
+                    before.seek(last)
+                    _, _, order, common = get(before)
+            names.append(f"runs{len(names)}")
+            out = files.write(names[-1])
+            for x in range(top, max(low, top - SEGMENT + 1) - 1, -1):
+                symbol = np.frombuffer(columns.read(m), np.uint8)
+                if x + 1 in stops:  # documents that begin right of here are done
+                    stay = np.flatnonzero(begin[order] <= x)
+                    if len(stay) < len(order):  # what a document has in common with the one before that stays: the least up to there
+                        common = np.minimum.reduceat(common[: stay[-1] + 1], np.concatenate([[0], stay[:-1] + 1])) if len(stay) else common[:0]
+                        order = order[stay]
+                new = starting[at[x + 1 - low] : at[x + 2 - low]]
+                if len(new):
+                    order, common = np.concatenate([new, order]), np.concatenate([np.zeros(len(new), np.int32), common])
+                    common[len(new) : len(new) + 1] = 0
+                symbols = symbol[order]
+                if len(order):
+                    order, common = inserted(order, common, anchor, symbol, size)
+                last = out.tell()
+                put(out, x, symbols, order, common)
+            files.done(names[-1], out)
+    return names
+
+
+def kernel(blocks: list[bytes], anchor: np.ndarray, copies: np.ndarray, least: np.ndarray, most: np.ndarray, windows: np.ndarray, off: np.ndarray, folder: str | None = None, size: int = SIZE) -> list[list[Range]]:
+    """The windows of each block that start twice or more in the collection."""
+    flags = np.zeros((len(blocks), int(windows.max())), bool)
+    files = External(folder)
+    try:
+        for name in construct(files, blocks, anchor, off, size):
+            with files.read(name) as runs:
+                while run := get(runs):
+                    x, _, order, common = run
+                    first = x + off[order]
+                    number = np.cumsum(common < size) - 1
+                    starts = first < windows[order]
+                    total = np.bincount(number, weights=copies[order] * starts)
+                    again = np.flatnonzero((total[number] > 1) & starts) if len(order) else number
+                    flags[order[again], first[again]] = True
+    finally:
+        files.clear()
     zero = np.zeros(flags.shape[1], np.int8)
     return [ranges_of(zero[:n], f[:n]) for f, n in zip(flags, windows.tolist(), strict=True)]
 
@@ -105,7 +180,7 @@ PLAN = Plan(SIZE, GRAM, codes, cutter, False, kernel)
 
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and spans array<struct<first,last>>, byte runs to remove (null: none; unsorted, may overlap), of every row."""
-    return texts_with(df, repeated(df, PLAN, id_col, text_col), id_col, text_col)
+    return B.spans(df, PLAN, id_col, text_col)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Odd bases of the polynomial hashes modulo 2**64, and multipliers of their finalizer.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Odd base of the polynomial hash modulo 2**64, which only picks anchors, and multipliers of its finalizer.
+BASE = 0x9E3779B97F4A7C15
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 PLACE = np.uint64((1 << 24) - 1)
 SECTION = 1 << 21
@@ -38,15 +38,12 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """Hashes of all stretches of a unit sequence; equal stretches have equal ones wherever they are."""
+    """Hashes of the stretches of a unit sequence; equal stretches have equal ones wherever they are."""
 
     def __init__(self, units: np.ndarray, base: int):
         self.up, self.down = powers(base, len(units))
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(units * self.up[: len(units)])])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return finished((self.sums[end] - self.sums[start]) * self.down[start])
-
     def grams(self, size: int) -> np.ndarray:
         """Of every stretch of `size` units."""
         n = max(0, len(self.sums) - size)
@@ -65,7 +62,7 @@ def least(keys: np.ndarray, width: int) -> np.ndarray:
 
 def runs(units: np.ndarray, lengths: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
     """The runs of texts: (text's number, first window's place in the text, number of windows, anchor's place after
-    that of the first window, anchor's hash, two hashes of the block).
+    that of the first window, anchor's hash).
 
     `units` holds the 64-bit codes of texts one after another, `lengths` their lengths. Texts of SECTION units or more are
     cut into sections that share no window; a run that this cuts is two runs with one anchor.
@@ -87,19 +84,17 @@ def _runs(units: np.ndarray, lengths: np.ndarray, size: int, gram: int) -> tuple
     begin = np.cumsum(lengths) - lengths
     none = np.zeros(0, np.int64)
     if len(units) < size:
-        return (none,) * 4 + (none.view(np.uint64),) * 3
-    first = Hashes(units, BASES[0])
-    grams = first.grams(gram)
+        return (none,) * 4 + (none.view(np.uint64),)
+    grams = Hashes(units, BASE).grams(gram)
     keys = (grams & ~PLACE) | np.arange(len(grams), dtype=np.uint64)
     anchor = (least(keys, size - gram + 1) & PLACE).astype(np.int64)
     n = np.maximum(lengths - size + 1, 0)
     own = np.repeat(np.arange(len(lengths)), n)
     at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + begin[own]
     if not len(at):
-        return (none,) * 4 + (none.view(np.uint64),) * 3
+        return (none,) * 4 + (none.view(np.uint64),)
     picked = anchor[at]
     start = np.flatnonzero(np.concatenate([[True], (picked[1:] != picked[:-1]) | (own[1:] != own[:-1])]))
     count = np.diff(np.append(start, len(at)))
     text, place = own[start], at[start]
-    end = place + count + size - 1
-    return text, place - begin[text], count, picked[start] - place, grams[picked[start]], first.of(place, end), Hashes(units, BASES[1]).of(place, end)
+    return text, place - begin[text], count, picked[start] - place, grams[picked[start]]

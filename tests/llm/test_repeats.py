@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.llm import blocks, substring, suffixarray, winnow
 
@@ -117,7 +118,7 @@ def test_equal_windows_pick_equal_anchors():
     part, pads = rng.integers(0, 4, 260).astype(np.uint64), [rng.integers(0, 4, k).astype(np.uint64) for k in (0, 13, 400, 57)]
     found = set()
     for a, b in zip(pads, reversed(pads), strict=True):
-        text = np.concatenate([a, part, b]) * np.uint64(winnow.BASES[1])
+        text = np.concatenate([a, part, b]) * np.uint64(0xD6E8FEB86659FD93)
         t, s, n, off, h, *_ = winnow.runs(text, np.array([len(text)]), 200, 32)
         found.add(tuple((int(h[k]), int(off[k] - (p - s[k]))) for p in range(len(a), len(a) + 61) for k in [int(np.searchsorted(s, p, "right")) - 1]))
     assert len(found) == 1
@@ -134,3 +135,75 @@ def test_prefix_groups_hold_whole_trees():
     seen = {}
     for s in starts.tolist():  # equal windows are in one tree
         assert owner[s] == seen.setdefault(words[s : s + 50].tobytes(), owner[s])
+
+
+def equal_short_hashes(spark):
+    """Two unlike texts with one 32-bit hash as Spark computes it."""
+    rng = random.Random(4)
+    base = [prose(rng, 80), prose(rng, 80)]
+    rows = spark.range(300_000).select("id", *(F.hash(F.concat(F.lit(t + " "), F.col("id").cast("string"))).alias(f"h{k}") for k, t in enumerate(base)))
+    a, b = rows.select("h0", F.col("id").alias("a")), rows.select(F.col("h1").alias("h0"), F.col("id").alias("b"))
+    r = a.join(b, "h0").first()
+    return f"{base[0]} {r.a}", f"{base[1]} {r.b}"
+
+
+def test_unlike_texts_of_one_id_and_one_short_hash_are_kept_apart(make, spark):
+    one, other = equal_short_hashes(spark)
+    for ids in ([None, None, 5], [7, 7, 9]):
+        df = make([one, other, one], ids)
+        got = sorted((r.n_bytes, r.n_removed) for r in suffixarray.digest(suffixarray.spans(df)).collect())
+        assert got == sorted([(len(one), len(one)), (len(one), len(one)), (len(other), 0)])
+        got = {(r.doc_id, r.n_removed) for r in substring.digest(substring.spans(df)).collect()}
+        assert got == {(ids[0], 0), (ids[2], len(one.split()))}
+
+
+def test_ids_of_any_ordered_type(spark):
+    rng = random.Random(8)
+    p, q = prose(rng, 70), prose(rng, 70)
+    rows = [("b", p), ("a", p + " " + q), ("c", q), (None, "alone " + prose(rng, 60)), ("", "short")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: r.n_removed for r in substring.digest(substring.spans(df)).collect()}
+    assert got == {"a": 0, "b": 70, "c": 70, None: 0, "": 0}
+    got = {r.doc_id: r.n_removed for r in suffixarray.digest(suffixarray.spans(df)).collect()}
+    assert got["b"] == len(p) and got["c"] == len(q) and got[""] == 0
+
+
+def test_external_files_hold_the_transform_of_each_column(tmp_path):
+    rng = random.Random(5)
+    docs = [bytes(rng.choice(b"ab") for _ in range(rng.randint(9, 90))) for _ in range(40)]
+    off = np.array([rng.randint(0, len(d) - 1) for d in docs])
+    files = suffixarray.External(f"file://{tmp_path}")
+    names = suffixarray.construct(files, docs, np.zeros(len(docs), np.int64), off, 1000)
+    assert len(names) > 1
+    later = None
+    for name in names:
+        with files.read(name) as runs:
+            while run := suffixarray.get(runs):
+                x, symbols, order, common = run
+                own = [d for d in range(len(docs)) if 0 <= x + off[d] < len(docs[d])]
+                tails = [docs[d][x + off[d] :] for d in order.tolist()]
+                assert sorted(order.tolist()) == own and tails == sorted(tails)
+                assert common.tolist() == [0] * bool(tails) + [next((k for k, (a, b) in enumerate(zip(s, t)) if a != b), min(len(s), len(t))) for s, t in zip(tails, tails[1:])]
+                assert sorted(symbols.tolist()) == sorted(docs[d][x + off[d]] for d in own)
+                if later is not None:  # the symbols before the suffixes one column to the right in their order, those of ending documents first
+                    right = [d for d in later if x + off[d] >= 0]
+                    assert symbols.tolist()[len(own) - len(right) :] == [docs[d][x + off[d]] for d in right]
+                later = order.tolist()
+    files.clear()
+    assert not list(tmp_path.iterdir())
+
+
+def test_without_a_store_that_python_reads_files_are_in_memory():
+    files = suffixarray.External("viewfs://cluster/shared")
+    out = files.write("x")
+    out.write(b"abc")
+    files.done("x", out)
+    assert files.read("x").read() == b"abc"
+
+
+def test_nodes_of_a_suffix_tree():
+    text = "b a n a n a".split()
+    tails = sorted(text[i:] for i in range(6))
+    common = [0] + [next((k for k, (a, b) in enumerate(zip(s, t)) if a != b), min(len(s), len(t))) for s, t in zip(tails, tails[1:])]
+    assert substring.nodes(np.array(common)) == [(3, 1, 3), (1, 0, 3), (2, 4, 6), (0, 0, 6)]
+    assert substring.deep(substring.nodes(np.array(common)), 2) == [(1, 3), (4, 6)]
