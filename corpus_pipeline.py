@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class of near-duplicates."""
+    """One document, that of the smallest id, of each class of near-duplicates: fingerprints of op8 at 3 bits or fewer."""
     return simhash.one_of_each(docs)
 
 

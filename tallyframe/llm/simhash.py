@@ -2,13 +2,16 @@
 
 A fingerprint has 8 positional bytes. Two that differ in 3 bits or fewer share 5 or more of them, so some four
 shared positions form one of the 14 planes of the affine space over the positions: any three positions lie in exactly one
-plane, whose complement is a plane too. The index therefore lists different fingerprints by the bytes at each plane
-(a posting list of one byte alone would hold a 256th of the corpus). Pairs that meet in a list are tallied for their
-shared positional bytes, those with 5 or more are verified by their differing bits.
+plane, whose complement is a plane too. The index therefore lists different fingerprints by their bytes at each plane, as
+a list of one byte would hold a 256th of the corpus. Within a list, postings (position, byte) of the positions it
+doesn't fix tally the positional bytes that a pair shares beyond those; pairs that reach the guaranteed 5 are verified
+by their differing bits.
 
-Lists over BLOCK fingerprints are dealt out as pairs of blocks, so one list takes many tasks. A list's links come out as
-a forest: connected fingerprints stay connected, but not all pairs are emitted. Copies share a fingerprint and are
-one entry of the index.
+A list over BLOCK fingerprints is split: the bits that it doesn't fix are cut into four parts (a plane's first four
+are the other bytes), and it becomes four sets of lists that fix one more part each. A pair at 3 bits or fewer agrees in
+one of the parts, so it meets again, and lists of distinct fingerprints with few free bits are short; so this ends with
+short lists however dense the fingerprints are. A list's links come out as a forest: connected fingerprints stay
+connected, but not all pairs are emitted. Copies share a fingerprint and are one entry of the index.
 
 Null, empty and wordless texts have fingerprint zero and are linked like any other. Repeated rows link to each other.
 A null id never is a class id unless its class has no other. Ties can't arise: a class id is the smallest id.
@@ -24,16 +27,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded, hex64, keyed_text, raw_texts, removed, slices, table, written
+from .common import bounded, hex64, keyed_text, raw_texts, removed, slices, table, unused, written
 from .components import components
 
 SEED, SHINGLE = 42, 3
 BITS = 3
 #: Positions (numbers 0 to 7) of the planes: fours whose exclusive or is 0.
 PLANES = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
+MASKS = [sum(0xFF << 8 * p for p in plane) for plane in PLANES]
 MIN_SHARED = 8 - BITS
-BLOCK, MAX_BLOCKS = 512, 16
+#: Fingerprints of a list, and those of a list whose pairs are tallied together with other lists'.
+BLOCK, SHORT = 512, 32
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
@@ -65,41 +71,15 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return data.mapInArrow(run, f"doc_id {data.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether fingerprints share MIN_SHARED positional bytes and, of those, differ in BITS or fewer."""
-    x = np.atleast_1d(a ^ b).view(np.uint64)
-    out = np.zeros(x.shape, bool)
-    few = np.bitwise_count(x) <= 8 * BITS  # sharing 5 bytes leaves no more bits than that
-    shared = (x[few][:, None].view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-    out[few] = (shared >= MIN_SHARED) & (np.bitwise_count(x[few]) <= BITS)
-    return out
-
-
-def forest(values: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (larger place, smaller place) that connect what pairs of near values connect; with `side`, pairs across sides only."""
-    n = len(values)
-    label = np.arange(n)
-    rows = max(1, (1 << 20) // n)
-    pairs = [(label[:0], label[:0])]
-    for i in range(0, n, rows):
-        hit = near(np.repeat(values[i : i + rows], n), np.tile(values, len(values[i : i + rows]))).reshape(-1, n)
-        if side is not None:
-            hit &= side[i : i + rows, None] != side[None, :]
-        r, c = np.nonzero(hit)
-        keep = r + i > c
-        pairs.append((r[keep] + i, c[keep]))
-        if sum(len(a) for a, _ in pairs) > 1 << 20:  # what is linked so far needs no more than a star each
-            label = _joined(label, pairs)
-            own = np.flatnonzero(label != np.arange(n))
-            pairs = [(own, label[own])]
-    label = _joined(label, pairs)
-    own = np.flatnonzero(label != np.arange(n))
-    return own, label[own]
+def finer(mask: int) -> list[int]:
+    """The mask with each of BITS + 1 parts of its free bits: numbers that differ in BITS bits or fewer agree under one of them."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cut = [len(free) * i // (BITS + 1) for i in range(BITS + 2)]
+    return [mask | sum(1 << b for b in free[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def _joined(label: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest place that each place reaches."""
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place that each place reaches over links from a to b."""
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
@@ -113,50 +93,114 @@ def _joined(label: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np
         label = new
 
 
-def links_of(key: np.ndarray, block: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between values whose rows (sorted by key) have equal keys; rows of two blocks pair across them only."""
-    if not len(key):
-        return values, values
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+def tallied(group: np.ndarray, fixed: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (one, other) of the pairs of short lists (rows sorted by `group`) whose tally reaches MIN_SHARED.
+
+    `fixed` tells for each row the positions that its list has fixed, where all bytes are shared. The postings of all
+    other positions are the runs of equal (group, byte); a pair's tally is how many of them it meets in, and the fixed ones.
+    """
+    data = values.view(np.uint8).reshape(-1, 8)
+    known = fixed.sum(axis=1)
+    n = len(values)
+    met = []
+    for p in range(8):
+        rows = np.flatnonzero(~fixed[:, p])
+        key = group[rows] * 256 + data[rows, p]
+        order = np.argsort(key, kind="stable")
+        rows, key = rows[order], key[order]
+        for d in range(1, SHORT):
+            i = np.flatnonzero(key[d:] == key[:-d]) if d < len(key) else key[:0]
+            if not len(i):
+                break
+            met.append(rows[i] * n + rows[i + d])
+    at = np.flatnonzero(known >= MIN_SHARED)  # lists that fix enough: no posting is needed
+    for d in range(1, SHORT):
+        i = at[at < n - d]
+        i = i[group[i] == group[i + d]]
+        if not len(i):
+            break
+        met += [i * n + i + d] * MIN_SHARED
+    pair, count = np.unique(np.concatenate(met), return_counts=True) if met else (np.zeros(0, np.int64),) * 2
+    one, other = pair // max(1, n), pair % max(1, n)
+    enough = count + np.minimum(known[one], MIN_SHARED - 1) >= MIN_SHARED
+    return one[enough], other[enough]
+
+
+def forest(values: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (larger place, smaller place) that connect what the near pairs of one list of up to BLOCK values connect; its tallies are a table."""
+    data = values.view(np.uint8).reshape(-1, 8)
+    tally = np.full((len(values),) * 2, int(fixed.sum()), np.int8)
+    for p in np.flatnonzero(~fixed).tolist():
+        tally += data[:, p, None] == data[None, :, p]
+    one, other = np.nonzero(np.triu(tally >= MIN_SHARED, 1))
+    near = np.bitwise_count((values[one] ^ values[other]).view(np.uint64)) <= BITS
+    label = _joined(np.arange(len(values)), other[near], one[near])
+    own = np.flatnonzero(label != np.arange(len(values)))
+    return own, label[own]
+
+
+def links_of(mask: np.ndarray, value: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between fingerprints whose rows (sorted by mask and value) are of one list."""
+    edge = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1]), [True]]))
     size = np.diff(edge)
-    one, other = [], []
-    small = np.repeat(size, size) <= 32
-    for d in range(1, min(32, int(size.max()))):  # all short lists at once, by distance of rows
-        i = np.flatnonzero(small[:-d] & (key[:-d] == key[d:]))
-        i = i[near(values[i], values[i + d])] if len(i) else i
-        one.append(values[i])
-        other.append(values[i + d])
-    for g in np.flatnonzero(size > 32).tolist():
-        v, s = values[edge[g] : edge[g + 1]], block[edge[g] : edge[g + 1]]
-        a, b = forest(v, s if (s != s[0]).any() else None)
-        one.append(v[a])
-        other.append(v[b])
-    return (np.concatenate(one), np.concatenate(other)) if one else (values[:0], values[:0])
+    group = np.repeat(np.arange(len(size)), size)
+    fixed = np.ascontiguousarray(mask).view(np.uint8).reshape(-1, 8) == 0xFF
+    few = np.flatnonzero((size > 1)[group] & (size <= SHORT)[group])
+    a, b = tallied(group[few], fixed[few], np.ascontiguousarray(fp[few]))
+    a, b = few[a], few[b]
+    near = np.bitwise_count((fp[a] ^ fp[b]).view(np.uint64)) <= BITS
+    one, other = [fp[a[near]]], [fp[b[near]]]
+    for g in np.flatnonzero(size > SHORT).tolist():
+        s = slice(edge[g], edge[g + 1])
+        a, b = forest(np.ascontiguousarray(fp[s]), fixed[edge[g]])
+        one.append(fp[s][a])
+        other.append(fp[s][b])
+    return np.concatenate(one), np.concatenate(other)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _lists(entries: DataFrame) -> list[DataFrame]:
+    """Written tables (fp, mask, value) whose lists, the rows of equal mask and value, have at most BLOCK fingerprints."""
+    spark = entries.sparkSession
+    masks, out = MASKS, []
+    rows = entries.select("fp", F.explode(F.array(*(F.lit(_signed(m)).cast("long") for m in masks))).alias("mask"))
+    while True:
+        index = written(rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask"))), "index")
+        long = index.groupBy("mask", "value").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
+        long = written(long.select(F.col("mask").alias("mask_"), F.col("value").alias("value_")), "long")
+        masks = [m for m in masks if 64 - m.bit_count() > BITS]
+        if not masks or not long.limit(1).count():
+            removed(spark, long)
+            return [*out, index]
+        same = (F.col("mask") == F.col("mask_")) & (F.col("value") == F.col("value_"))
+        out.append(written(index.join(long, same, "left_anti"), "lists"))
+        children = spark.createDataFrame([(_signed(m), _signed(x)) for m in masks for x in finer(m)], "parent long, child long")  # of constant size: 4 for each mask
+        hot = index.join(long, same, "left_semi").join(F.broadcast(children), F.col("mask") == F.col("parent"))
+        rows = written(hot.select("fp", F.col("child").alias("mask")).distinct(), "finer")
+        masks = sorted({x for m in masks for x in finer(m)})
+        removed(spark, index, long)
 
 
 def links(entries: DataFrame) -> DataFrame:
     """Links (a, b) between the different fingerprints in column fp."""
     spark = entries.sparkSession
     bounded(spark)
-    byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
-    keys = [sum((byte[p] * F.lit(1 << 8 * i) for i, p in enumerate(plane)), F.lit(n << 32).cast("long")) for n, plane in enumerate(PLANES)]
-    index = written(entries.select("fp", F.explode(F.array(*keys)).alias("key")), "index")
-    long = index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("key", F.least(F.ceil(F.col("n") / BLOCK), F.lit(MAX_BLOCKS)).cast("int").alias("n_blocks"))
-    dealt = index.join(long, "key", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n_blocks")).cast("int"))
-    # a row of block i meets all of blocks j >= i as (i, j) and j < i as (j, i)
-    part = F.explode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda j: F.least("block", j) * MAX_BLOCKS + F.greatest("block", j)))
-    dealt = dealt.select("fp", "key", "block", part.alias("part"))
+    lists = _lists(entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            key, part, block, fp = (np.concatenate(x) for x in zip(*rows, strict=True))
-            a, b = links_of(key * 256 + part, block, fp)
+            a, b = links_of(*(np.concatenate(x) for x in zip(*rows, strict=True)))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            now = tuple(batch.column(c).to_numpy() for c in ("key", "part", "block", "fp"))
+            now = tuple(batch.column(c).to_numpy() for c in ("mask", "value", "fp"))
+            if not len(now[0]):
+                continue
             change = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
             cut = int(change[-1]) + 1 if len(change) else 0  # the last list may go on in the next batch
             if cut or held and (held[-1][0][-1], held[-1][1][-1]) != (now[0][-1], now[1][-1]):
@@ -166,22 +210,32 @@ def links(entries: DataFrame) -> DataFrame:
         if held:
             yield out(held)
 
-    found = dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long")
+    every = lists[0]
+    for more in lists[1:]:
+        every = every.unionByName(more)
+    found = every.select("mask", "value", "fp").repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(run, "a long, b long")
     out = written(found.distinct(), "pairs")
-    removed(spark, index)
+    removed(spark, *lists)
+    return out
+
+
+def labelled(entries: DataFrame) -> DataFrame:
+    """The different fingerprints' rows with `label`, the smallest fingerprint that each reaches over links."""
+    found = links(entries)
+    labels = components(found)
+    out = written(entries.join(labels, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp")).drop("node"), "labelled")
+    removed(entries.sparkSession, found, labels)
     return out
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id reachable over links) of every row."""
-    spark = df.sparkSession
     told = written(fingerprints(df, id_col, text_col), "fingerprints")
     entries = written(told.groupBy("fp").agg(F.min("doc_id").alias("least")), "entries")
-    labels = components(links(entries))
-    joined = entries.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    joined = written(joined, "labelled")
+    joined = labelled(entries)
     best = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     named = written(joined.join(best, "label").select(F.col("fp").alias("fp_"), "component_id"), "named")
+    removed(df.sparkSession, entries, joined)
     return told.join(named, F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id")
 
 
@@ -190,14 +244,24 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they were, whose id is their class's smallest; of repeated ids one row stays.
+    """One row, all columns as they were, of each class of near-duplicates: that of the smallest id (a null one only where there is no other).
 
-    The ids that go are broadcast if their count keeps them under 8 MB, else joined.
+    Rows are numbered as they are written, so classes are of rows, whatever their ids: of rows of one id the one whose
+    text's hash is smallest goes before, of wholly equal ones the first.
     """
-    told = written(classes(df, id_col, text_col).select("doc_id", "component_id"), "classes")
-    gone = told.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    again = told.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    if gone.count() <= (1 << 20):
-        gone = F.broadcast(gone)
-    out = df.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    return out.dropDuplicates([id_col]) if again else out
+    bounded(df.sparkSession)
+    fp, row = unused(df, "fp", "row")
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, at):
+            told = np.array([fingerprint(t) for t in raw_texts(b, at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(told)], [*b.schema.names, fp])
+
+    rows = written(df.mapInArrow(run, StructType([*df.schema.fields, StructField(fp, LongType())])).withColumn(row, F.monotonically_increasing_id()), "rows")
+    rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), F.col(row).alias("row"))
+    entries = written(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(rank).alias("best")), "entries")
+    joined = labelled(entries)
+    kept = written(joined.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias("kept")), "kept")
+    removed(df.sparkSession, entries, joined)
+    return rows.join(kept, F.col(row) == F.col("kept"), "left_semi").select(*df.columns)

@@ -54,11 +54,17 @@ def clusters(rng, n, spread):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("n", "spread", "block", "blocks"), [(300, 4, 512, 16), (300, 4, 40, 16), (260, 6, 8, 3), (200, 9, 16, 16)])
-def test_links_connect_the_same_classes_however_lists_are_dealt(spark, monkeypatch, n, spread, block, blocks):
+def dense(rng, n):
+    """Numbers that differ in 12 bits of two bytes only: every list of the other bytes has all of them."""
+    base = rng.getrandbits(64) & ~0xFFF0
+    return sorted(base | x << 4 for x in rng.sample(range(1 << 12), n))
+
+
+@pytest.mark.parametrize(("n", "spread", "block", "short"), [(300, 4, 512, 32), (300, 4, 512, 4), (300, 4, 40, 32), (260, 6, 8, 4), (200, 9, 16, 8), (300, 0, 16, 4), (300, 0, 2, 2)])
+def test_links_connect_the_same_classes_however_lists_are_split(spark, monkeypatch, n, spread, block, short):
     monkeypatch.setattr(simhash, "BLOCK", block)
-    monkeypatch.setattr(simhash, "MAX_BLOCKS", blocks)
-    values = clusters(random.Random(n + block), n, spread)
+    monkeypatch.setattr(simhash, "SHORT", short)
+    values = dense(random.Random(n), n) if not spread else clusters(random.Random(n + block), n, spread)
     signed = np.array(values, np.uint64).view(np.int64).tolist()
     links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()
     place = {x: i for i, x in enumerate(signed)}
@@ -85,3 +91,37 @@ def test_one_of_each_class_stays(make, nothing):
     again = simhash.one_of_each(df.unionByName(df))
     assert sorted(r.doc_id for r in again.collect()) == sorted(set(label))
     assert simhash.one_of_each(nothing).count() == 0 and simhash.classes(nothing).count() == 0
+
+
+def test_finer_lists_keep_every_near_pair_together():
+    rng = random.Random(2)
+    for mask in (simhash.MASKS[0], simhash.finer(simhash.MASKS[3])[1], (1 << 60) - 1):
+        for _ in range(200):
+            x = rng.getrandbits(64)
+            y = x
+            for b in rng.sample([b for b in range(64) if not mask >> b & 1], rng.randint(0, 3)):
+                y ^= 1 << b
+            assert any(x & m == y & m for m in simhash.finer(mask))
+
+
+def test_postings_tally_the_shared_positional_bytes():
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 4, (60, 8)).astype(np.uint8).view(np.int64).ravel()
+    group = np.sort(rng.integers(0, 5, 60))
+    fixed = np.zeros((60, 8), bool)
+    data = values.view(np.uint8).reshape(-1, 8)
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if group[i] == group[j] and (data[i] == data[j]).sum() >= 5}
+    a, b = simhash.tallied(group, fixed, values)
+    assert {(min(i, j), max(i, j)) for i, j in zip(a.tolist(), b.tolist())} == want and want
+
+
+def test_rows_without_an_own_id_lose_no_unique_text(make):
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa".split()
+    text = lambda k: " ".join(random.Random(k).choices(words, k=40))
+    a, b, c, d, e, f, g = map(text, range(7))
+    for rows in ([(1, a), (None, a), (None, b), (None, c), (7, d), (7, e), (5, a)], [(3, b), (7, b), (7, f), (9, g)], [(None, a), (None, a), (2, c), (2, c)]):
+        ids, texts = zip(*rows)
+        kept = [(r.doc_id, r.text) for r in simhash.one_of_each(make(texts, ids)).collect()]
+        assert sorted(t for _, t in kept) == sorted(set(texts))
+        least = {t: min((i for i, x in rows if x == t and i is not None), default=None) for t in texts}
+        assert all(i == least[t] for i, t in kept)
