@@ -4,11 +4,14 @@ A word's label scores sum the weights of its affixes, inner n-grams and lexicon
 transitions join neighbours; forward-backward gives each word's marginals, also where languages alternate. A text's
 language has the largest sum of marginals, and its score is that sum over the number of words.
 
-The field is fitted on the driver to at most SAMPLE_DOCS labelled texts, dealt evenly over the languages by a hash of the id,
-with sequences that join stretches of texts of different languages. The bound doesn't depend on the corpus.
+The field is fitted on the driver to all words of at most SAMPLE_DOCS different labelled texts, dealt evenly over the languages
+by a hash of the row, with sequences that join stretches of texts of different languages. Texts over SAMPLE_TEXT bytes
+aren't sampled, but for a language's shortest where it has no other; so a bounded number of bytes comes to the driver,
+however the corpus grows. Beyond SAMPLE_DOCS languages those with the most texts are learned.
 
 Null texts and texts without a letter are `und` with score 0. Without any labelled text all are `und`. Rows are
-judged alone: repeated rows give equal results. Of equal sums the alphabetically first language wins.
+judged alone: repeated rows give equal results, and null or repeated ids are ids like others. Of equal sums the
+alphabetically first language wins.
 """
 
 from __future__ import annotations
@@ -20,20 +23,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bounded, keyed_text, slices, table
 
-SAMPLE_DOCS = 1600
-#: Words of one sampled text that training keeps, evenly spread stretches of it; prediction takes all words.
-SAMPLE_WORDS = 200
+#: Texts that training takes at most, and bytes of one.
+SAMPLE_DOCS, SAMPLE_TEXT = 800, 32 << 10
 BITS = 16
 BUCKETS = 1 << BITS
 GRAM = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SEQUENCE, STRETCH, ROUNDS, BATCH, RATE, DECAY = 24, 8, 3, 64, 0.2, 1e-6
+SEQUENCE, STRETCH, ROUNDS, BATCH, RATE, DECAY = 24, 8, 2, 64, 0.2, 1e-6
 SCALE = 8
-MIN_COUNT, MIN_SHARE = 3, 0.6
+#: Occurrences in the sample of a word of the lexicon.
+MIN_COUNT = 3
 CACHE_WORDS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 SCHEMA = "held_out boolean, lang_pred string, score double, n_words long, n_other long"
@@ -65,23 +69,20 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Field:
-    """Weights: buckets x labels, lexicon x labels through one weight each, transitions, start."""
+    """Weights: buckets x labels, words of the lexicon x labels, transitions."""
 
-    def __init__(self, labels: list[str], lexicon: dict[str, list[int]]):
-        self.labels, self.lexicon = labels, lexicon
+    def __init__(self, labels: list[str], lexicon: list[str]):
+        self.labels, self.lexicon = labels, {w: i for i, w in enumerate(lexicon)}
         n = len(labels)
-        self.weights = np.zeros((BUCKETS + n, n))
+        self.weights = np.zeros((BUCKETS + len(lexicon), n))
         self.move = np.zeros((n, n))
 
     def active(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places of the weights that words use, and where each word's begin."""
         grams, ends = features(words)
-        extra = [(BUCKETS + y, i) for i, w in enumerate(words) for y in self.lexicon.get(w, ())]
-        if not extra:
-            return grams, ends
-        what, whose = np.array(extra, np.int64).T
-        more = np.bincount(whose, minlength=len(words))
-        return np.insert(grams, ends[whose + 1], what), ends + np.concatenate([[0], np.cumsum(more)])
+        entry = np.array([self.lexicon.get(w, -1) for w in words], np.int64)
+        known = np.flatnonzero(entry >= 0)
+        return np.insert(grams, ends[known + 1], BUCKETS + entry[known]), ends + np.concatenate([[0], np.cumsum(entry >= 0)])
 
     def scores(self, words: list[str]) -> np.ndarray:
         if not words:
@@ -143,39 +144,26 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Field:
     counts: Counter = Counter()
     for text, label in sorted(texts):
         w, y = words_of(text), labels.index(label)
-        parts = [w[i : i + STRETCH] for i in range(0, len(w), STRETCH)]
-        parts = [parts[i] for i in np.unique(np.linspace(0, len(parts) - 1, SAMPLE_WORDS // STRETCH).astype(int))] if len(parts) > SAMPLE_WORDS // STRETCH else parts
-        stretches += [(p, y) for p in parts]
-        counts.update((x, y) for p in parts for x in p)
-    total: Counter = Counter()
-    for (w, _), c in counts.items():
-        total[w] += c
-    lexicon: dict[str, list[int]] = {}
-    for (w, y), c in sorted(counts.items()):
-        if c >= MIN_COUNT and c >= MIN_SHARE * total[w]:
-            lexicon.setdefault(w, []).append(y)
-    field = Field(labels, lexicon)
-    known = sorted(total)
+        stretches += [(w[i : i + STRETCH], y) for i in range(0, len(w), STRETCH)]
+        counts.update(w)
+    field = Field(labels, sorted(w for w, c in counts.items() if c >= MIN_COUNT))
+    known = sorted(counts)
     number = {w: i for i, w in enumerate(known)}
     flat, first = field.active(known)
     width = np.diff(first)
     squares, moved = np.full_like(field.weights, 1e-8), np.full_like(field.move, 1e-8)
     coded = [(np.array([number[x] for x in p]), y) for p, y in stretches]
-    own: list[list[int]] = [[] for _ in labels]
-    for i, (_, y) in enumerate(coded):
-        own[y].append(i)
+    language = np.array([y for _, y in coded], np.int64)
     for _ in range(ROUNDS):
-        order = rng.permutation(len(coded)).tolist()
-        sequences = []
-        while order:  # half keep to one language, half switch at each stretch
-            i = order.pop()
-            y = coded[i][1]
-            mixed, parts = rng.random() < 0.5, [i]
-            while len(parts) < SEQUENCE // STRETCH:
-                pool = own[int(rng.integers(len(labels)))] if mixed else own[y]
-                parts.append(pool[int(rng.integers(len(pool)))] if pool else i)
-            sequences.append(parts)
-        for s in range(0, len(sequences) // 2, BATCH):
+        # every stretch once: half in sequences of one language, half in such that switch
+        order = rng.permutation(len(coded))
+        split = rng.random(len(coded)) < 0.5
+        mixed, plain = order[split[order]], order[~split[order]]
+        plain = plain[np.argsort(language[plain], kind="stable")]
+        step = SEQUENCE // STRETCH
+        sequences = [part[i : i + step].tolist() for part in (mixed, plain) for i in range(0, len(part), step)]
+        rng.shuffle(sequences)
+        for s in range(0, len(sequences), BATCH):
             chosen = sequences[s : s + BATCH]
             ids = np.concatenate([coded[i][0] for p in chosen for i in p])
             gold = np.concatenate([np.full(len(coded[i][0]), coded[i][1]) for p in chosen for i in p])
@@ -188,9 +176,10 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Field:
             p, pairs = forward_backward(emit, lengths, field.move, True)
             wrong = -p
             wrong[np.arange(len(ids)), gold] += 1
-            grad = np.stack([np.bincount(active, wrong[word, y], BUCKETS + len(labels)) for y in range(len(labels))], axis=1) / len(chosen) - DECAY * field.weights
-            squares += grad**2
-            field.weights += RATE * grad / np.sqrt(squares)
+            rows, at = np.unique(active, return_inverse=True)
+            grad = np.stack([np.bincount(at, wrong[word, y], len(rows)) for y in range(len(labels))], axis=1) / len(chosen) - DECAY * field.weights[rows]
+            squares[rows] += grad**2
+            field.weights[rows] += RATE * grad / np.sqrt(squares[rows])
             inner = np.ones(len(ids), bool)
             inner[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = False
             at = np.flatnonzero(inner)
@@ -243,17 +232,29 @@ def is_held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field:
-    """Fit to labelled texts that aren't held out; a hash of the id picks about equally many of each language."""
+def sampled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE_DOCS, longest: int = SAMPLE_TEXT) -> DataFrame:
+    """text and lang of at most `most` labelled texts that aren't held out, about equally many of each language."""
     own = df.filter(~is_held_out(id_col)).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Field([], {})
-    most = max(1, SAMPLE_DOCS // len(counts))
-    place = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, most / n))) for k, n in sorted(counts.items())))
-    rows = own.filter(place < share).select("text", "lang").collect()  # about SAMPLE_DOCS
-    return fit([(r.text, r.lang) for r in rows])
+    size = F.octet_length("text")
+    told = own.groupBy("lang").agg(F.count("*").alias("all"), F.count_if(size <= longest).alias("n"), F.min(size).alias("least"))
+    languages = told.orderBy(F.desc("all"), "lang").limit(most).collect()
+    if not languages:
+        return own.select("text", "lang")
+    each = most // len(languages)
+    place = F.pmod(F.xxhash64("id", "text", "lang"), F.lit(1 << 40)) / float(1 << 40)
+    # twice the wanted share, from which the first ones by the hash are taken
+    share = F.create_map(*(F.lit(x) for r in languages for x in (r.lang, min(1.0, 2 * each / r.n) if r.n else 1.0)))
+    limit = F.create_map(*(F.lit(x) for r in languages for x in (r.lang, longest if r.n else r.least)))
+    near = own.filter((size <= limit[F.col("lang")]) & (place < share[F.col("lang")]))
+    different = near.groupBy("lang", "text").agg(F.min(place).alias("place"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "text"))
+    return different.withColumn("rank", rank).filter(F.col("rank") <= F.when(limit[F.col("lang")] > longest, 1).otherwise(each)).select("text", "lang")
+
+
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field:
+    """A field fitted to `sampled` texts."""
+    rows = sampled(df, id_col, text_col, lang_col).collect()
+    return fit([(r.text, r.lang) for r in rows]) if rows else Field([], [])
 
 
 def identify(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -128,3 +128,21 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("ratio").alias("zstd_ratio")
     )
+
+
+#: The base columns by DuckDB: 8-word windows as strings.
+BASE_ORACLE = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+x as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as k from d, unnest(range(1, greatest(len(w) - 6, 1))) as u(i)),
+m as (select doc_id, k from x group by 1, 2 having count(*) > 1),
+r as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + 8)) as j from x join m using (doc_id, k)) group by 1),
+l as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+b as (select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  coalesce(l.n, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words from d left join r on d.doc_id = r.doc_id left join l on d.doc_id = l.doc_id)
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from b
+"""
+
+
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 says without the method's verdict."""
+    return op3_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, substring, suffixarray, urls
+from . import decontaminate, quality, secrets, simhash, substring, suffixarray, urls
 from .decontaminate import op7_benchmark_decontamination
 from .langid import op10_language_id
 from .pieces import op2_sentencepiece
-from .quality import op3_quality_rules
-from .secrets import op1_secret_scan
-from .simhash import op8_simhash
+from .quality import op3_quality_rules, quality_base_columns
+from .secrets import op1_secret_scan, secret_base_spans
+from .simhash import fingerprint_classes, op8_simhash
 from .substring import op5_substring_dedup
 from .suffixarray import op4_suffix_array_dedup
 from .tokens import op6_token_file
@@ -31,6 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_url_filters,
         op10_language_id,
+        # those parts of operators without SQL that SQL can express
+        secret_base_spans,
+        quality_base_columns,
+        fingerprint_classes,
     )
 }
 
@@ -39,4 +43,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": substring.ORACLE,
     "op7_benchmark_decontamination": decontaminate.ORACLE,
     "op9_url_filters": urls.oracle(),
+    "secret_base_spans": secrets.BASE_ORACLE,
+    "quality_base_columns": quality.BASE_ORACLE,
+    "fingerprint_classes": simhash.CLASSES_ORACLE,
 }

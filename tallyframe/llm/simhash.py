@@ -228,21 +228,42 @@ def labelled(entries: DataFrame) -> DataFrame:
     return out
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links) of every row."""
-    told = written(fingerprints(df, id_col, text_col), "fingerprints")
+def classed(told: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of every row of (doc_id, fp)."""
     entries = written(told.groupBy("fp").agg(F.min("doc_id").alias("least")), "entries")
     joined = labelled(entries)
     best = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     named = written(joined.join(best, "label").select(F.col("fp").alias("fp_"), "component_id"), "named")
-    removed(df.sparkSession, entries, joined)
+    removed(told.sparkSession, entries, joined)
     return told.join(named, F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id")
 
 
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp and component_id (smallest doc_id reachable over links) of every row."""
+    return classed(written(fingerprints(df, id_col, text_col), "fingerprints"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+#: Classes of given fingerprints by DuckDB: the first 60 bits of a text's MD5 digest, with two bits turned by the id, so that copies differ in up to 4 bits.
+CLASSES_ORACLE = """
+with recursive d as (select doc_id, xor(xor(cast('0x' || substr(md5(coalesce(text, '')), 1, 15) as bigint), 1::bigint << cast(doc_id % 7 as integer)), 1::bigint << cast(8 + doc_id % 11 as integer)) as fp from documents),
+e as (select a.doc_id as a, b.doc_id as b from d a join d b on bit_count(xor(a.fp, b.fp)) <= 3),
+r as (select a as node, a as seen from e union select r.node, e.b from r join e on r.seen = e.a)
+select node as doc_id, min(seen) as component_id from r group by 1
+"""
+
+
+def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of given fingerprints, by the index and the components of op8."""
+    text = F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 15), 16, 10).cast("long")
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+    own = table(spark, sf_dir, "documents").select("doc_id", text.bitwiseXOR(bit(F.col("doc_id") % 7)).bitwiseXOR(bit(F.col("doc_id") % 11 + 8)).alias("fp"))
+    return classed(own).select("doc_id", "component_id")
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, all columns as they were, of each class of near-duplicates: that of the smallest id (a null one only where there is no other).
 

@@ -84,3 +84,34 @@ def test_no_labels_and_empty_table(spark, nothing, make):
     assert langid.identify(nothing, langid.train(nothing)).count() == 0
     none = make(["hello there"]).selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert [r.lang_pred for r in langid.identify(none, langid.train(none)).collect()] == ["und"]
+
+
+def test_samples_are_bounded_whatever_the_ids(spark):
+    rng = random.Random(4)
+    for one in (None, 12345, 3, 4, 8):
+        rows = [(one, text(rng, lang := "aa bb cc".split()[i % 3], 20), lang) for i in range(900)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = langid.sampled(df, most=90, longest=1 << 20).collect()
+        held = crc32(("" if one is None else str(one)).encode()) % 4 == 2
+        assert len(got) == (0 if held else 90)
+        assert held or sorted({r.lang for r in got}) == ["aa", "bb", "cc"]
+        assert all(r.lang_pred != "und" for r in langid.identify(df, langid.train(df)).limit(5).collect()) or held
+    same = spark.createDataFrame([(None, "ka lo mi", "aa")] * 500 + [(None, f"tu re {i}", "aa") for i in range(5)], "doc_id long, text string, lang string")
+    assert langid.sampled(same).count() == 6
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    rng = random.Random(5)
+    rows = [(i, text(rng, "aa", 3000), "aa") for i in range(8)] + [(i, text(rng, "bb", 20), "bb") for i in range(8, 60)] + [(99, text(rng, "bb", 9000), "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sampled(df, longest=1000).collect()
+    assert sum(r.lang == "aa" for r in got) == 1 and max(len(r.text.encode()) for r in got if r.lang == "bb") <= 1000
+
+
+def test_training_sees_every_word_of_a_sampled_text():
+    rng = random.Random(6)
+    late = text(rng, "aa", 3000) + " zzyzx zzyzx zzyzx"
+    field = langid.fit([(late, "aa"), (text(rng, "bb", 300), "bb")])
+    assert "zzyzx" in field.lexicon
+    weights = field.weights[langid.BUCKETS + field.lexicon["zzyzx"]]
+    assert weights[0] > weights[1] and not np.array_equal(weights, field.weights[langid.BUCKETS])

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from tallyframe.llm import secrets
 
@@ -51,3 +53,37 @@ def test_redaction_keeps_rows_columns_and_nulls(make, nothing):
     out = {r.doc_id: r for r in secrets.redact(make([TEXTS[0], None, "", TEXTS[4]])).collect()}
     assert [out[i].text for i in range(4)] == ["x [secret] y".replace(" y", '" y'), None, "", "key is [secret] here"]
     assert out[0].h == "x" and secrets.redact(nothing).count() == 0 and secrets.digest(secrets.scan(nothing)).count() == 0
+
+
+def test_every_candidate_is_tested():
+    count = secrets.encoder(secrets._ranks(None))
+    rng = random.Random(3)
+    for alphabet, n in ((string.ascii_lowercase, 32), (string.ascii_uppercase, 32), (string.ascii_letters, 24), (string.ascii_letters + string.digits, 24)):
+        found = [secrets.find(f"x {''.join(rng.choices(alphabet, k=n))} y", count) for _ in range(500)]
+        assert sum((2, 3, 2 + n) in x for x in found) > 490, alphabet
+    names = ["get_user_account_from_database", "path/to/the/local/repository/file", "internationalization", "HttpRequestHandlerFactoryImplementation", "==========================", "----------------------------"]
+    assert not any(secrets.find(x, count) for x in names)
+
+
+def test_token_spans_equal_a_plain_version():
+    """Every run of 20 characters or more, known shapes apart, against the ratio as the definition states it."""
+    count = secrets.encoder(secrets._ranks(None))
+    letters = set(string.ascii_letters + string.digits + "+/_=-")
+    rng = random.Random(7)
+    for _ in range(300):
+        text = " ".join("".join(rng.choices(rng.choice([string.ascii_lowercase[:6], string.hexdigits, string.ascii_letters + "-_/+=", string.digits]), k=rng.randint(5, 60))) for _ in range(8))
+        want, start = [], None
+        for i, c in enumerate(text + " "):
+            if c in letters:
+                start = i if start is None else start
+            else:
+                run = text[start:i] if start is not None else ""
+                if len(run) >= 20 and len(run) / count(run) < secrets.RATIO and not secrets.KNOWN.fullmatch(run):
+                    want.append((start, i))
+                start = None
+        assert [(s, e) for s, k, e in secrets.find(text, count) if k == 3] == want
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a", TEXTS[4]), (None, None)], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.n_token) for r in secrets.digest(secrets.scan(df)).collect()) == [("", 0), ("a", 1)]
