@@ -3,11 +3,17 @@
 Texts are lower-cased (A-Z) and reduced to words joined by one space; a pattern is a window of benchmark words
 with a space at either end, so matches fall on whole words. Patterns are grouped by length. A group's shift table
 says, by a hash of the block that ends a window's shortest length, how far the window can move; where the shift
-is 0, the block selects a bucket of patterns, which are compared directly. Many stretches of a text advance together.
+is 0, the block selects a bucket of patterns, of which those of each length that it has are looked up and compared
+directly, however many patterns end their window alike. Many stretches of a text advance together.
+
+A benchmark of up to PASS_BYTES is broadcast and the rows stream by once. A larger one is cut into parts of that size, long
+items into stretches that overlap by all but one word of a window; the numbered rows are written, and each part in
+turn is searched for in all of them, so that no more than one part is in the driver or a worker at any time.
 
 Null texts and texts without words are never hit; null, empty or wordless items have no window; equal windows of
 several items count for each of them. Rows are independent: repeated rows and ids each give their own result.
-An item id that repeats is one item, listed once.
+An item id that repeats is one item, listed once. Items without an id are one item: its windows hit words and it is
+counted, but has no name to be listed by. Added columns get other names where the input has theirs.
 """
 
 from __future__ import annotations
@@ -17,15 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import bounded, keyed_text, raw_texts, slices, table
+from .common import bounded, keyed_text, raw_texts, slices, table, unused, written
 
 WINDOW = 13
 #: Lower-cases A-Z and makes every byte that isn't of a word a space.
 FOLD = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-#: Benchmark bytes that one pass searches for; a larger benchmark is cut into several passes by item.
+#: Benchmark bytes that one pass searches for.
 PASS_BYTES = 16 << 20
 TABLE_BITS = 18
 LANE = 512
@@ -52,7 +60,7 @@ class Group:
         self.block = 8 if self.least >= 16 else min(4, self.least)
         self.mask = np.uint64((1 << 8 * self.block) - 1)
         self.shift = np.full(1 << TABLE_BITS, self.least - self.block + 1, np.int32)
-        self.bucket: dict[int, list[bytes]] = defaultdict(list)
+        self.bucket: dict[int, dict[int, set[bytes]]] = defaultdict(lambda: defaultdict(set))  # by block and length
         heads = np.frombuffer(b"".join(p[: self.least] for p in patterns), np.uint8).reshape(len(patterns), self.least)
         for end in range(self.block, self.least + 1):
             blocks = np.zeros(len(patterns), np.uint64)
@@ -60,7 +68,7 @@ class Group:
                 blocks |= heads[:, end - self.block + k].astype(np.uint64) << np.uint64(8 * k)
             np.minimum.at(self.shift, self.slot(blocks), self.least - end)
         for p, b in zip(patterns, blocks.tolist(), strict=True):
-            self.bucket[b].append(p)
+            self.bucket[b][len(p)].add(p)
 
     @staticmethod
     def slot(blocks: np.ndarray) -> np.ndarray:
@@ -80,9 +88,9 @@ class Group:
             step = self.shift[self.slot(blocks)]
             zero = step == 0
             for p, b in zip(here[zero].tolist(), blocks[zero].tolist(), strict=True):
-                for pattern in self.bucket.get(b, ()):
-                    if data.startswith(pattern, p):
-                        yield p, pattern
+                for n, patterns in self.bucket[b].items() if b in self.bucket else ():
+                    if (found := data[p : p + n]) in patterns:
+                        yield p, found
             here = here + np.maximum(step, 1)
             live = here < stop
             here, stop = here[live], stop[live]
@@ -116,40 +124,74 @@ class Searcher:
         return [(max(0, p.count(b" ") - 1), sorted(hit.get(i, ())), items.get(i, set())) for i, p in enumerate(parts)]
 
 
-def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> list:
-    """Broadcast lists of (item, text), each of bounded size, that together hold the whole benchmark."""
-    sc = benchmark.sparkSession.sparkContext
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("text is not null and item is not null")
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-total // PASS_BYTES)
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [sc.broadcast([(r.item, r.text.encode()) for r in items.filter(part == k).collect()]) for k in range(n)]
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+
+
+def _parts(items: DataFrame, size: int) -> DataFrame:
+    """The items as (item, text, part): long ones in stretches, and numbers of parts of about PASS_BYTES each."""
+    most = PASS_BYTES // 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            names, texts = [], []
+            for item, t in zip(b.column("item").to_pylist(), raw_texts(b), strict=True):
+                words = folded(t).split()
+                step = max(1, most * len(words) // max(1, len(t)))
+                for i in range(0, max(1, len(words) - size + 1), step):
+                    names.append(item)
+                    texts.append(b" ".join(words[i : i + step + size - 1]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["item", "text"])
+
+    cut = written(items.mapInArrow(run, "item string, text string"), "items")
+    total = cut.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    return cut.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(max(1, -(-total // PASS_BYTES)))))
 
 
-def searched(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
-    """The rows, all columns as they were, with `__words`, `__hits` (numbers of the hit words) and `__items` (item ids), both ascending."""
-    bounded(df.sparkSession)
-    out = df.select("*", F.lit(0).cast("long").alias("__words"), F.expr("cast(array() as array<int>)").alias("__hits"), F.expr("cast(array() as array<string>)").alias("__items"))
-    at, n = df.columns.index(text_col), len(df.columns)
-    for told in _passes(benchmark, item_col, item_text) or [df.sparkSession.sparkContext.broadcast([])]:  # no shuffle: each pass adds to the rows as they stream by
+def _found(rows: DataFrame, told: Broadcast, at: int, names: list[str], size: int) -> DataFrame:
+    """The rows and what is found in the text at place `at` of the broadcast items."""
 
-        def run(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(told.value, size)
-            for b in slices(batches, at):
-                found = searcher.search(raw_texts(b, at))
-                hits = [sorted({*x[1], *old}) for x, old in zip(found, b.column(n + 1).to_pylist(), strict=True)]
-                items = [sorted({*x[2], *old}) for x, old in zip(found, b.column(n + 2).to_pylist(), strict=True)]
-                columns = [pa.array([x[0] for x in found], pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], *columns], b.schema.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searcher = Searcher(told.value, size)
+        for b in slices(batches, at):
+            n, hits, items = zip(*searcher.search(raw_texts(b, at)), strict=True)
+            items = [sorted(x, key=lambda i: (i is None, i)) for x in items]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], [*b.schema.names, *names])
 
-        out = out.mapInArrow(run, out.schema)
-    return out
+    kinds = (LongType(), ArrayType(IntegerType()), ArrayType(StringType()))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *(StructField(n, k) for n, k in zip(names, kinds, strict=True))]))
+
+
+def searched(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> tuple[DataFrame, list[str]]:
+    """The rows, all columns as they were, with three more, whose names are told: words, numbers of the hit words, and item ids, both ascending (a null id last)."""
+    spark = df.sparkSession
+    bounded(spark)
+    sc = spark.sparkContext
+    names, at = unused(df, "n_words", "hits", "items"), df.columns.index(text_col)
+    items = _items(benchmark, item_col, item_text)
+    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    if total <= PASS_BYTES:
+        return _found(df, sc.broadcast([(r.item, r.text.encode()) for r in items.collect()]), at, names, size), names
+    (row,) = unused(df, "row")
+    rows = written(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    parts = written(_parts(items, size), "parts")
+    own = rows.select(F.col(row).alias("at"), F.col(text_col).cast("string").alias("text"))
+    out: DataFrame | None = None
+    for r in parts.select("part").distinct().orderBy("part").toLocalIterator():
+        told = sc.broadcast([(x.item, x.text.encode()) for x in parts.filter(F.col("part") == r.part).collect()])
+        now = written(_found(own, told, 1, ["n", "hits", "items"], size).filter("size(hits) > 0" if out else "true").drop("text"), "hits")
+        told.destroy()
+        out = now if out is None else out.unionByName(now)
+    merged = out.groupBy("at").agg(F.max("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = merged.toDF(*(more := unused(rows, "at", *names)))
+    joined = rows.join(merged, F.col(row) == F.col(more[0]))
+    return joined.select(*df.columns, *(F.col(c).alias(n) for c, n in zip(more[1:], names, strict=True))), names
 
 
 def search(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, hits (numbers of the hit words, ascending), items (ids as strings, ascending) of every row."""
-    found = searched(keyed_text(df, id_col, text_col), benchmark, "text", item_col, item_text, size)
-    return found.select("doc_id", F.col("__words").alias("n_words"), F.col("__hits").alias("hits"), F.col("__items").alias("items"))
+    """doc_id, n_words, hits (numbers of the hit words, ascending), items (ids as strings, ascending, a null one last) of every row."""
+    found, names = searched(keyed_text(df, id_col, text_col), benchmark, "text", item_col, item_text, size)
+    return found.select("doc_id", *names)
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -159,8 +201,8 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows, all columns as they were, that aren't contaminated."""
-    found = searched(df, benchmark, text_col)
-    return found.filter(~contaminated(F.size("__hits").cast("long"), F.col("__words"))).select(*df.columns)
+    found, (words, hits, _) = searched(df, benchmark, text_col)
+    return found.filter(~contaminated(F.size(hits).cast("long"), F.col(words))).select(*df.columns)
 
 
 def verdicts(found: DataFrame) -> DataFrame:
@@ -194,5 +236,3 @@ from d left join c using (doc_id) left join o using (doc_id)
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
-
-
