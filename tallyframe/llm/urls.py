@@ -5,8 +5,9 @@ candidate keys are its host's suffixes joined to its path's prefixes, in the sha
 some rule has. For each list, level 0 encodes the listed keys, level 1 those keys of the corpus that pass level 0
 though unlisted, level 2 the listed ones that pass level 1, and so on until none passes: over this universe
 (the corpus's keys and all rules) the answer is exact. The first level's rate is chosen so that about as many
-false positives as listed keys are expected; so all levels, which plans hold as literals, are as large as the lists.
-At most MAX_RULES rules are taken (more are an error), which bounds them.
+false positives as listed keys are expected; so all levels are as large as the lists, whatever the corpus. Keys stay in
+tables; of a level only its bits come to the driver, and plans hold them as one binary literal of up to LITERAL_BYTES.
+Where a list's levels would be larger (above a million rules or so), the keys of the different urls are joined with the rules.
 
 Null urls and those without `://` have empty host and path. The longest fitting rule wins, between equals the one
 of the longer host; of a rule listed twice the first counts. A url that no rule fits is allowed. Every input row
@@ -15,13 +16,15 @@ gives one output row; other columns of the input never matter.
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass, field
+import struct
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import removed, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (
@@ -31,7 +34,8 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-MAX_RULES = 10_000
+#: Bytes of one level's bits in a plan.
+LITERAL_BYTES = 4 << 20
 #: False positive rate of all levels but the first.
 RATE = 0.5
 
@@ -63,40 +67,58 @@ def candidates(host: Column, path: Column, kinds: list[tuple[int, int]]) -> Colu
     return F.array_sort(known, order)
 
 
+class TooLarge(Exception):
+    """A level beyond LITERAL_BYTES."""
+
+
 @dataclass
 class Level:
-    """One Bloom filter: its size in bits, hash functions, seed and 64-bit words."""
+    """One Bloom filter: its size in bits, hash functions, seed and bits."""
 
     n_bits: int
     n_hashes: int
     seed: int
-    words: list[int] = field(default_factory=list)
+    bits: bytes = b""
 
     def positions(self, key: Column) -> list[Column]:
         a, b = (F.pmod(F.xxhash64(*x), F.lit(1 << 40)) for x in ((key, F.lit(self.seed)), (F.lit(self.seed), key)))
         return [F.pmod(a + b * F.lit(i) if i else a, F.lit(self.n_bits)) for i in range(self.n_hashes)]
 
     def holds(self, key: Column) -> Column:
-        words = F.array(*(F.lit(w).cast("long") for w in self.words))
-        out = F.lit(True)
+        bits, out = F.lit(self.bits), F.lit(True)
         for p in self.positions(key):
-            out = out & (F.getbit(F.get(words, F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1)
+            byte = F.ascii(F.decode(F.substring(bits, F.floor(p / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
+            out = out & (F.getbit(byte, F.pmod(p, F.lit(8)).cast("int")) == 1)
         return out
 
 
 def level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     """A filter over the column `key` of n rows; its bits are combined by an aggregate, only they come to the driver."""
-    bits = 64 * max(1, math.ceil(-max(1, n) * math.log(rate) / math.log(2) ** 2 / 64))
-    out = Level(bits, max(1, round(-math.log2(rate))), seed, [0] * (bits // 64))
+    words = max(1, math.ceil(-max(1, n) * math.log(rate) / math.log(2) ** 2 / 64))
+    if 8 * words > LITERAL_BYTES:
+        raise TooLarge
+    out = Level(64 * words, max(1, round(-math.log2(rate))), seed)
     at = keys.select(F.explode(F.array(*out.positions(F.col("key")))).alias("p"))
-    word = F.floor(F.col("p") / 64).cast("int").alias("word")
-    for r in at.groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("bits")).collect():
-        out.words[r.word] = r.bits
+    set_ = at.groupBy(F.floor(F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("bits"))
+    held = [0] * words
+    for r in set_.collect():  # at most LITERAL_BYTES / 8 rows
+        held[r.word] = r.bits
+    out.bits = struct.pack(f"<{words}q", *held)
     return out
 
 
+def _rows(spark: SparkSession, values: list, kind: str) -> DataFrame:
+    """Column `x` of values of a kind, from one literal."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")).alias("x"))
+
+
 def listed(spark: SparkSession, keys: list[str]) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, keys))).alias("key")) if keys else spark.range(0).select(F.lit("").alias("key"))
+    return _rows(spark, keys, "string").withColumnRenamed("x", "key")
+
+
+def ruled(spark: SparkSession, lists: dict[str, list[str]]) -> DataFrame:
+    """key and list of every rule."""
+    return _rows(spark, [{"key": k, "list": v} for v, own in lists.items() for k in own], "struct<key:string,list:string>").select("x.*")
 
 
 def member(levels: list[Level], key: Column) -> Column:
@@ -110,26 +132,36 @@ def member(levels: list[Level], key: Column) -> Column:
 def cascades(keys: DataFrame, lists: dict[str, list[str]], n_universe: int) -> dict[str, list[Level]]:
     """A cascade for each list; `keys` has the corpus's keys in column `key`, at most n_universe different ones."""
     spark = keys.sparkSession
-    first = {v: level(listed(spark, own), len(own), min(RATE, math.sqrt(RATE) * len(own) / max(1, n_universe)), 1) for v, own in lists.items()}
-    every = [k for own in lists.values() for k in own]
-    universe = keys.unionByName(listed(spark, every))
-    passed = F.array_compact(F.array(*(F.when(x.holds(F.col("key")) & ~F.col("key").isin(lists[v]), F.lit(v)) for v, x in first.items())))
-    false = universe.select("key", F.explode(passed).alias("list")).distinct().collect()
+    tables = {v: listed(spark, own) for v, own in lists.items()}
+    first = {v: level(tables[v], len(own), min(RATE, math.sqrt(RATE) * len(own) / max(1, n_universe)), 1) for v, own in lists.items()}
+    universe = keys
+    for t in tables.values():
+        universe = universe.unionByName(t)
+    passed = F.array_compact(F.array(*(F.when(x.holds(F.col("key")), F.lit(v)) for v, x in first.items())))
+    false = written(universe.select("key", F.explode(passed).alias("list")).distinct().join(ruled(spark, lists), ["key", "list"], "left_anti"), "false")
     out = {}
-    for v, own in lists.items():
-        levels, inside, outside = [first[v]], own, [r.key for r in false if r.list == v]
-        while outside:
-            level_ = level(listed(spark, outside), len(outside), RATE, len(levels) + 1)
-            levels.append(level_)
-            inside, outside = outside, [r.key for r in listed(spark, inside).filter(level_.holds(F.col("key"))).collect()]
+    for v in lists:
+        levels, inside, outside, done = [first[v]], tables[v], false.filter(F.col("list") == v).select("key"), []
+        while n := outside.count():
+            levels.append(level(outside, n, RATE, len(levels) + 1))
+            done.append(written(inside.filter(levels[-1].holds(F.col("key"))), "false"))
+            inside, outside = outside, done[-1]
         out[v] = levels
+        removed(spark, *done)
+    removed(spark, false)
     return out
 
 
+def _joined(urls: DataFrame, kinds: list[tuple[int, int]], rules: DataFrame) -> DataFrame:
+    """The urls with `best`, the first (key, verdict) of their keys that are in the rules."""
+    keys = urls.select("host", "path").distinct()
+    keys = keys.select("host", "path", F.posexplode(candidates(F.col("host"), F.col("path"), kinds)).alias("n", "key"))
+    found = keys.join(rules, "key").groupBy("host", "path").agg(F.min(F.struct("n", "key", "verdict")).alias("best"))
+    return urls.join(found, ["host", "path"], "left")
+
+
 def filter_urls(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule (of the longest that fits, or null) and verdict of every row."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     lists: dict[str, list[str]] = {}
     seen: set[str] = set()
     for verdict, rule in rules:
@@ -142,11 +174,15 @@ def filter_urls(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_co
         return urls.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     kinds = shapes(rules)
     keyed = urls.withColumn("keys", candidates(F.col("host"), F.col("path"), kinds))
-    built = cascades(keyed.select(F.explode("keys").alias("key")), lists, df.count() * len(kinds) + len(seen))
-    which = lambda key: F.coalesce(*(F.when(member(x, key), F.lit(v)) for v, x in built.items()), F.lit(None).cast("string"))
-    told = F.filter(F.transform("keys", lambda k: F.struct(k.alias("key"), which(k).alias("verdict"))), lambda x: x.verdict.isNotNull())
-    best = F.get(F.col("told"), F.lit(0))
-    return keyed.withColumn("told", told).select("page_id", "host", "path", best.key.alias("rule"), F.coalesce(best.verdict, F.lit(default)).alias("verdict"))
+    try:
+        built = cascades(keyed.select(F.explode("keys").alias("key")), lists, df.count() * len(kinds) + len(seen))
+    except TooLarge:
+        told = _joined(urls, kinds, ruled(df.sparkSession, lists).withColumnRenamed("list", "verdict"))
+    else:
+        which = lambda key: F.coalesce(*(F.when(member(x, key), F.lit(v)) for v, x in built.items()), F.lit(None).cast("string"))
+        fits = F.filter(F.transform("keys", lambda k: F.struct(k.alias("key"), which(k).alias("verdict"))), lambda x: x.verdict.isNotNull())
+        told = keyed.withColumn("best", F.get(fits, F.lit(0)))
+    return told.select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,18 @@ def test_a_cascade_is_exact_over_its_universe(spark):
     assert {r.key for r in both if r.m} == set(inside)
 
 
+def test_lists_of_any_length(spark, monkeypatch):
+    rules = tuple(("block" if i % 3 else "allow", f"h{i}.com/{i % 7}") for i in range(12_000))
+    values = [f"http://{'s.' * (i % 3)}h{i * 31}.com/{i % 11}{i}" for i in range(400)] + ["http://" + "a." * 300 + "h3.com/3" + "x" * 5000]
+    want = [plain(u, rules) for u in values]
+    for n_bytes in (urls.LITERAL_BYTES, 64):  # cascades, and the join beyond what a plan holds
+        monkeypatch.setattr(urls, "LITERAL_BYTES", n_bytes)
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(frame(spark, values), rules).collect()}
+        assert [got[i] for i in range(len(values))] == want
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(frame(spark, URLS)).collect()}
+    assert [got[i] for i in range(len(URLS))] == [plain(u) for u in URLS]
+
+
 def test_empty_table_and_no_rules(spark):
     assert urls.filter_urls(frame(spark, [])).count() == 0
     assert [r.verdict for r in urls.filter_urls(frame(spark, ["http://a.com/en/"]), ()).collect()] == ["allow"]
