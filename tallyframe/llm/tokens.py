@@ -1,16 +1,18 @@
 """Token files: concatenated ids with Elias-Fano coded document boundaries.
 
 A file is a Parquet container of segments. A segment holds the ids of consecutive documents (2 bytes each where the vocabulary
-allows, else 4), their doc_ids, and the places at which documents end as an Elias-Fano sequence: the low bits packed,
-the high bits in unary, and the place of every SAMPLE-th one for select. Spark's committer writes the container to any
-store it knows, and a lost task leaves nothing behind.
+allows, else 4) and two Elias-Fano sequences, of the places at which documents end and of their doc_ids above the first:
+the low bits packed, the high bits in unary, and the number of ones before every BLOCK bits, by which select finds a
+number with a binary search and a look into one block. Reading selects the boundaries. Spark's committer writes the
+container to any store it knows, and a lost task leaves nothing behind.
 
 Documents are in ascending doc_id order (null first), equal ids by text. Null and empty texts have the end id only.
-An empty input gives an empty file. Other columns never matter.
+An empty input gives an empty file. Ids are 64-bit numbers, or what casts to them. Other columns never matter.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,79 +25,92 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, keyed_text, shared_dir, slices, table
+from .common import bounded, keyed_text, passing, shared_dir, shuffles_cleaned, slices, table
 
 END_ID = 2
 #: Text bytes that are encoded at once: the more, the fewer different words for each.
 SLICE = 8 << 20
 #: Ids in a segment; a longer document is a segment of its own.
 SEGMENT_IDS = 1 << 20
-SAMPLE = 64
-CACHE_WORDS = 700_000
+#: Bits of the unary part for each number of the rank directory.
+BLOCK = 512
+#: Words that a worker keeps, their bytes, and bytes of one.
+CACHE_WORDS, CACHE_BYTES, LONGEST = 700_000, 16 << 20, 256
+#: Bytes of texts that go to the library at once where it takes them whole.
+WHOLE = 1 << 20
 #: Lower-case letters of ASCII and Latin-1, then ASCII punctuation.
 PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 #: The byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on.
 PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 ALPHABET = [chr(b) if b in PRINTABLE else chr(256 + sum(x not in PRINTABLE for x in range(b))) for b in range(256)]
-SCHEMA = "part int, seq int, before long, n_docs int, n_ids long, width int, ids binary, low_bits int, low binary, high binary, samples binary, doc_ids binary, null_id boolean"
-NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
+SEQUENCE = [("bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("ranks", pa.binary())]
+_SQL = "struct<bits:int,low:binary,high:binary,ranks:binary>"
+SCHEMA = f"part int, seq int, before long, n_docs int, n_ids long, width int, ids binary, ends {_SQL}, first_id long, doc_ids {_SQL}"
+NAMES = ["part", "seq", "before", "n_docs", "n_ids", "width", "ids", "ends", "first_id", "doc_ids"]
+TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.struct(SEQUENCE), pa.int64(), pa.struct(SEQUENCE)]
+#: What a tokenizer says of itself for which words can be encoded apart, as `Encoder` does.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+#: Place of the j-th one in a byte.
+SELECT = np.array([[([k for k in range(8) if b >> k & 1] + [8] * 8)[j] for j in range(8)] for b in range(256)], np.int64)
 
 
 class EliasFano:
-    """An ascending sequence of n numbers; `select` finds the i-th in constant time."""
+    """An ascending sequence of n numbers; `select` finds those at given places."""
 
-    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: bytes):
-        self.n, self.low_bits = n, low_bits
-        self.low = np.frombuffer(low, np.uint8)
-        self.high = np.frombuffer(high, np.uint8)
-        self.samples = np.frombuffer(samples, "<u4")
+    def __init__(self, n: int, bits: int, low: bytes, high: bytes, ranks: bytes):
+        self.n, self.bits = n, bits
+        self.low = np.frombuffer(low + bytes(9), np.uint8)
+        self.high = np.frombuffer(high + bytes(-len(high) % (BLOCK // 8)), np.uint8)
+        self.ranks = np.frombuffer(ranks, "<u4")
 
     @classmethod
-    def encode(cls, values: np.ndarray) -> EliasFano:
-        n, top = len(values), int(values[-1]) if len(values) else 0
-        low_bits = max(0, (top // n).bit_length() - 1) if n else 0
-        v = values.astype(np.uint64)
-        low = ((v[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-        ones = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
+    def encode(cls, values: np.ndarray) -> dict[str, int | bytes]:
+        """The parts of the sequence as a file holds them."""
+        n, v = len(values), values.astype(np.uint64)
+        bits = max(0, (int(v[-1]) // n).bit_length() - 1) if n else 0
+        low = ((v[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
+        ones = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
-        return cls(n, low_bits, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u4").tobytes())
-
-    def _low(self, i: int) -> int:
-        first = i * self.low_bits
-        word = int.from_bytes(self.low[first >> 3 : (first + self.low_bits + 7 >> 3)].tobytes(), "little")
-        return word >> (first & 7) & ((1 << self.low_bits) - 1)
-
-    def select(self, i: int) -> int:
-        """The i-th number: from the sampled one before it, bits are counted byte by byte."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte, bits = at >> 3, int(self.high[at >> 3]) >> (at & 7) << (at & 7)
-        while (ones := bits.bit_count()) <= left:
-            left -= ones
-            byte += 1
-            bits = int(self.high[byte])
-        for _ in range(left):
-            bits &= bits - 1
-        place = 8 * byte + (bits & -bits).bit_length() - 1
-        return place - i << self.low_bits | self._low(i)
-
-    def all(self) -> np.ndarray:
-        """All numbers by one select over the whole sequence."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return ((ones - np.arange(self.n)) << self.low_bits) + low.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+        ranks = np.searchsorted(ones, np.arange(0, len(high), BLOCK)).astype("<u4")
+        return {"bits": bits, "low": np.packbits(low.ravel(), bitorder="little").tobytes(), "high": np.packbits(high, bitorder="little").tobytes(), "ranks": ranks.tobytes()}
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        first = i * self.bits
+        part = self.low[(first >> 3)[:, None] + np.arange(9)]
+        shift = (first & 7).astype(np.uint64)
+        word = np.ascontiguousarray(part[:, :8]).view("<u8")[:, 0] >> shift
+        over = np.where(shift > 0, part[:, 8].astype(np.uint64) << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        return (word | over) & np.uint64((1 << self.bits) - 1)
+
+    def select(self, places: np.ndarray) -> np.ndarray:
+        """The numbers at places, unsigned: the directory tells the block of each one, counting bits its byte, a table the bit."""
+        i = np.asarray(places, np.int64)
+        if len(i) and not (0 <= i.min() and i.max() < self.n):
+            raise IndexError(f"places of {self.n} numbers")
+        if len(i) > 1 << 14:
+            return np.concatenate([self.select(i[k : k + (1 << 14)]) for k in range(0, len(i), 1 << 14)])
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        block = np.searchsorted(self.ranks, i, "right") - 1
+        data = self.high.reshape(-1, BLOCK // 8)[block]
+        ones = np.cumsum(np.bitwise_count(data), axis=1, dtype=np.int64)
+        left = i - self.ranks[block]
+        byte = (ones <= left[:, None]).sum(axis=1)
+        row = np.arange(len(i))
+        left -= np.where(byte > 0, ones[row, byte - 1], 0)
+        place = block * BLOCK + 8 * byte + SELECT[data[row, byte], left]
+        return ((place - i).astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    The tokenizer never joins across white space, so a text's ids are those of its words one after another;
-    the library encodes each different word once, and a bounded table keeps what it said. Its normalizer and
-    pre-tokenizer leave a word of lower-case Latin letters as it is and cut ASCII punctuation from its end, so such
-    words go to the library's model directly.
+    A tokenizer that says of itself what NORMALIZER and SPLITTER say never joins across white space, so a text's ids are
+    those of its words one after another; the library encodes each different word once, and a bounded table keeps what
+    it said. It leaves a word of lower-case Latin letters as it is and cuts ASCII punctuation from its end, so such
+    words go to the library's model directly. Any other tokenizer is given whole texts.
     """
 
     def __init__(self, path: str | None = None):
@@ -108,11 +123,25 @@ class Encoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        told = json.loads(self.tokenizer.to_str())
+        splits = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_words = (
+            told["normalizer"] == NORMALIZER
+            and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+            and splits[0] == SPLITTER
+            and not splits[1]["add_prefix_space"]
+            and not splits[1]["use_regex"]
+            and told["model"]["type"] == "BPE"
+            and not told["truncation"]
+            and not told["padding"]
+            and all(x["content"].startswith("<|") and not re.search(r"\s", x["content"]) for x in told["added_tokens"])
+        )
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.tails: dict[str, list[int]] = {}
+        self.n_bytes = 0
         self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _model(self, part: str) -> list[int]:
@@ -131,7 +160,7 @@ class Encoder:
                 if tail:
                     if (more := tails.get(tail)) is None:
                         more = self._model(tail)
-                        if len(tails) < CACHE_WORDS:
+                        if len(tails) < CACHE_WORDS and len(tail) <= LONGEST:
                             tails[tail] = more
                     ids = ids + more
                 out[i] = ids
@@ -141,9 +170,23 @@ class Encoder:
             out[i] = x.ids
         return out
 
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """`encode` by whole texts, some at a time."""
+        values, out, held, total = pa.compute.fill_null(texts.cast(pa.string()), "").to_pylist(), [], [], 0
+        for t in [*values, None]:
+            if held and (t is None or total + len(t) > WHOLE):
+                out += [np.array([*x.ids, END_ID], np.uint32) for x in self.tokenizer.encode_batch_fast(held, add_special_tokens=False)]
+                held, total = [], 0
+            if t is not None:
+                held.append(t)
+                total += len(t)
+        return np.concatenate([np.zeros(0, np.uint32), *out]), np.cumsum([len(x) for x in out], dtype=np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each closed by END_ID; where each ends)."""
-        if len(self.known) > CACHE_WORDS:
+        if not self.by_words:
+            return self._whole(texts)
+        if len(self.known) > CACHE_WORDS or self.n_bytes > CACHE_BYTES:
             self.clear()
         pc = pa.compute
         texts = pc.fill_null(texts.cast(pa.string()), "")
@@ -152,20 +195,27 @@ class Encoder:
         coded = split.flatten().dictionary_encode()
         words, known = coded.dictionary.to_pylist(), self.known
         place = np.array([known.get(w, -1) for w in words], np.int64)
+        ids, begin = self.ids, self.begin
         if len(unknown := np.flatnonzero(place < 0)):
             new = [words[i] for i in unknown.tolist()]
-            found = self.learn(new)
-            place[unknown] = len(known) + np.arange(len(new))
-            known.update(zip(new, place[unknown].tolist(), strict=True))
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in found])])
-            self.ids = np.concatenate([self.ids, np.array(list(chain.from_iterable(found)), np.uint32)])
+            short = np.array([len(w) <= LONGEST for w in new])
+            order = np.concatenate([np.flatnonzero(short), np.flatnonzero(~short)])  # those to keep first
+            new = [new[i] for i in order.tolist()]
+            found, kept = self.learn(new), int(short.sum())
+            place[unknown[order]] = len(begin) - 1 + np.arange(len(new))
+            begin = np.concatenate([begin, begin[-1] + np.cumsum([len(x) for x in found])])
+            ids = np.concatenate([ids, np.array(list(chain.from_iterable(found)), np.uint32)])
+            self.known.update(zip(new[:kept], range(len(self.begin) - 1, len(self.begin) - 1 + kept), strict=True))
+            self.n_bytes += sum(map(len, new[:kept])) + 4 * sum(map(len, found[:kept]))
+            self.begin = begin[: len(self.begin) + kept]
+            self.ids = ids[: int(self.begin[-1])]
         which = place[coded.indices.to_numpy()]
-        first, size = self.begin[which], self.begin[which + 1] - self.begin[which]
+        first, size = begin[which], begin[which + 1] - begin[which]
         place = np.cumsum(size) - size
-        ids = self.ids[np.repeat(first - place, size) + np.arange(int(size.sum()))]
+        out = ids[np.repeat(first - place, size) + np.arange(int(size.sum()))]
         n_words = pc.list_value_length(split).to_numpy()
         ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(n_words)]
-        return np.insert(ids, ends, END_ID), ends + np.arange(1, len(texts) + 1)
+        return np.insert(out, ends, END_ID), ends + np.arange(1, len(texts) + 1)
 
 
 _encoders: dict[str | None, Encoder] = {}
@@ -188,9 +238,9 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
         n = 0
 
         def segment() -> pa.RecordBatch:
-            ef = EliasFano.encode(np.array(ends, np.int64))
-            known = [x for x in owners if x is not None]
-            row = [part, seq, before, len(ends), n, own_encoder.width, np.concatenate(ids).astype(f"<u{own_encoder.width}").tobytes(), ef.low_bits, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes(), np.array(known, "<i8").tobytes(), len(known) < len(owners)]
+            known = np.array([x for x in owners if x is not None], np.int64).view(np.uint64)
+            first = None if owners[0] is None else owners[0]
+            row = [part, seq, before, len(ends), n, own_encoder.width, np.concatenate(ids).astype(f"<u{own_encoder.width}").tobytes(), EliasFano.encode(np.array(ends, np.int64)), first, EliasFano.encode(known - known[:1])]
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, TYPES, strict=True)], NAMES)
 
         for b in slices(batches, most=SLICE):
@@ -217,7 +267,8 @@ def write(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
 
     data = keyed_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     dealt = data.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
-    dealt.drop("tie").mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
+    with shuffles_cleaned(df.sparkSession):
+        dealt.drop("tie").mapInArrow(run, SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -236,11 +287,11 @@ def _documents(spark: SparkSession, path: str, ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ef = EliasFano(r["n_docs"], r["low_bits"], r["low"], r["high"], r["samples"])
-                ends = ef.all()
+                every = np.arange(r["n_docs"])
+                ends = EliasFano(r["n_docs"], **r["ends"]).select(every).astype(np.int64)
                 begin = np.concatenate([[0], ends[:-1]])
                 values = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
-                owners = [None] * r["n_docs"] if r["null_id"] else np.frombuffer(r["doc_ids"], "<i8")
+                owners = [None] * r["n_docs"] if r["first_id"] is None else (EliasFano(r["n_docs"], **r["doc_ids"]).select(every) + np.array([r["first_id"]]).view(np.uint64)).view(np.int64)
                 if ids:
                     value = pa.ListArray.from_arrays(pa.array(np.append(begin, ends[-1:]), pa.int32()), pa.array(values.astype(np.int32)))
                 else:
@@ -252,5 +303,6 @@ def _documents(spark: SparkSession, path: str, ids: bool) -> DataFrame:
 
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "tokens")
+    passing(spark, path)
     write(table(spark, sf_dir, "documents"), path)
     return _documents(spark, path, ids=False)
