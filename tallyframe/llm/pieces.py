@@ -4,10 +4,14 @@ A text becomes a lattice over its bytes whose arcs are the model's pieces (a spa
 front); characters without a piece, U+2581 itself among them, go byte by byte. A piece weighs by its rank in the model,
 1 / (1 + rank) to the power `alpha`. Forward filtering sums the weights of all paths to each place; backward sampling
 then draws a path from the end. No piece crosses from a character to a following space or over a newline, so lattices factor
-there into chunks whose tables are kept and reused. Draws are 32-bit numbers hashed from seed, row key, chunk and step,
-compared with integer thresholds: a row's ids never depend on other rows, batches or partitions.
-
-Null gives null ids and decodes to null; empty gives no ids and decodes to empty. Rows with equal key and text give equal ids.
+there into chunks whose tables are kept and reused; chunks over LONG bytes factor further at the places that no arc
+crosses, and what is longer still is filtered and sampled by itself, section by section, its tables never whole in memory.
+Logarithms are whole multiples of 1 / UNIT and sums integers, looked up in tables, so however chunks are worked on, their
+thresholds are the same. Draws are 32-bit numbers hashed from seed, row key, chunk and step: a row's ids never depend on
+other rows, batches or partitions.
+
+Null gives null ids and decodes to null; empty gives no ids and decodes to empty. Rows with equal key and text give equal
+ids, a null key being one like others.
 """
 
 from __future__ import annotations
@@ -15,7 +19,9 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +32,16 @@ from .common import bounded, keyed_text, slices, table
 ALPHA, SEED = 1.0, 17
 #: Text bytes that are encoded at once.
 SLICE = 2 << 20
-#: Chunks that are learned at once.
-LEARN = 10_000
-#: Chunks whose tables a worker keeps; beyond that it goes on with the most used third, without effect on results.
-CACHE_CHUNKS = 150_000
+#: Chunks that are learned at once, and their bytes.
+LEARN, LEARN_BYTES = 10_000, 128 << 10
+#: Chunks whose tables a worker keeps, and their bytes; beyond that it goes on with the most used third, without effect on results.
+CACHE_CHUNKS, CACHE_BYTES = 150_000, 1_500_000
+#: Bytes of a chunk whose table is kept, and of a section of longer ones.
+LONG, SECTION = 512, 1 << 15
+#: Parts of one that logarithms have, and integers that stand for 1; the tables of e to the -i / UNIT and of e to the i / UNIT.
+UNIT, ONE = 4096, 1 << 24
+FALL = np.floor(np.exp(-np.arange(math.ceil(UNIT * math.log(ONE)) + 2) / UNIT) * ONE).astype(np.int64)
+RISE = np.floor(np.exp(np.arange(UNIT * 5) / UNIT) * ONE).astype(np.int64)
 G1, G2, G3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -61,7 +73,7 @@ def row_seed(key: object, seed: int) -> int:
 
 
 class Vocabulary:
-    """The model's pieces as bytes, with a space for U+2581, and their log weights."""
+    """The model's pieces as bytes, with a space for U+2581, and their costs: negative logarithms of weights, times UNIT."""
 
     def __init__(self, path: str | None = None, alpha: float = ALPHA):
         import sentencepiece
@@ -81,15 +93,16 @@ class Vocabulary:
             else:
                 raw = name.replace("▁", " ").encode()
                 self.raw.append(raw)
-                self.piece[raw] = (i, -alpha * math.log1p(abs(model.get_score(i))))
-        self.cheap = -alpha * math.log1p(len(self.raw))
+                self.piece[raw] = (i, round(UNIT * alpha * math.log1p(abs(model.get_score(i)))))
+        self.cheap = round(UNIT * alpha * math.log1p(len(self.raw)))
+        self.longest = max(map(len, self.piece))
         assert not any(b" " in p.lstrip(b" ") or b"\n" in p for p in self.piece), "pieces cross chunks"
-        self.weight = np.full(len(self.raw), self.cheap)
+        self.cost = np.full(len(self.raw), self.cheap, np.int64)
         # the pieces' trie: node * 256 + byte -> node, as two sorted columns
         edges: dict[int, int] = {}
         ends = {0: -1}
         for raw, (i, w) in self.piece.items():
-            self.weight[i] = w
+            self.cost[i] = w
             node = 0
             for x in raw:
                 node = edges.setdefault(node * 256 + x, len(edges) + 1)
@@ -142,6 +155,42 @@ class Vocabulary:
         return np.concatenate([*start, alone]), np.concatenate([*length, np.ones(len(alone), np.int64)]), np.concatenate([*ids, byte[data[alone]]])
 
 
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """The places within a chunk that no arc crosses: what comes before and after is independent."""
+        out = []
+        for a in range(0, len(data), SECTION):
+            low, high = max(0, a - self.longest), min(len(data), a + SECTION + self.longest)
+            start, length, _ = self.arcs(data[low:high], high - low - np.arange(high - low))
+            inside = np.bincount(start + 1, minlength=high - low + 2) - np.bincount(start + length, minlength=high - low + 2)
+            free = np.flatnonzero(np.cumsum(inside) == 0) + low
+            out.append(free[(free > a) & (free <= a + SECTION) & (free < len(data))])
+        return np.concatenate(out)
+
+    def section(self, data: np.ndarray, a: int, b: int, costs: list[int]) -> tuple[int, list[int], list[int], list[int], list[int], list[int]]:
+        """Forward filtering of places a + 1 to b of a chunk, given the costs of those from the first that an arc may start at up to a.
+
+        (that first place, costs from it up to b, where the arcs to each place from a + 1 on begin, and their heads, costs and ids).
+        """
+        low, high = max(0, a - self.longest), min(len(data), b + self.longest)
+        start, length, ids = self.arcs(data[low:high], high - low - np.arange(high - low))
+        tail = start + length + low
+        keep = np.flatnonzero((tail > a) & (tail <= b))
+        keep = keep[np.lexsort((start[keep], tail[keep]))]
+        first = np.searchsorted(tail[keep], np.arange(a + 1, b + 2)).tolist()
+        heads, spent, ids = start[keep].tolist(), self.cost[ids[keep]].tolist(), ids[keep].tolist()
+        out, fall, rise, most = list(costs), FALL.tolist(), RISE.tolist(), len(FALL) - 1
+        for s, e in zip(first[:-1], first[1:], strict=True):
+            if e - s == 1:
+                out.append(out[heads[s]] + spent[s])
+            elif e > s:
+                c = [out[h] + x for h, x in zip(heads[s:e], spent[s:e], strict=True)]
+                best = min(c)
+                out.append(best - bisect_right(rise, sum([fall[min(x - best, most)] for x in c])) + 1)
+            else:
+                out.append(0)  # within a character: no arc ends or starts here
+        return low, out, first, heads, spent, ids
+
+
 class Sampler:
     """Tables of chunks: a state is a place of a chunk, whose arcs follow one another with cumulative 32-bit limits."""
 
@@ -172,24 +221,25 @@ class Sampler:
         depth = tail - (first + np.arange(len(chunks)))[own[start]]
         order = np.lexsort((head, tail, depth))
         head, tail, ids, depth = head[order], tail[order], ids[order], depth[order]
-        weight = self.vocabulary.weight[ids]
-        total = np.zeros(len(data) + len(chunks))
+        spent = self.vocabulary.cost[ids]
+        total = np.zeros(len(data) + len(chunks), np.int64)
         threshold = np.empty(len(head), np.int64)
         cut = np.searchsorted(depth, np.arange(1, int(size.max()) + 2))
+        most = len(FALL) - 1
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if a == b:
                 continue
             t = tail[a:b]
             begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             count = np.diff(np.append(begin, b - a))
-            w = total[head[a:b]] + weight[a:b]
-            top = np.maximum.reduceat(w, begin)
-            whole = (np.exp(w - np.repeat(top, count)) * (1 << 24)).astype(np.int64)
+            c = total[head[a:b]] + spent[a:b]
+            best = np.minimum.reduceat(c, begin)
+            whole = FALL[np.minimum(c - np.repeat(best, count), most)]
             running = np.cumsum(whole)
             running -= np.repeat(running[begin] - whole[begin], count)
             sums = running[begin + count - 1]
-            total[t[begin]] = top + np.log(sums / (1 << 24))
-            threshold[a:b] = (running << 32) // np.repeat(sums, count)
+            total[t[begin]] = best - np.searchsorted(RISE, sums, "right") + 1
+            threshold[a:b] = np.maximum((running << 32) // np.repeat(sums, count), 1)
         order = np.argsort(tail, kind="stable")
         origin = np.zeros(len(total), bool)
         origin[first + np.arange(len(chunks))] = True
@@ -205,19 +255,56 @@ class Sampler:
         self.uses = np.concatenate([self.uses, np.zeros(len(chunks), np.int32)])
         self.states += len(total)
 
+    def learn_all(self, chunks: list[bytes]) -> None:
+        held, total = [], 0
+        for c in chunks:
+            if held and (len(held) >= LEARN or total + len(c) > LEARN_BYTES):
+                self.learn(held)
+                held, total = [], 0
+            held.append(c)
+            total += len(c)
+        if held:
+            self.learn(held)
+
     def shrink(self) -> None:
-        """Go on with the most used chunks."""
+        """Go on with the most used chunks, a third of what is kept at most."""
+        names = list(self.known)
         most = np.argsort(-self.uses, kind="stable")[: CACHE_CHUNKS // 3]
-        chosen = set(most[self.uses[most] > 1].tolist())
-        kept = [c for c, i in self.known.items() if i in chosen]
+        most = most[self.uses[most] > 1]
+        size = np.cumsum([len(names[i]) for i in most.tolist()])
+        kept = [names[i] for i in np.sort(most[size <= CACHE_BYTES // 3]).tolist()]
         self.clear()
-        for i in range(0, len(kept), LEARN):
-            self.learn(kept[i : i + LEARN])
+        self.learn_all(kept)
+
+    def alone(self, chunk: np.ndarray, seed: np.uint64) -> np.ndarray:
+        """The ids of one long chunk: forward by sections, of which only the costs that the next needs are kept, and backward with each filtered anew."""
+        n, reach = len(chunk), self.vocabulary.longest
+        costs, kept = [0], []
+        for a in range(0, n, SECTION):
+            kept.append(costs)
+            done = self.vocabulary.section(chunk, a, min(n, a + SECTION), costs)
+            costs = done[1][max(0, len(done[1]) - reach - 1) :]
+        fall, most = FALL.tolist(), len(FALL) - 1
+        out, place, draws = [], n, []
+        for k in range(len(kept) - 1, -1, -1):
+            a = k * SECTION
+            low, total, first, heads, spent, ids = done if a + SECTION >= n else self.vocabulary.section(chunk, a, min(n, a + SECTION), kept[k])
+            while place > a:
+                if len(out) == len(draws):
+                    step = np.arange(len(out) + 1, len(out) + (1 << 14) + 1, dtype=np.uint64)
+                    draws += (mixed(seed + step * G3) >> np.uint64(32)).tolist()
+                s, e = first[place - a - 1], first[place - a]
+                if e - s > 1:
+                    c = [total[h] + x for h, x in zip(heads[s:e], spent[s:e], strict=True)]
+                    best = min(c)
+                    running = list(accumulate([fall[min(x - best, most)] for x in c]))
+                    s += next(i for i, x in enumerate(running) if max((x << 32) // running[-1], 1) > draws[len(out)])
+                out.append(ids[s])
+                place = heads[s] + low
+        return np.array(out[::-1], np.int32)
 
     def encode(self, texts: list[bytes], keys: list[object]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, where each text's begin, and the end)."""
-        if len(self.known) > CACHE_CHUNKS:
-            self.shrink()
         whole = b"".join([b" " + t if t else t for t in texts])
         data = np.frombuffer(whole, np.uint8)
         length = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
@@ -225,23 +312,44 @@ class Sampler:
         cut = chunk_starts(data)
         cut[begin[length > 0]] = True
         starts = np.flatnonzero(cut)
+        long = np.flatnonzero(np.diff(np.append(starts, len(data))) > LONG)
+        if len(long):
+            more = [starts[i] + self.vocabulary.cuts(data[starts[i] : starts[i + 1] if i + 1 < len(starts) else len(data)]) for i in long.tolist()]
+            starts = np.sort(np.concatenate([starts, *more]))
         size = np.diff(np.searchsorted(starts, np.append(begin, len(data))))
-        offsets = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
-        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(whole)]).dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        new = [c for c in chunks if c not in self.known]
-        for i in range(0, len(new), LEARN):
-            self.learn(new[i : i + LEARN])
         number = np.arange(len(starts)) - np.repeat(np.cumsum(size) - size, size)
         seeds = np.repeat(np.array([row_seed(k, self.seed) for k in keys], np.uint64), size) + number.astype(np.uint64) * G1
-        place = np.array([self.known[c] for c in chunks], np.int64)
-        self.uses[place] += np.bincount(coded.indices.to_numpy(), minlength=len(place)).astype(np.int32)
-        state = self.last[place[coded.indices.to_numpy()]]
-        who, steps, drawn = np.arange(len(starts), dtype=np.int32), np.zeros(len(starts), np.int32), []
+        starts = np.append(starts, len(data))
+        out, steps, i = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+        while i + 1 < len(starts):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + SLICE, "right")) - 1)
+            found, n = self._some(whole[starts[i] : starts[j]], starts[i : j + 1] - starts[i], seeds[i:j])
+            out.append(found)
+            steps.append(n)
+            i = j
+        last = np.cumsum(np.concatenate(steps))
+        return np.concatenate(out), np.concatenate([[0], last])[np.concatenate([[0], np.cumsum(size)])]
+
+    def _some(self, whole: bytes, starts: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of consecutive chunks, how many each has)."""
+        if len(self.known) > CACHE_CHUNKS or self.states - len(self.known) > CACHE_BYTES:
+            self.shrink()
+        coded = pa.Array.from_buffers(pa.binary(), len(seeds), [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(whole)]).dictionary_encode()
+        which, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        short = np.array([len(c) <= LONG for c in chunks], bool)
+        self.learn_all([c for c, s in zip(chunks, short.tolist(), strict=True) if s and c not in self.known])
+        place = np.array([self.known.get(c, 0) if s else 0 for c, s in zip(chunks, short.tolist(), strict=True)], np.int64)
+        self.uses[place[short]] += np.bincount(which, minlength=len(place)).astype(np.int32)[short]
+        steps, drawn = np.zeros(len(seeds), np.int32), []
+        alone = {i: self.alone(np.frombuffer(chunks[which[i]], np.uint8), seeds[i]) for i in np.flatnonzero(~short[which]).tolist()}
+        for i, x in alone.items():
+            steps[i] = len(x)
+        who = np.flatnonzero(short[which]).astype(np.int32)
+        state, left = self.last[place[which[who]]], seeds[who]
         step = 0
         while len(who):
             step += 1
-            u = (mixed(seeds + np.uint64(step * int(G3) % (1 << 64))) >> np.uint64(32)).astype(np.uint32)
+            u = (mixed(left + np.uint64(step * int(G3) % (1 << 64))) >> np.uint64(32)).astype(np.uint32)
             arc = self.first[state]
             past = np.flatnonzero(self.limit[arc] < u)
             while len(past):
@@ -251,13 +359,14 @@ class Sampler:
             steps[who] = step
             state = self.back[arc]
             more = state >= 0
-            who, state, seeds = who[more], state[more], seeds[more]
+            who, state, left = who[more], state[more], left[more]
         last = np.cumsum(steps, dtype=np.int64)
         ids = np.empty(int(last[-1]) if len(last) else 0, np.int32)
         for s, (w, x) in enumerate(drawn):
             ids[last[w] - 1 - s] = x
-        ends = np.concatenate([[0], last])[np.concatenate([[0], np.cumsum(size)])]
-        return ids, ends
+        for i, x in alone.items():
+            ids[last[i] - len(x) : last[i]] = x
+        return ids, steps.astype(np.int64)
 
 
 _samplers: dict[tuple, Sampler] = {}

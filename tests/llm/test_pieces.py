@@ -19,9 +19,9 @@ def paths(vocabulary, chunk):
     out = []
     for n in range(1, len(chunk) + 1):
         if (p := vocabulary.piece.get(chunk[:n])) is not None:
-            out += [((p[0], *rest), w * math.exp(p[1])) for rest, w in paths(vocabulary, chunk[n:])]
+            out += [((p[0], *rest), w * math.exp(-p[1] / pieces.UNIT)) for rest, w in paths(vocabulary, chunk[n:])]
     if bare[0] and not out:
-        out += [((vocabulary.byte[chunk[0]], *rest), w * math.exp(vocabulary.cheap)) for rest, w in paths(vocabulary, chunk[1:])]
+        out += [((vocabulary.byte[chunk[0]], *rest), w * math.exp(-vocabulary.cheap / pieces.UNIT)) for rest, w in paths(vocabulary, chunk[1:])]
     return out
 
 
@@ -68,3 +68,40 @@ def test_encode_and_decode_are_lossless(make, nothing):
     checked = {r.doc_id: r for r in pieces.encode_checked(df).collect()}
     assert all(r.lossless for r in checked.values())
     assert all(checked[i].ids == back[i].ids for i in range(len(texts)))
+
+
+def test_long_chunks_give_the_ids_of_tables(monkeypatch):
+    v, rng = pieces.Vocabulary(), random.Random(3)
+    texts = ["".join(rng.choices(letters, k=n)).encode() for letters in ("abcdetionings", "aA0+/", "\u4e2d\u6587\u00e9a\U0001f600", "z") for n in (30, 200, 450)]
+    keys = list(range(len(texts)))
+    monkeypatch.setattr(pieces, "LONG", 1 << 20)
+    one, ends = pieces.Sampler(v).encode(texts, keys)
+    cuts = [v.cuts(np.frombuffer(b" " + t, np.uint8)) for t in texts]
+    monkeypatch.setattr(pieces, "LONG", 4)
+    monkeypatch.setattr(pieces, "SECTION", 64)
+    assert all(np.array_equal(v.cuts(np.frombuffer(b" " + t, np.uint8)), c) for t, c in zip(texts, cuts))
+    monkeypatch.setattr(v, "cuts", lambda data: np.zeros(0, np.int64))
+    other, places = pieces.Sampler(v).encode(texts, keys)
+    assert np.array_equal(one, other) and np.array_equal(ends, places)
+
+
+def test_no_arc_crosses_a_cut():
+    v, rng = pieces.Vocabulary(), random.Random(9)
+    for _ in range(40):
+        data = np.frombuffer("".join(rng.choices("ab\u4e2d\u6587\u00e9\U0001f600xyz09", k=300)).encode(), np.uint8)
+        start, length, _ = v.arcs(data, len(data) - np.arange(len(data)))
+        crossed = {p for s, n in zip(start.tolist(), length.tolist()) for p in range(s + 1, s + n)}
+        assert v.cuts(data).tolist() == [p for p in range(1, len(data)) if p not in crossed]
+
+
+def test_five_megabytes_without_a_break():
+    own, rng = pieces.Sampler(pieces.Vocabulary()), random.Random(1)
+    for text in (b"a" * 300_000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=5_000_000)).encode(), ("\u4e2d\u6587\u65e5" * 30_000).encode()):
+        ids, ends = own.encode([text], [None])
+        assert pieces.decoded(own.vocabulary.raw, ids.tolist()) == text
+        assert own.states < 2 * pieces.CACHE_BYTES
+
+
+def test_rows_without_an_own_key(make):
+    rows = {(r.doc_id, r.text): tuple(r.ids) for r in pieces.encode(make(["The nation", "The nation", "x"], [None, None, None]).drop("ids")).collect()}
+    assert len(rows) == 2
