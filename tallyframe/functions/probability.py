@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column
@@ -9,21 +10,52 @@ from pyspark.sql import functions as F
 
 #: Standard normal quantile at 1 - 1e-5 as a 32-bit number, by which the largest count of a mixture is bounded.
 Z = 4.2645878
-#: Coefficients of the rational approximation 7.1.26 (Abramowitz and Stegun) of the error function.
-ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+#: Cody's rational Chebyshev approximations (1969) of the error function up to 0.46875, and of the
+#: complementary one up to 4 and beyond; numerators and denominators from the highest power.
+ERF = (
+    (1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3),
+    (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3),
+)
+ERFC = (
+    (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3),
+    (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3),
+)
+TAIL = (
+    (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4),
+    (1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3),
+)
+
+
+def _ratio(table: tuple[tuple[float, ...], tuple[float, ...]], x: Column) -> Column:
+    """A quotient of polynomials."""
+    top, low = (functools.reduce(lambda s, c: s * x + F.lit(c), own[1:], F.lit(own[0])) for own in table)
+    return top / low
+
+
+def _erfc_above(x: Column) -> Column:
+    """The complementary error function from 0.46875 on."""
+    cut = F.floor(x * 16.0) / 16.0  # its square is exact, so the power loses nothing
+    power = F.exp(-cut * cut) * F.exp(-(x - cut) * (x + cut))
+    inverse = 1.0 / (x * x)
+    tail = (F.lit(1 / math.sqrt(math.pi)) - inverse * _ratio(TAIL, inverse)) / x
+    return power * F.when(x <= 4.0, _ratio(ERFC, x)).otherwise(tail)
 
 
 def erf(x: Column) -> Column:
-    """Within 1.5e-7; Spark has no built-in one."""
-    t = 1.0 / (1.0 + ERF_P * F.abs(x))
-    poly = F.lit(0.0)
-    for a in reversed(ERF_A):
-        poly = (poly + F.lit(a)) * t
-    return F.when(x < 0, -1.0).otherwise(1.0) * (1.0 - poly * F.exp(-x * x))
+    """To the last digits of a double; Spark has no built-in one."""
+    y = F.abs(x)
+    return F.when(y <= 0.46875, x * _ratio(ERF, x * x)).otherwise(F.signum(x) * (1.0 - _erfc_above(y)))
+
+
+def erfc(x: Column) -> Column:
+    """1 - erf(x), as exact where that is tiny."""
+    y = F.abs(x)
+    above = _erfc_above(y)
+    return F.when(y <= 0.46875, 1.0 - x * _ratio(ERF, x * x)).when(x > 0, above).otherwise(2.0 - above)
 
 
 def normal_cdf(z: Column) -> Column:
-    return 0.5 * (1.0 + erf(z / F.lit(math.sqrt(2.0))))
+    return 0.5 * erfc(z * F.lit(-math.sqrt(0.5)))
 
 
 def normal_pdf(x: Column, mu: Column, sigma: Column) -> Column:

@@ -30,11 +30,11 @@ def density(points: np.ndarray, height: int, width: int, sigma: float = SIGMA) -
     return out
 
 
-def density_maps(boxes: DataFrame, height: int, width: int, sigma: float = SIGMA) -> DataFrame:
-    """frame_id, height, width and density (row by row) from normalised centres xc, yc."""
+def density_maps(boxes: DataFrame, height: int, width: int, sigma: float = SIGMA, kind: str = "float") -> DataFrame:
+    """frame_id, height, width and density (row by row, of 32 bits or as `double`) from normalised centres xc, yc."""
 
     def one(frame: int, r: Arrays) -> list[tuple]:
         points = np.column_stack([r["xc"] * width, r["yc"] * height])
-        return [(frame, height, width, density(points, height, width, sigma).astype(np.float32).ravel())]
+        return [(frame, height, width, density(points, height, width, sigma).astype(np.float32 if kind == "float" else np.float64).ravel())]
 
-    return per_frame(boxes.select("frame_id", "xc", "yc"), [], one, "frame_id long, height int, width int, density array<float>")
+    return per_frame(boxes.select("frame_id", "xc", "yc"), [], one, f"frame_id long, height int, width int, density array<{kind}>")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .windows import counted
+
 
 def shared_values(approx: DataFrame, exact: DataFrame, value: str = "value") -> DataFrame:
     """Size of the multiset intersection of two lists of values."""
@@ -46,23 +48,36 @@ def rank_distance(approx: Column, exact: Column, k: int) -> Column:
 
 
 def precision_recall(detections: DataFrame, truth: DataFrame) -> DataFrame:
-    """class_id, conf, cumulative tp and fp, precision and recall at each confidence, from the highest; equal ones enter together."""
-    steps = detections.groupBy("class_id", "conf").agg(F.sum("tp").cast("long").alias("tp"), F.sum(1 - F.col("tp")).cast("long").alias("fp"))
-    down = W.partitionBy("class_id").orderBy(F.desc("conf")).rowsBetween(W.unboundedPreceding, 0)
-    curve = steps.select("class_id", "conf", F.sum("tp").over(down).alias("tp"), F.sum("fp").over(down).alias("fp"))
-    return curve.join(truth, "class_id").select("class_id", "conf", "tp", "fp", "n_truth", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / (F.col("n_truth") + F.lit(1e-16))).alias("recall"))
+    """class_id, conf, cumulative tp and fp, precision and recall at each confidence, from the highest; equal ones enter together.
+
+    Counts are cumulated by ranges of confidence, so no task holds a class.
+    """
+    return _curve(detections, truth).drop("__part", "own")
+
+
+def _curve(detections: DataFrame, truth: DataFrame) -> DataFrame:
+    steps = detections.groupBy("class_id", "conf").agg(F.sum("tp").cast("long").alias("own"), F.sum(1 - F.col("tp")).cast("long").alias("miss"))
+    curve = counted(steps, {"tp": F.col("own"), "fp": F.col("miss")}, ["class_id"], "conf", [F.desc("conf")], descending=True).drop("miss")
+    share = (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision")
+    return curve.join(truth, "class_id").select("class_id", "conf", "tp", "fp", "n_truth", share, (F.col("tp") / (F.col("n_truth") + F.lit(1e-16))).alias("recall"), "own", "__part")
 
 
 def average_precision(detections: DataFrame, truth: DataFrame) -> DataFrame:
     """For each class of `truth` (class_id, n_truth): precision and recall over all detections, area under the envelope of the curve, and F1.
 
     `detections` has class_id, conf and tp (0 or 1). Classes without detections have 0s, classes without truth don't count.
+    The envelope at a confidence is the best precision at it or below: of its range's rows, and of the ranges below.
     """
-    curve = precision_recall(detections, truth)
-    down = W.partitionBy("class_id").orderBy(F.desc("conf"))
-    envelope = curve.withColumn("top", F.max("precision").over(down.rowsBetween(0, W.unboundedFollowing))).withColumn("before", F.lag("recall", 1, 0.0).over(down))
+    curve = _curve(detections, truth)
+    ranges = curve.groupBy("class_id", "__part").agg(F.max("precision").alias("best"))
+    below = F.max("best").over(W.partitionBy("class_id").orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    ranges = ranges.select(F.col("class_id").alias("class_of"), F.col("__part").alias("part_of"), below.alias("below"))
+    inside = F.max("precision").over(W.partitionBy("class_id", "__part").orderBy("conf").rowsBetween(W.unboundedPreceding, 0))
+    met = curve.join(ranges, F.col("class_id").eqNullSafe(F.col("class_of")) & (F.col("__part") == F.col("part_of")))
+    gained = (F.col("recall") - (F.col("tp") - F.col("own")) / (F.col("n_truth") + F.lit(1e-16))).alias("gained")
+    envelope = met.select("class_id", "tp", "fp", "precision", "recall", gained, F.greatest(inside, "below").alias("top"))
     last = F.max(F.struct((F.col("tp") + F.col("fp")).alias("n"), "precision", "recall")).alias("last")
-    area = envelope.groupBy("class_id").agg(F.sum((F.col("recall") - F.col("before")) * F.col("top")).alias("ap"), last)
+    area = envelope.groupBy("class_id").agg(F.sum(F.col("gained") * F.col("top")).alias("ap"), last)
     p, r = F.coalesce("last.precision", F.lit(0.0)), F.coalesce("last.recall", F.lit(0.0))
     out = truth.join(area, "class_id", "left").select("class_id", "n_truth", p.alias("precision"), r.alias("recall"), F.coalesce("ap", F.lit(0.0)).alias("ap"))
     return out.withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + F.lit(1e-16)))

@@ -21,7 +21,7 @@ Arrays = dict[str, np.ndarray]
 
 
 def per_frame(df: DataFrame, order: list[str], work: Callable[[int, Arrays], list[tuple]], schema: str) -> DataFrame:
-    """Apply `work` to (frame id, arrays) of every frame; it returns rows of `schema`. The column frame_id deals the rows."""
+    """Apply `work` to (frame id, arrays) of every frame; it returns rows of `schema`. The column frame_id deals the rows; those without one belong to no frame and are left out."""
     shipped(df.sparkSession)
     kind: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
@@ -56,4 +56,4 @@ def per_frame(df: DataFrame, order: list[str], work: Callable[[int, Arrays], lis
         if held:
             yield frames(held)
 
-    return df.repartition("frame_id").sortWithinPartitions("frame_id", *order).mapInArrow(run, kind)
+    return df.filter("frame_id is not null").repartition("frame_id").sortWithinPartitions("frame_id", *order).mapInArrow(run, kind)

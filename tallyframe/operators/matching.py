@@ -16,35 +16,34 @@ from .frames import Arrays, per_frame
 BOX = ["x1", "y1", "x2", "y2"]
 
 
-def _sides(a: np.ndarray, b: np.ndarray, extra: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Areas of a and of the rows of b, and of their intersections."""
-    low, high = np.maximum(a[:2], b[:, :2]), np.minimum(a[2:], b[:, 2:])
-    inter = np.clip(high - low + extra, 0, None).prod(axis=1)
-    return (a[2:] - a[:2] + extra).prod(), (b[:, 2:] - b[:, :2] + extra).prod(axis=1), inter
+def overlaps(a: np.ndarray, b: np.ndarray, extra: float, least: float) -> np.ndarray:
+    """Intersection over union of every row of a with every row of b; `extra` is added to sides, `least` to unions."""
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    inter = np.clip(high - low + extra, 0, None).prod(axis=2)
+    size = lambda x: (x[:, 2:] - x[:, :2] + extra).prod(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return inter / (size(a)[:, None] + size(b)[None, :] - inter + least)
 
 
 def overlap_plain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    own, other, inter = _sides(a, b, 0.0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return inter / (own + other - inter)
+    return overlaps(a, b, 0.0, 0.0)
 
 
 def overlap_pixels(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    own, other, inter = _sides(a, b, 1.0)
-    return inter / (own + other - inter + 1e-16)
+    return overlaps(a, b, 1.0, 1e-16)
 
 
 def suppress(boxes: np.ndarray, obj: np.ndarray, cls: np.ndarray, score: np.ndarray, threshold: float) -> list[tuple[int, np.ndarray]]:
     """(head's place, merged box) of what stays: like boxes of a class become their mean weighted by `obj`."""
-    left = np.argsort(-score, kind="stable")
-    out = []
-    while len(left):
-        head = left[0]
-        same = (overlap_pixels(boxes[head], boxes[left]) > threshold) & (cls[left] == cls[head])
-        same[0] = True
-        weight = obj[left[same]][:, None]
-        out.append((int(head), (weight * boxes[left[same]]).sum(axis=0) / weight.sum()))
-        left = left[~same]
+    order = np.argsort(-score, kind="stable")
+    like = (overlap_pixels(boxes, boxes) > threshold) & (cls[:, None] == cls[None, :])
+    np.fill_diagonal(like, True)
+    left, out = np.ones(len(boxes), bool), []
+    for head in order.tolist():
+        if left[head]:
+            same = like[head] & left
+            left &= ~same
+            out.append((head, obj[same] @ boxes[same] / obj[same].sum()))
     return out
 
 
@@ -74,16 +73,25 @@ def _sided(pred: DataFrame, truth: DataFrame, columns: list[str]) -> DataFrame:
 def match(pred: np.ndarray, truth: np.ndarray, threshold: float) -> np.ndarray:
     """1 for each prediction, best first, that takes a free truth box: of those at the threshold the largest overlap, of equals the last.
 
-    An overlap that isn't a number passes, and so does whatever follows it.
+    An overlap of two boxes without area isn't a number; it reaches any threshold, and the last box that has one goes
+    before those in front of it, while those after it are compared among themselves.
     """
-    free, out = np.ones(len(truth), bool), np.zeros(len(pred), int)
-    for i, box in enumerate(pred):
-        best, place = threshold, -1
-        for j, v in enumerate(overlap_plain(box, truth) if len(truth) else ()):
-            if free[j] and not v < best:
-                best, place = v, j
-        if place >= 0:
-            free[place], out[i] = False, 1
+    out, free = np.zeros(len(pred), int), np.arange(len(truth))
+    every = overlap_plain(pred, truth)
+    for i, own in enumerate(every):
+        v = own[free]
+        unlike = np.flatnonzero(np.isnan(v))
+        begin = int(unlike[-1]) if len(unlike) else 0
+        rest = v[begin + bool(len(unlike)) :]
+        best = np.flatnonzero(rest == rest.max()) if len(rest) else rest
+        if len(unlike):  # nothing after it is less than what isn't a number
+            place = begin + 1 + int(best[-1]) if len(best) else begin
+        elif len(best) and rest[best[-1]] >= threshold:
+            place = int(best[-1])
+        else:
+            continue
+        out[i] = 1
+        free = np.delete(free, place)
     return out
 
 
@@ -100,18 +108,15 @@ def match_boxes(pred: DataFrame, truth: DataFrame, threshold: float = 0.5) -> Da
 
 
 def positives(pred: np.ndarray, pred_cls: np.ndarray, truth: np.ndarray, truth_cls: np.ndarray, threshold: float) -> np.ndarray:
-    """1 for predictions, in order, whose best truth box (of any class) reaches the threshold and wasn't taken; a class that truth lacks is skipped, and the end comes when all are taken."""
-    out, taken = np.zeros(len(pred), int), set()
-    for i, (box, c) in enumerate(zip(pred, pred_cls, strict=True)):
-        if len(taken) == len(truth):
-            break
-        if c not in truth_cls:
-            continue
-        v = overlap_pixels(box, truth)
-        j = int(v.argmax())
-        if v[j] >= threshold and j not in taken:
-            out[i] = 1
-            taken.add(j)
+    """1 for the first prediction, in order, of those whose best truth box (of any class, of equals the first) is the same one.
+
+    Only predictions whose best overlap reaches the threshold and whose class the truth has take part.
+    """
+    out = np.zeros(len(pred), int)
+    if len(pred) and len(truth):
+        table = overlap_pixels(pred, truth)
+        able = np.flatnonzero((table.max(axis=1) >= threshold) & np.isin(pred_cls, truth_cls))
+        out[able[np.unique(table[able].argmax(axis=1), return_index=True)[1]]] = 1
     return out
 
 

@@ -39,4 +39,4 @@ def split(frames: DataFrame, hour: int, frame_col: str = "frame_id") -> DataFram
 def sample(frames: DataFrame, n: int, seed: int, keep: Column | None = None, frame_col: str = "frame_id") -> DataFrame:
     """n frames at random, of those that `keep` holds for; the same ones for a seed, however the input is dealt."""
     data = frames if keep is None else frames.filter(keep)
-    return data.orderBy(F.xxhash64(F.col(frame_col), F.lit(seed)), frame_col).limit(n)
+    return data.orderBy(F.md5(F.concat(F.col(frame_col).cast("string"), F.lit(f":{seed}"))), frame_col).limit(n)

@@ -24,9 +24,13 @@ def from_mixtures(mixtures: DataFrame, parts: Column, frame_col: str = "frame_id
     return held.select("frame_id", F.transform(grid, lambda c: P.mixture_cdf(F.col("parts"), c.cast("double"))).alias("cdf"))
 
 
-def from_detections(detections: DataFrame, prob: Column, frame_col: str = "frame_id", most: int | None = None) -> DataFrame:
-    """frame, cdf of the number of real objects among its detections, padded with 1 to one length."""
-    each = detections.groupBy(F.col(frame_col).alias("frame_id")).agg(F.sort_array(F.collect_list(prob)).alias("p"))  # a frame's detections
+def from_detections(detections: DataFrame, prob: Column, frame_col: str = "frame_id", most: int | None = None, keep: Column | None = None) -> DataFrame:
+    """frame, cdf of the number of real objects among its detections, or those that `keep` holds for, padded with 1 to one length.
+
+    Every frame has a row: without a detection to keep its count is 0 for sure.
+    """
+    own = prob if keep is None else F.when(keep, prob)
+    each = detections.groupBy(F.col(frame_col).alias("frame_id")).agg(F.sort_array(F.collect_list(own)).alias("p"))  # a frame's detections
     if most is None:
         most = each.agg(F.max(F.size("p"))).first()[0] or 0
     cdf = P.running(P.count_pmf(F.col("p")))

@@ -56,20 +56,64 @@ def key_batches(frames: DataFrame, pixels: str, threshold: float, size: int = 64
     return out.withColumn("is_key", is_first | F.lit(threshold <= 0) | F.coalesce(F.col("difference") >= threshold, F.lit(True)))
 
 
+def ranged(df: DataFrame, by: str, out: str = "__part") -> DataFrame:
+    """With the number of the range, of PARTS equal ones, that each row's `by` (a number or a time) is in; null is before all."""
+    place = F.col(by).cast("double")
+    low, high = df.agg(F.min(place), F.max(place)).first()
+    if low is None or high == low:
+        return df.withColumn(out, F.when(place.isNull(), -1).otherwise(0))
+    width = (high - low) / PARTS
+    return df.withColumn(out, F.when(place.isNull(), -1).otherwise(F.least(F.floor((place - low) / width), F.lit(PARTS - 1))).cast("int"))
+
+
 def forward_filled(df: DataFrame, value: str, keys: list[str], order: list[str], out: str = "filled") -> DataFrame:
-    """The last value that isn't null up to each row, by video."""
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    """The last value that isn't null up to each row, by video.
+
+    A video is cut into ranges of its first order column: each range's last value is carried over the at most PARTS
+    ranges, and only rows of one range are sorted together.
+    """
+    cut = ranged(df, order[0])
+    own = cut.filter(F.col(value).isNotNull()).groupBy(*keys, "__part").agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    every = cut.groupBy(*keys, "__part").agg(F.lit(1).alias("__one")).join(_like(own, keys), _same([*keys, "__part"]), "left")
+    before = F.last("__last", ignorenulls=True).over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    carried = _like(every.select(*keys, "__part", before.alias("__before")), keys)
+    inside = F.last(value, ignorenulls=True).over(W.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return cut.join(carried, _same([*keys, "__part"])).withColumn(out, F.coalesce(inside, "__before")).select(*df.columns, out)
+
+
+def _like(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys and range under names that end in `_of`."""
+    return df.withColumnsRenamed({c: f"{c}_of" for c in [*keys, "__part"]})
+
+
+def _same(keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"{k}_of"))
+    return out
+
+
+def counted(df: DataFrame, what: dict[str, Column], keys: list[str], by: str, order: list[Column], descending: bool = False) -> DataFrame:
+    """Sums of whole-number columns over the rows up to each one, by key: sums of ranges of `by` before a row's, and a window within it."""
+    cut = ranged(df, by)
+    sums = cut.groupBy(*keys, "__part").agg(*(F.sum(c).alias(f"__{n}") for n, c in what.items()))
+    up = W.partitionBy(*keys).orderBy(F.desc("__part") if descending else F.asc("__part")).rowsBetween(W.unboundedPreceding, -1)
+    base = _like(sums.select(*keys, "__part", *(F.coalesce(F.sum(f"__{n}").over(up), F.lit(0)).alias(f"__{n}") for n in what)), keys)  # at most PARTS + 1 rows a key
+    inside = W.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    met = cut.join(base, _same([*keys, "__part"]))
+    return met.select(*df.columns, "__part", *((F.col(f"__{n}") + F.sum(c).over(inside)).alias(n) for n, c in what.items()))
 
 
 def skip_runs(df: DataFrame, is_key: Column, keys: list[str], order: list[str]) -> DataFrame:
     """For each video the longest run of a key row and the skipped ones after it (a run still open at the end doesn't count) and the open run's length."""
-    island = F.sum(is_key.cast("int")).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    runs = df.withColumn("__island", island).groupBy(*keys, "__island").agg(F.count("*").alias("__n"))
-    top = runs.groupBy(*keys).agg(F.max("__island").alias("__top"))
-    return runs.join(top, keys).groupBy(*keys).agg(
-        F.coalesce(F.max(F.when(F.col("__island") < F.col("__top"), F.col("__n"))), F.lit(0)).alias("max_skip"),
-        F.max(F.when(F.col("__island") == F.col("__top"), F.col("__n"))).alias("open_run"),
-    )
+    flagged = df.select(*keys, *order, is_key.cast("int").alias("__key"))
+    islands = counted(flagged, {"__island": F.col("__key")}, keys, order[0], [F.col(c) for c in order])
+    runs = islands.groupBy(*keys, "__island").agg(F.count("*").alias("__n"))
+    top = F.max_by("__n", "__island")
+    whole = runs.groupBy(*keys).agg(F.max("__island").alias("__top"), top.alias("open_run"))
+    closed = runs.join(_like(whole.withColumn("__part", F.lit(0)).drop("open_run"), keys).drop("__part_of"), _same(keys)).filter(F.col("__island") < F.col("__top"))
+    most = _like(closed.groupBy(*keys).agg(F.max("__n").alias("__most")).withColumn("__part", F.lit(0)), keys)
+    return whole.join(most, _same(keys), "left").select(*keys, F.coalesce("__most", F.lit(0)).alias("max_skip"), "open_run")
 
 
 def hourly(events: DataFrame, ts: str = "ts", length: str = "1 hour") -> DataFrame:

@@ -20,12 +20,13 @@ m as (select frame_id, label, i, exp(e[i] - list_max(e[1:20])) as raw, exp(e[20
 s as (select frame_id, sum(raw) as whole from m group by 1),
 parts as (select m.frame_id, label, i, raw / whole as pi, mu, sigma from m join s on m.frame_id = s.frame_id),
 """
-#: The normal CDF of z by the same approximation.
-PHI = """(0.5 * (1 + case when z < 0 then -1 else 1 end * (1 - (((((1.061405429e0 * t - 1.453152027e0) * t) + 1.421413741e0) * t - 0.284496736e0) * t + 0.254829592e0) * t * exp(-(z / sqrt(2e0)) * (z / sqrt(2e0))))))"""
+#: The normal CDF of z by its series, z to the n over the product of the odd numbers up to n, and far out by its limits.
+PHI = """(case when z < -6.5 then 0e0 when z > 6.5 then 1e0 else 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * sign(z)
+  * list_sum(list_transform(range(0, 70), lambda n: exp((2 * n + 1) * ln(greatest(abs(z), 1e-300)) - (n + 1) * ln(2) - lgamma(n + 1.5) + 0.5 * ln(pi())))) end)"""
 CDF = f"""
 top as (select cast(ceil(max(mu + 4.2645878e0 * sigma)) as bigint) as c from parts),
 grid as (select unnest(range(0, c + 1)) as c from top),
-terms as (select frame_id, label, c, pi, z, 1 / (1 + 0.3275911e0 * abs(z / sqrt(2e0))) as t from (select frame_id, label, pi, c, (c - mu) / sigma as z from parts, grid)),
+terms as (select frame_id, label, pi, c, (c - mu) / sigma as z from parts, grid),
 cdf as (select frame_id, label, c, sum(pi * {PHI}) as f from terms group by 1, 2, 3)
 """
 

@@ -14,10 +14,10 @@ UNCERTAIN = "timestamp long, prob array<double>, image_path string"
 
 
 def path_list(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """path and frame_id of a list of images, in numeric order of names; `most` keeps the first ones."""
+    """path and frame_id of a list of images; `most` keeps the first ones in numeric order of names."""
     lines = spark.read.text(path).select(F.trim("value").alias("path")).filter("path <> ''")
-    out = lines.select("path", X.frame_id(F.col("path")).alias("frame_id")).orderBy(*X.natural(F.col("path")))
-    return out if most is None else out.limit(most)
+    out = lines.select("path", X.frame_id(F.col("path")).alias("frame_id"))
+    return out if most is None else out.orderBy(*X.natural(F.col("path"))).limit(most)
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,13 +65,22 @@ def class_id(names: list[str], name: str) -> int:
 
 
 def count_labels(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    """timestamp, count and image_path by timestamp."""
-    out = spark.read.schema(COUNTS).json(path, multiLine=True).orderBy("timestamp")
-    return out if most is None else out.limit(most)
+    """timestamp, count and image_path; `most` keeps the first ones by timestamp."""
+    out = records(spark, path, COUNTS)
+    return out if most is None else out.orderBy("timestamp").limit(most)
 
 
 def uncertain_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(UNCERTAIN).json(path, multiLine=True)
+    return records(spark, path, UNCERTAIN)
+
+
+def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON records of files that hold one on each line, or lists of them on lines, such as one list in all.
+
+    Files are read line by line in parallel. A list that is broken over several lines, which none of the writers makes, needs
+    Spark's own `multiLine` reader.
+    """
+    return spark.read.schema(schema).json(path)
 
 
 def timing(text: str) -> float:

@@ -29,7 +29,7 @@ def test_columns_and_arrays_agree(spark):
     p, q = G.Corners(*map(F.col, "abcd")), G.Corners(*map(F.col, "efgh"))
     got = rows.select(G.iou(p, q).alias("x"), G.iou_pixels(p, q).alias("y")).collect()
     for r, x, y in zip(got, a, b, strict=True):
-        assert r.x == pytest.approx(M.overlap_plain(x, y[None])[0]) and r.y == pytest.approx(M.overlap_pixels(x, y[None])[0])
+        assert r.x == pytest.approx(M.overlap_plain(x[None], y[None])[0, 0]) and r.y == pytest.approx(M.overlap_pixels(x[None], y[None])[0, 0])
 
 
 def test_scaling_undoes_padding(spark):
@@ -49,12 +49,32 @@ def test_matching_rules():
     assert M.match(flat, flat, 0.9).tolist() == [1]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_matching_takes_the_best_free_box(seed):
+    rng = np.random.default_rng(seed)
+    grid = lambda n: np.sort(rng.integers(0, 4, (n, 2, 2)), axis=1).reshape(n, 4).astype(float)
+    pred, truth = grid(9), grid(6)  # many equal overlaps, and boxes without area
+    got, taken = M.match(pred, truth, 0.3), set()
+    for i, own in enumerate(M.overlap_plain(pred, truth).tolist()):
+        best, place = 0.3, None
+        for j, v in enumerate(own):
+            if j not in taken and (v >= best or v != v or best != best):
+                best, place = v, j
+        assert got[i] == (place is not None)
+        taken.add(place)
+
+
+def test_frames_without_an_id_are_left_out(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0, 0.9, 1.0, 0, 1), (None, 0.0, 0.0, 1.0, 1.0, 0.9, 1.0, 0, 2)], "frame_id long, x1 double, y1 double, x2 double, y2 double, obj_conf double, cls_conf double, class_id int, rank long")
+    assert [r.frame_id for r in M.non_max_suppression(df).collect()] == [1]
+
+
 def test_suppression_merges_like_boxes(spark):
     boxes = np.array([[0, 0, 10, 10], [1, 1, 11, 11], [50, 50, 60, 60]], float)
     (head, merged), other = M.suppress(boxes, np.array([0.9, 0.6, 0.5]), np.array([0, 0, 0]), np.array([0.9, 0.6, 0.5]), 0.45)
     assert head == 0 and merged == pytest.approx([0.4, 0.4, 10.4, 10.4]) and other[0] == 2
     assert len(M.suppress(boxes[:2], np.array([0.9, 0.6]), np.array([0, 1]), np.array([0.9, 0.6]), 0.45)) == 2
-    assert M.overlap_pixels(boxes[0], boxes[1:2])[0] == pytest.approx(0.704225, abs=1e-6)
+    assert M.overlap_pixels(boxes[:1], boxes[1:2])[0, 0] == pytest.approx(0.704225, abs=1e-6)
     rows = [(f, *map(float, b), o, 1.0, 0, i) for f in (1, 2) for i, (b, o) in enumerate(zip(boxes, (0.9, 0.6, 0.2), strict=True))]
     df = spark.createDataFrame(rows, "frame_id long, x1 double, y1 double, x2 double, y2 double, obj_conf double, cls_conf double, class_id int, rank int")
     out = M.non_max_suppression(df, 0.5, 0.45).collect()

@@ -19,10 +19,12 @@ def lits(values):
     return F.array(*(F.lit(float(v)) for v in values))
 
 
-def test_normal_cdf_is_close(spark):
+def test_normal_cdf_is_exact(spark):
     z = np.linspace(-5, 5, 201)
     rows = spark.createDataFrame([(float(x),) for x in z], "z double").select(P.normal_cdf(F.col("z")).alias("p")).collect()
-    assert max(abs(r.p - 0.5 * (1 + math.erf(x / math.sqrt(2)))) for r, x in zip(rows, z, strict=True)) < 1e-7
+    for r, x in zip(rows, z, strict=True):
+        want = 0.5 * math.erfc(-x / math.sqrt(2))
+        assert r.p == pytest.approx(want, rel=1e-12) and math.log(r.p) == pytest.approx(math.log(want), rel=1e-12, abs=1e-15)
 
 
 def test_golden_mixture(spark):

@@ -40,8 +40,8 @@ def test_truth_files(spark, tmp_path):
 
 def test_path_lists(spark, tmp_path):
     (tmp_path / "list.txt").write_text("v/10.jpg\n v/9.jpg\nv/100.jpg\n\n")
-    assert [r.frame_id for r in labels.path_list(spark, str(tmp_path / "list.txt")).collect()] == [9, 10, 100]
-    assert labels.path_list(spark, str(tmp_path / "list.txt"), 2).count() == 2
+    assert sorted(r.frame_id for r in labels.path_list(spark, str(tmp_path / "list.txt")).collect()) == [9, 10, 100]
+    assert [r.frame_id for r in labels.path_list(spark, str(tmp_path / "list.txt"), 2).collect()] == [9, 10]
     sinks.write_path_list(labels.path_list(spark, str(tmp_path / "list.txt")), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == 3
 
@@ -54,7 +54,8 @@ def test_images_of_a_folder(spark, tmp_path):
 
 def test_json_labels_and_distributions(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([{"timestamp": 2, "count": 3, "image_path": "b"}, {"timestamp": 1, "count": 0, "image_path": "a"}]))
-    assert [(r.timestamp, r["count"]) for r in labels.count_labels(spark, str(tmp_path / "c.json")).collect()] == [(1, 0), (2, 3)]
+    assert sorted((r.timestamp, r["count"]) for r in labels.count_labels(spark, str(tmp_path / "c.json")).collect()) == [(1, 0), (2, 3)]
+    assert [r.timestamp for r in labels.count_labels(spark, str(tmp_path / "c.json"), 1).collect()] == [1]
     (tmp_path / "u.json").write_text('[{"timestamp":1,"prob":[0.1,0.6,1.0],"image_path":"images/1.jpg"}]')
     table = labels.uncertain_table(spark, str(tmp_path / "u.json"))
     assert table.first().prob == [0.1, 0.6, 1.0]
@@ -108,3 +109,14 @@ def test_estimates(spark):
 
     got = {r.frame_id: (r.pi, r.mu) for r in models.estimate(frames, load, 2).collect()}
     assert got[3] == ([1.0], [3.0])
+
+
+def test_every_record_is_read_back(spark, tmp_path):
+    rows = [(i, i % 4, f"images/{i}.jpg") for i in range(100)]
+    df = spark.createDataFrame(rows, labels.COUNTS)
+    for parts in (1, 3):  # many records in a part, and several parts
+        sinks.write_records(df.coalesce(1).repartition(parts), str(tmp_path / f"c{parts}"))
+        assert sorted(tuple(r) for r in labels.count_labels(spark, str(tmp_path / f"c{parts}")).collect()) == rows
+    table = spark.createDataFrame([(i, [0.25, 1.0], f"{i}.jpg") for i in range(10)], labels.UNCERTAIN)
+    sinks.write_records(table.coalesce(1), str(tmp_path / "u"))
+    assert sorted(labels.uncertain_table(spark, str(tmp_path / "u")).collect()) == sorted(table.collect())
