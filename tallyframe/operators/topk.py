@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import shipped
+from ..session import passing, removed, shared_dir, shipped
 
 SALTS = 64
 
@@ -70,13 +70,24 @@ def top_gap(counts: DataFrame, k: int, gap: int, value: str = "n", frame_col: st
 
 @dataclass
 class Outcome:
-    """What a probabilistic top-k says: the frames and values, rounds, confirmed frames in each round, and the confidence reached."""
+    """What a probabilistic top-k says: the frames and values, rounds, confirmed frames in each round, and the confidence reached.
+
+    `steps` has the same after each round that had k frames, as (confidence, frames, values, rounds).
+    """
 
     frames: list[int] = field(default_factory=list)
     values: list[float] = field(default_factory=list)
     n_rounds: int = 0
     n_confirmed: list[int] = field(default_factory=list)
     confidence: float = 0.0
+    steps: list[tuple[float, list[int], list[float], int]] = field(default_factory=list)
+
+    def at(self, level: float) -> Outcome:
+        """What a search for a lower confidence would have said: rounds don't depend on it."""
+        for confidence, frames, values, n in self.steps:
+            if confidence >= level:
+                return Outcome(frames, values, n, self.n_confirmed[:n], confidence)
+        return self
 
 
 def log_products(table: DataFrame, frame_col: str = "frame_id") -> tuple[np.ndarray, np.ndarray]:
@@ -126,19 +137,30 @@ def _expected(c_k: int, c_p: int | None, sums: np.ndarray, zeros: np.ndarray) ->
     return out
 
 
+def _best(confirmed: DataFrame, k: int, gap: int, frame_col: str, inclusive: bool) -> list[tuple[float, int]]:
+    """(value, frame) of the best confirmed ones; with a gap the first k (2 gap + 1) rows decide."""
+    rows = confirmed.orderBy(F.desc("score"), frame_col).limit(k * (2 * gap + 1)).collect()
+    chosen = GapList(gap, k, inclusive) if gap else GapList(-1, k)
+    for r in rows:
+        if not chosen.push(float(r["score"]), r[frame_col]):
+            break
+    return chosen.top
+
+
 def probabilistic_top(table: DataFrame, confirm: Callable[[DataFrame], DataFrame], k: int, level: float = 0.9, batch: int = 64, gap: int = 0, frame_col: str = "frame_id", inclusive: bool = False) -> Outcome:
     """Top-k frames with the given confidence, confirming as few frames as the table's distributions allow.
 
     `table` has a frame id and `cdf`, P(count <= c) for c = 0..C; `confirm` maps frames (a column of ids) to their exact
     `score`, for example by an expensive model. Each round makes one aggregate over the unconfirmed frames, whose
     size is C + 1, and one top-`batch` by expected confidence. Scores over C count as C in products. With a gap, the
-    k-th score is that of the gap-filtered list and the confidence a lower bound. The confirmed frames are the only ones held
-    by the driver, `batch` more each round; the table itself never moves.
+    k-th score is that of the gap-filtered list and the confidence a lower bound. Confirmed frames and their scores are
+    added to a table in the shared folder, so they may become all frames; the driver holds the best ones only.
     """
-    out = Outcome()
-    scores: dict[int, float] = {}
-    spark = table.sparkSession
+    out, spark = Outcome(), table.sparkSession
     table = table.select(frame_col, "cdf").persist()
+    path = shared_dir(spark, "confirmed")
+    passing(spark, path)
+    kind = f"`{frame_col}` {table.schema[frame_col].dataType.simpleString()}, score double"
     try:
         top_c = table.agg(F.max(F.size("cdf"))).first()[0]
         if top_c is None:
@@ -146,39 +168,29 @@ def probabilistic_top(table: DataFrame, confirm: Callable[[DataFrame], DataFrame
         mean = F.size("cdf") - F.aggregate("cdf", F.lit(0.0), lambda s, p: s + p)  # E[X] = sum of 1 - F
         first = table.orderBy(F.desc(mean), frame_col).limit(max(k, batch)).select(frame_col)
         while True:
-            new = confirm(first).collect()  # at most a batch of rows
-            scores.update({r[frame_col]: float(r["score"]) for r in new})
+            own = f"{path}/{out.n_rounds}"
+            confirm(first).select(frame_col, F.col("score").cast("double").alias("score")).write.parquet(own)
             out.n_rounds += 1
-            out.n_confirmed.append(len(new))
-            ranked = sorted(((v, f) for f, v in scores.items()), key=lambda x: (-x[0], x[1]))
-            if gap:
-                chosen = GapList(gap, k, inclusive)
-                for v, f in ranked:
-                    if not chosen.push(v, f):
-                        break
-                best = chosen.top
-            else:
-                best = ranked[:k]
-            known = spark.createDataFrame([(f,) for f in scores], f"{frame_col} {table.schema[frame_col].dataType.simpleString()}")
-            rest = table.join(known, frame_col, "left_anti")
-            if len(best) == k:
-                sums, zeros = log_products(rest, frame_col)
-                if not len(sums):  # all are confirmed
-                    out.confidence = 1.0
-                    break
-                c_k = int(min(max(best[-1][0], 0), top_c - 1))
-                out.confidence = 0.0 if zeros[c_k] else math.exp(sums[c_k])
-                if out.confidence >= level:
-                    break
-                c_p = int(min(best[-2][0], top_c)) if k > 1 else None
-                gain = _expected(c_k, c_p, sums, zeros)
-                first = rest.filter(F.get("cdf", F.lit(c_k)) < 1).orderBy(F.desc(gain), F.desc(mean), frame_col).limit(batch).select(frame_col)
-            else:
-                if len(new) == 0:  # fewer than k frames exist
+            out.n_confirmed.append(spark.read.schema(kind).parquet(own).count())
+            confirmed = spark.read.schema(kind).parquet(*(f"{path}/{i}" for i in range(out.n_rounds)))
+            best = _best(confirmed, k, gap, frame_col, inclusive)
+            out.values, out.frames = [v for v, _ in best], [f for _, f in best]
+            rest = table.join(confirmed.select(frame_col), frame_col, "left_anti")
+            if len(best) < k:
+                if not out.n_confirmed[-1]:  # fewer than k frames exist
                     out.confidence = 1.0
                     break
                 first = rest.orderBy(F.desc(mean), frame_col).limit(batch).select(frame_col)
-        out.values, out.frames = [v for v, _ in best], [f for _, f in best]
+                continue
+            sums, zeros = log_products(rest, frame_col)
+            c_k = int(min(max(best[-1][0], 0), top_c - 1))
+            out.confidence = 1.0 if not len(sums) else 0.0 if zeros[c_k] else math.exp(sums[c_k])  # without any sum all are confirmed
+            out.steps.append((out.confidence, out.frames, out.values, out.n_rounds))
+            if out.confidence >= level or not len(sums):
+                break
+            gain = _expected(c_k, int(min(best[-2][0], top_c)) if k > 1 else None, sums, zeros)
+            first = rest.filter(F.get("cdf", F.lit(c_k)) < 1).orderBy(F.desc(gain), F.desc(mean), frame_col).limit(batch).select(frame_col)
         return out
     finally:
         table.unpersist()
+        removed(spark, path)

@@ -139,3 +139,42 @@ def test_sweep(spark):
     truth = [(r.frame_id, float(r.n)) for r in topk.top(counts, 30).collect()]
     rows = sweep(spark, table, models.table_confirmer(counts), truth, (1, 4), (0.5, 1.0), gap=1, batch=4).collect()
     assert len(rows) == 4 and all(r.precision == 1.0 and r.score_error == 0.0 for r in rows)
+
+
+def test_lower_confidences_are_reached_on_the_way(spark):
+    rng = random.Random(9)
+    truth = {f: rng.choice([0, 1, 1, 2, 3, 4]) for f in range(50)}
+    table = spark.createDataFrame([(f, [min(1.0, 0.15 * (c + 1)) if c < n else 0.6 if c == n else 1.0 for c in range(6)]) for f, n in truth.items()], "frame_id long, cdf array<double>")
+    confirm = models.table_confirmer(frame(spark, list(truth.items())))
+    whole = topk.probabilistic_top(table, confirm, 3, 0.95, 4)
+    for level in (0.3, 0.8, 0.95):
+        own, part = topk.probabilistic_top(table, confirm, 3, level, 4), whole.at(level)
+        assert (own.frames, own.values, own.n_rounds, own.n_confirmed, own.confidence) == (part.frames, part.values, part.n_rounds, part.n_confirmed, part.confidence)
+
+
+@pytest.mark.parametrize("gap", [0, 2])
+def test_confidences_below_one_equal_an_enumeration(spark, gap):
+    """The confidence that a search stops at is the probability that no unconfirmed frame is above the k-th value."""
+    rng = random.Random(31 + gap)
+    table = cdfs(rng, 9, 3)
+    truth = {f: rng.randint(0, 3) for f, _ in table}
+    df = spark.createDataFrame(table, "frame_id long, cdf array<double>")
+    seen = []
+
+    def confirm(first):
+        own = models.table_confirmer(frame(spark, list(truth.items())))(first)
+        seen.extend(r.frame_id for r in own.collect())
+        return own
+
+    out = topk.probabilistic_top(df, confirm, 2, 0.55, 2, gap)
+    pmf = {f: [c[0]] + [b - a for a, b in itertools.pairwise(c)] for f, c in table}
+    rest = [f for f, _ in table if f not in seen]
+    total = 0.0
+    for counts in itertools.product(range(4), repeat=len(rest)):
+        if all(n <= out.values[-1] for n in counts):
+            p = 1.0
+            for f, n in zip(rest, counts):
+                p *= pmf[f][n]
+            total += p
+    assert out.confidence == pytest.approx(total) and out.confidence >= 0.55
+    assert sorted(out.values, reverse=True) == out.values and all(truth[f] == v for f, v in zip(out.frames, out.values))
