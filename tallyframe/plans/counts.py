@@ -185,7 +185,7 @@ def dataset_split_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir, 1)
 
 
-@query()
+@query("select event_id as frame_id, value from events where event_type = 'click' order by md5(event_id || ':11'), event_id limit 500")
 def random_frame_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """500 frames with a click, the same for a seed."""
     return splits.sample(frames(spark, sf_dir), 500, 11, F.col("class_name") == "click").select("frame_id", "value")

@@ -55,32 +55,85 @@ def topk_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.top_gap(_counts(spark, sf_dir), 20, 10)
 
 
+def _uncertain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every frame's distribution of class R by its detections' confidences, and the true counts."""
+    d = detections(spark, sf_dir)
+    return U.from_detections(d, F.col("conf"), keep=F.col("class_name") == "R"), _counts(spark, sf_dir)
+
+
+def _search(k: int, level: float, gap: int, batch: int) -> str:
+    """The rounds of a search as table s: rounds, seen (frames), best (values and frames) and conf.
+
+    A frame's gain is what the confidence is expected to become when it is confirmed: over its counts x, the product of the
+    others' F at the k-th value that x would make.
+    """
+    far = f"not list_bool_or(list_prepend(false, list_transform(a, lambda y: abs(y.f - x[1].f) <= {gap})))" if gap else "true"
+    kept = f"list_reduce(list_prepend(cast([] as struct(v double, f bigint)[]), list_transform(ranked, lambda x: [x])), lambda a, x: case when len(a) < {k} and {far} then list_concat(a, x) else a end)"
+    others = "case when zeros[{c} + 1] - case when f[{c} + 1] <= 0 then 1 else 0 end > 0 then 0e0 else exp(sums[{c} + 1] - case when f[{c} + 1] <= 0 then 0e0 else ln(f[{c} + 1]) end) end"
+    second = f"least(x, {f'cast(best[{k - 1}].v as bigint)' if k > 1 else 'x'})"
+    gain = f"case when len(best) < {k} then 0e0 else case when zeros[c_k + 1] > 0 then 0e0 else exp(sums[c_k + 1]) end + coalesce(list_sum(list_transform(range(c_k + 1, c_top + 1), lambda x: (f[x + 1] - f[x]) * ({others.format(c=second)}))), 0e0) end"
+    return f"""
+with recursive p as (select l_orderkey as frame_id, coalesce(list(l_discount * 10 order by l_discount) filter (l_returnflag = 'R'), []) as ps, count(*) filter (l_returnflag = 'R') as n from lineitem group by 1),
+r(frame_id, n, i, ps, d) as (
+  select frame_id, n, 1, ps, [1e0] from p
+  union all
+  select frame_id, n, i + 1, ps, list_transform(range(1, len(d) + 2), lambda c: (case when c <= len(d) then d[c] * (1e0 - ps[i]) else 0e0 end) + (case when c > 1 then d[c - 1] * ps[i] else 0e0 end)) from r where i <= len(ps)
+),
+top as (select max(n) as c_top from p),
+t as (select frame_id, n, list_transform(range(1, c_top + 2), lambda i: case when i > len(ps) then 1e0 else least(1e0, list_sum(d[1:i])) end) as f from r, top where i = len(ps) + 1),
+u as (select frame_id, n, f, len(f) - list_sum(f) as mean from t),
+l as (select frame_id, unnest(range(0, len(f))) as c, unnest(f) as p from u),
+s(rounds, seen, best, conf) as (
+  select 0, cast([] as bigint[]), cast([] as struct(v double, f bigint)[]), 0e0
+  union all
+  select rounds + 1, now, kept, case when len(kept) < {k} then 0e0 else coalesce((select case when sum(case when p <= 0 then 1 else 0 end) > 0 then 0e0 else exp(sum(ln(p))) end from l where c = least(kept[{k}].v, (select c_top from top)) and not list_contains(now, frame_id)), 1e0) end
+  from (select *, {kept} as kept from (
+    select rounds, now, (select list({{'v': cast(n as double), 'f': frame_id}} order by n desc, frame_id) from u where list_contains(now, frame_id)) as ranked
+    from (select rounds, list_concat(seen, (select list(frame_id order by gain desc, mean desc, frame_id)[1:case when rounds = 0 then {max(k, batch)} else {batch} end] from (
+        select frame_id, mean, {gain} as gain from u where not list_contains(seen, frame_id) and (len(best) < {k} or f[c_k + 1] < 1)))) as now
+      from (select *, case when len(best) < {k} then 0 else least(best[{k}].v, c_top)::bigint end as c_k,
+        (select list(z order by c) from (select c, count(*) filter (p <= 0) as z from l where not list_contains(seen, frame_id) group by 1)) as zeros,
+        (select list(z order by c) from (select c, sum(case when p > 0 then ln(p) else 0 end) as z from l where not list_contains(seen, frame_id) group by 1)) as sums
+        from s, top where conf < {level}))))
+)
+"""
+
+
 @query(f"select frame_id, n from ({_COUNTS.format('R')}) order by n desc, frame_id limit 50")
 def topk_probabilistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With confidence 1 the answer is exact, though only frames that could be among the best are confirmed."""
-    d = detections(spark, sf_dir)
-    table = U.from_detections(d.filter("class_name = 'R'"), F.lit(0.5))
-    counts = _counts(spark, sf_dir)
-    out = T.probabilistic_top(table, table_confirmer(counts), 50, 1.0, 256)
+    # a count can exceed what confidences of 0 allow, so at confidence 1 each detection is given the same chance
+    table = U.from_detections(detections(spark, sf_dir), F.lit(0.5), keep=F.col("class_name") == "R")
+    out = T.probabilistic_top(table, table_confirmer(_counts(spark, sf_dir)), 50, 1.0, 256)
     return spark.createDataFrame(list(zip(out.frames, map(int, out.values), strict=True)), "frame_id long, n long")
 
 
-@query()
+@query(_search(10, 0.99, 10, 16) + "select x.f as frame_id, cast(x.v as bigint) as n from (select unnest(best) as x from (select best from s order by rounds desc limit 1))")
 def topk_probabilistic_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = detections(spark, sf_dir)
-    table = U.from_detections(d.filter("class_name = 'R'"), F.lit(0.5))
-    out = T.probabilistic_top(table, table_confirmer(_counts(spark, sf_dir)), 10, 0.9, 256, gap=10)
+    """10 frames more than 10 apart, with confidence 0.99."""
+    table, counts = _uncertain(spark, sf_dir)
+    out = T.probabilistic_top(table, table_confirmer(counts), 10, 0.99, 16, gap=10)
     return spark.createDataFrame(list(zip(out.frames, map(int, out.values), strict=True)), "frame_id long, n long")
 
 
-@query()
+def _swept(k: int, levels: tuple[float, ...], batch: int) -> str:
+    """Rows of a sweep for one k."""
+    chosen = " union all ".join(f"(select cast({x} as double) as confidence, * from s where conf >= {x} order by rounds limit 1)" for x in levels)
+    return f"""({_search(k, max(levels), 0, batch)}, w as ({chosen}),
+e as (select list(cast(n as double) order by n desc, frame_id)[1:{k}] as exact, count(*) as frames from u)
+select {k} as k, confidence, rounds as n_rounds, floor(len(seen) / rounds * 1e6 + 0.5) / 1e6 as mean_confirmed, floor(len(seen) / frames * 1e6 + 0.5) / 1e6 as share_confirmed, floor(conf * 1e6 + 0.5) / 1e6 as reached,
+  (select count(*) from (select unnest(list_transform(best, lambda x: x.v)) intersect all select unnest(exact))) / {float(k)} as precision,
+  list_sum(list_transform(range(1, {k + 1}), lambda i: abs(best[i].v - exact[i]))) / {float(k)} as score_error
+from w, e)"""
+
+
+@query(" union all ".join(f"select * from {_swept(k, (0.6, 0.9), 16)}" for k in (1, 10)))
 def topk_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounds, confirmed frames, confidence and quality for several k and confidences."""
-    d = detections(spark, sf_dir)
-    table = U.from_detections(d.filter("class_name = 'R'"), F.lit(0.5))
-    counts = _counts(spark, sf_dir)
+    table, counts = _uncertain(spark, sf_dir)
     truth = [(r.frame_id, float(r.n)) for r in T.top(counts, 10).collect()]
-    return sweep(spark, table, table_confirmer(counts), truth, (1, 10), (0.6, 0.9), batch=128)
+    rows = sweep(spark, table, table_confirmer(counts), truth, (1, 10), (0.6, 0.9), batch=16)
+    return rows.select("k", "confidence", "n_rounds", *(quantised(F.col(c)).alias(c) for c in ("mean_confirmed", "share_confirmed", "reached")), "precision", "score_error")
 
 
 @query(f"""
