@@ -90,12 +90,17 @@ def mixture_pdf(parts: Column, x: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, p: s + p.pi * normal_pdf(x, p.mu, p.sigma))
 
 
+def mixture_draw(parts: Column, u: Column, z: Column) -> Column:
+    """The number that a uniform u and a standard normal z make: of the part whose cumulative weight first reaches u (else the last), mu + sigma z."""
+    start = F.struct(u.alias("left"), F.lit(-1).alias("found"), F.lit(0).alias("i"))
+    chosen = F.aggregate(parts, start, lambda s, p: F.struct((s["left"] - p.pi).alias("left"), F.when((s["found"] < 0) & (s["left"] <= p.pi), s["i"]).otherwise(s["found"]).alias("found"), (s["i"] + 1).alias("i")))
+    part = F.get(parts, F.when(chosen["found"] < 0, F.size(parts) - 1).otherwise(chosen["found"]))
+    return part.mu + part.sigma * z
+
+
 def mixture_sample(parts: Column, seed: int) -> Column:
     """A draw: a part by its weight, then a normal number of it; the same for a seed and a dealing of rows."""
-    u = F.rand(seed)
-    chosen = F.aggregate(parts, F.struct(u.alias("left"), F.lit(-1).alias("i"), F.lit(0).alias("at")), lambda s, p: F.struct((s["left"] - p.pi).alias("left"), F.when((s.i < 0) & (s["left"] <= p.pi), s["at"]).otherwise(s.i).alias("i"), (s["at"] + 1).alias("at")))
-    part = F.get(parts, F.when(chosen.i < 0, F.size(parts) - 1).otherwise(chosen.i))
-    return part.mu + part.sigma * F.randn(seed + 1)
+    return mixture_draw(parts, F.rand(seed), F.randn(seed + 1))
 
 
 def linear(x: Column, weights: list[list[float]], bias: list[float]) -> Column:
@@ -134,3 +139,15 @@ def mean_count(pmf: Column) -> Column:
 def quantised(x: Column) -> Column:
     """To 6 decimals by a rule that other engines share."""
     return F.floor(x * 1e6 + 0.5).cast("double") / 1e6
+
+
+def linspace(low: float, high: float, n: int) -> Column:
+    """Array of n numbers at equal distances, both ends included."""
+    step = (high - low) / max(1, n - 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(float(low)) + i * F.lit(step))
+
+
+def reshaped(values: Column, width: int) -> Column:
+    """Array of rows of `width` values."""
+    rows = F.sequence(F.lit(0), F.ceil(F.size(values) / width).cast("int") - 1)
+    return F.transform(rows, lambda i: F.slice(values, i * width + 1, F.lit(width)))

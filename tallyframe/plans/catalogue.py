@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boxes, counts, distributions, ranking, sequences  # noqa: F401
+from . import boxes, counts, distributions, files, ranking, sequences  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

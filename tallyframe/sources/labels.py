@@ -33,7 +33,12 @@ def whole_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def detection_files(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each line of a folder's files, one for each frame, whose name tells it."""
-    own = whole_texts(spark, folder).select(X.frame_id(F.col("path")).alias("frame_id"), F.posexplode(X.lines(F.col("text"))).alias("rank", "line"))
+    return parsed_detections(whole_texts(spark, folder))
+
+
+def parsed_detections(files: DataFrame) -> DataFrame:
+    """frame_id, rank and the fields of each line of files (path, text)."""
+    own = files.select(X.frame_id(F.col("path")).alias("frame_id"), F.posexplode(X.lines(F.col("text"))).alias("rank", "line"))
     parts = F.split("line", ",")
     cast = lambda i, c: F.get(parts, F.lit(i)).cast("double").cast("int" if c == "class_id" else "double").alias(c)
     return own.select("frame_id", "rank", *(cast(i, c) for i, c in enumerate(DETECTION)))
@@ -41,7 +46,12 @@ def detection_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def truth_files(spark: SparkSession, folder: str) -> DataFrame:
     """frame_id, rank, class_id, xc, yc, w, h of files of normalised boxes."""
-    own = whole_texts(spark, folder).select(X.frame_id(F.col("path")).alias("frame_id"), F.posexplode(X.lines(F.col("text"))).alias("rank", "line"))
+    return parsed_truth(whole_texts(spark, folder))
+
+
+def parsed_truth(files: DataFrame) -> DataFrame:
+    """The same of files (path, text)."""
+    own = files.select(X.frame_id(F.col("path")).alias("frame_id"), F.posexplode(X.lines(F.col("text"))).alias("rank", "line"))
     parts = F.split(F.trim("line"), r"\s+")
     return own.select("frame_id", "rank", F.get(parts, F.lit(0)).cast("int").alias("class_id"), *(F.get(parts, F.lit(i)).cast("double").alias(c) for i, c in enumerate(("xc", "yc", "w", "h"), 1)))
 
@@ -95,8 +105,9 @@ def timing_text(seconds: float) -> str:
 
 
 def timings(spark: SparkSession, path: str) -> DataFrame:
-    """baseline and ours, the seconds of inference, from nested JSON."""
-    return spark.read.schema("baseline struct<inference:double>, ours struct<inference:double>").json(path, multiLine=True).select(F.col("baseline.inference").alias("baseline"), F.col("ours.inference").alias("ours"))
+    """baseline and ours, the seconds of inference, from nested JSON records."""
+    own = records(spark, path, "baseline struct<inference:double>, ours struct<inference:double>")
+    return own.select(F.col("baseline.inference").alias("baseline"), F.col("ours.inference").alias("ours"))
 
 
 def settings(text: str) -> dict[str, str]:

@@ -45,6 +45,20 @@ def carried(frames: DataFrame, threshold: float) -> DataFrame:
     return frames.select("frame_id", "video", "value").groupBy("video").applyInPandasWithState(step, "frame_id long, video long, value double, carried double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def drained(df: DataFrame, path: str, mode: str) -> None:
+    """Run a stream over what there is and leave its result as Parquet: the last whole one (`complete`), or all that came (`append`).
+
+    Each micro-batch has its own folder, so one that is written again after a failure replaces itself.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        own = path if mode == "complete" else f"{path}/batch={number}"
+        batch.write.mode("overwrite").parquet(own)
+
+    query = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def upsert(texts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write frame texts to a keyed store; of a frame written again the last text counts, so repeated batches do no harm."""
     return texts.writeStream.foreachBatch(lambda df, _: sinks.write_store(df, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -92,3 +92,22 @@ def test_samples_are_reproducible(spark):
     b = {r.frame_id for r in splits.sample(df.repartition(7), 20, 1, F.col("frame_id") % 2 == 0).collect()}
     assert a == b and len(a) == 20 and all(x % 2 == 0 for x in a)
     assert a != {r.frame_id for r in splits.sample(df, 20, 2, F.col("frame_id") % 2 == 0).collect()}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 1024])
+def test_ranges_don_t_change_what_is_carried_or_counted(spark, monkeypatch, parts):
+    monkeypatch.setattr(V, "PARTS", parts)
+    rng = random.Random(parts)
+    rows = [(rng.choice([1, 1, 1, None]), i, rng.choice([None, None, float(i)]), rng.choice([0, 0, 1])) for i in rng.sample(range(1000), 120)]
+    df = spark.createDataFrame(rows, "video long, i long, v double, f int")
+    last, filled, island, runs = {}, {}, {}, {}
+    for video, i, v, f in sorted(rows, key=lambda r: r[1]):
+        last[video] = last.get(video) if v is None else v
+        filled[i] = last[video]
+        island[video] = island.get(video, 0) + f
+        runs.setdefault(video, {}).setdefault(island[video], 0)
+        runs[video][island[video]] += 1
+    assert {r.i: r.filled for r in V.forward_filled(df, "v", ["video"], ["i"]).collect()} == filled
+    want = {video: (max([n for k, n in own.items() if k < max(own)], default=0), own[max(own)]) for video, own in runs.items()}
+    assert {r.video: (r.max_skip, r.open_run) for r in V.skip_runs(df, F.col("f") == 1, ["video"], ["i"]).collect()} == want
+    assert V.forward_filled(df.limit(0), "v", ["video"], ["i"]).count() == 0 == V.skip_runs(df.limit(0), F.col("f") == 1, ["video"], ["i"]).count()
