@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shipped
+from ..session import passing, removed, shared_dir, shipped, shuffles_cleaned, written
+
+__all__ = ["bounded", "hex64", "keyed_text", "passing", "raw_texts", "removed", "shared_dir", "shuffles_cleaned", "slices", "table", "unused", "written"]
 
 #: Text bytes that one step of a Python kernel takes at once; a longer single text is a step of its own.
 SLICE_BYTES = 4 << 20
@@ -60,60 +60,6 @@ def raw_texts(batch: pa.RecordBatch, column: str | int = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one that the session names; only a local session may leave it unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
-    """Within, an execution's shuffle files go as it ends; the session's own setting comes back after."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write as Parquet to the shared folder and read again, safe against lost executors.
-
-    The folder goes by `removed`, at the latest when the application ends.
-    """
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
-    with shuffles_cleaned(spark):
-        df.write.parquet(path)
-    passing(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _hadoop(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def passing(spark: SparkSession, path: str) -> None:
-    """Have a folder deleted when the application ends."""
-    fs, p = _hadoop(spark, path)
-    fs.mkdirs(p)
-    fs.deleteOnExit(p)
-
-
-def removed(spark: SparkSession, *frames: DataFrame | str) -> None:
-    """Delete what `written` made, or folders, once nothing reads them any more."""
-    for x in frames:
-        for path in {x} if isinstance(x, str) else {f.rsplit("/", 1)[0] for f in x.inputFiles()}:
-            fs, p = _hadoop(spark, path)
-            fs.delete(p, True)
-
-
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores put in front until the input has no such column."""
     have, out = {c.lower() for c in df.columns}, []
