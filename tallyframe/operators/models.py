@@ -95,6 +95,11 @@ def padded_square(pixels: np.ndarray, value: float = 0.0) -> np.ndarray:
     return np.pad(pixels, (*pad, (0, 0)), constant_values=value)
 
 
+def random_side(rng: np.random.Generator, smallest: int = 288, largest: int = 448) -> int:
+    """A side from smallest to largest in steps of 32, to resize a batch's images to."""
+    return int(rng.choice(np.arange(smallest, largest + 1, 32)))
+
+
 def flipped(pixels: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An image and its boxes (xc, yc, w, h normalised) mirrored left to right."""
     out = boxes.copy()

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import probability as P
 from ..functions import text as X
 from ..functions.probability import quantised
-from ..operators import flow, labelling, matching, models
+from ..operators import flow, labelling, matching, models, training
 from ..operators import counting as C
 from ..session import passing, shared_dir
 from ..sources import images, labels, sinks
@@ -232,3 +233,42 @@ def stream_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "events").repartitionByRange(4, "event_id").write.parquet(source)
     S.drained(S.carried(S.stream(spark, source, 4), 30.0), out, "append")
     return spark.read.parquet(out).drop("batch")
+
+
+_ANCHORS = [(1.0, 2.0), (3.0, 1.5), (4.0, 4.0)]
+_TRUTH = """
+with b as (select l_orderkey as frame_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as rank, l_linenumber % 3 as class_id,
+  least(l_quantity / 51, 0.99) * 8 as gx, l_tax / 0.081 * 8 as gy, l_linenumber / 1e1 * 8 as gw, l_quantity / 100 * 8 as gh from lineitem),
+a(anchor, aw, ah) as (values (0, 1e0, 2e0), (1, 3e0, 1.5e0), (2, 4e0, 4e0)),
+o as (select b.*, anchor, aw, ah, least(aw, gw) * least(ah, gh) / (aw * ah + 1e-16 + gw * gh - least(aw, gw) * least(ah, gh)) as iou from b, a),
+m as (select *, row_number() over (partition by frame_id, rank order by iou desc, anchor) as nth, cast(floor(gx) as integer) as cell_x, cast(floor(gy) as integer) as cell_y from o),
+t as (select * from (select *, row_number() over (partition by frame_id, anchor, cell_x, cell_y order by rank desc) as last from m where nth = 1) where last = 1)
+"""
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = detections(spark, sf_dir)
+    rank = F.row_number().over(W.partitionBy("frame_id").orderBy("order"))
+    return d.select("frame_id", rank.alias("rank"), (F.col("line") % 3).alias("class_id"), F.least(F.col("xc") * 50 / 51, F.lit(0.99)).alias("xc"), (F.col("yc") * 0.08 / 0.081).alias("yc"), "w", "h")
+
+
+@query(_TRUTH + "select frame_id, anchor, cell_x, cell_y, class_id, floor((gx - floor(gx)) * 1e5 + 0.5) / 1e5 as tx, floor((gy - floor(gy)) * 1e5 + 0.5) / 1e5 as ty, floor(ln(gw / aw + 1e-16) * 1e5 + 0.5) / 1e5 as tw, floor(ln(gh / ah + 1e-16) * 1e5 + 0.5) / 1e5 as th from t")
+def anchor_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors and cells of boxes on a grid of 8."""
+    out = training.assigned(_truth(spark, sf_dir), _ANCHORS, 8)
+    return out.select("frame_id", "anchor", "cell_x", "cell_y", "class_id", *((F.floor(F.col(c) * 1e5 + 0.5).cast("double") / 1e5).alias(c) for c in ("tx", "ty", "tw", "th")))
+
+
+@query(_TRUTH + "select distinct frame_id, anchor, cell_x, cell_y from m where nth = 1 or iou > 0.5")
+def anchor_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places that don't count as empty."""
+    return training.ignored(_truth(spark, sf_dir), _ANCHORS, 8, 0.5)
+
+
+@query("""
+with p as (select event_id as frame_id, row_number() over (order by event_id) - 1 as pos from events)
+select frame_id, pos // 8 as batch, pos % 8 as sample, cast(320 + 32 * (cast('0x' || substr(md5((pos // 8 // 10) || ':5'), 1, 8) as bigint) % 7) as integer) as side,
+  cast('0x' || substr(md5(frame_id || ':6'), 1, 8) as bigint) % 2 = 1 as flipped from p""")
+def training_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 8 frames, their image sizes, and which frames are mirrored."""
+    return training.batches(frames(spark, sf_dir), 8, 5)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import shipped
 from .labels import DETECTION
 
 
@@ -52,3 +57,29 @@ def truth_lines(boxes: DataFrame) -> DataFrame:
     line = F.concat_ws(" ", F.lit("0"), *(F.col(c).cast("string") for c in ("xc", "yc", "w", "h")))
     own = boxes.select("frame_id", F.struct("rank", line.alias("line")).alias("r")).groupBy("frame_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
     return own.select("frame_id", F.array_join(F.transform("rs", lambda r: r.line), "\n").alias("text"))
+
+
+def write_files(df: DataFrame, folder: str) -> DataFrame:
+    """Write `content` of each row as the file `name` of a folder that executors reach; (name, written) tells which could not be."""
+    shipped(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        for b in batches:
+            done = []
+            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
+                try:
+                    with fs.open_output_stream(f"{path}/{name}") as out:
+                        out.write(content or b"")
+                    done.append(True)
+                except OSError:
+                    done.append(False)
+            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(done, pa.bool_())], ["name", "written"])
+
+    return df.select("name", "content").mapInArrow(run, "name string, written boolean")
+
+
+def log_scalars(spark: SparkSession, path: str, step: int, values: dict[str, float]) -> None:
+    """Add a step's values to a table of tag, value and step."""
+    spark.createDataFrame([(k, float(v), step) for k, v in values.items()], "tag string, value double, step long").coalesce(1).write.mode("append").parquet(path)
