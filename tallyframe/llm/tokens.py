@@ -123,6 +123,7 @@ class Encoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.tokenize = self.tokenizer.model.tokenize
         told = json.loads(self.tokenizer.to_str())
         splits = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.by_words = (
@@ -146,7 +147,7 @@ class Encoder:
 
     def _model(self, part: str) -> list[int]:
         named = part if part.isascii() else "".join([ALPHABET[b] for b in part.encode()])
-        return [x.id for x in self.tokenizer.model.tokenize(named)]
+        return [x.id for x in self.tokenize(named)]
 
     def learn(self, words: list[str]) -> list[list[int]]:
         """The ids of each word."""
@@ -198,15 +199,18 @@ class Encoder:
         ids, begin = self.ids, self.begin
         if len(unknown := np.flatnonzero(place < 0)):
             new = [words[i] for i in unknown.tolist()]
-            short = np.array([len(w) <= LONGEST for w in new])
-            order = np.concatenate([np.flatnonzero(short), np.flatnonzero(~short)])  # those to keep first
-            new = [new[i] for i in order.tolist()]
-            found, kept = self.learn(new), int(short.sum())
-            place[unknown[order]] = len(begin) - 1 + np.arange(len(new))
-            begin = np.concatenate([begin, begin[-1] + np.cumsum([len(x) for x in found])])
+            kept = len(new)
+            if max(map(len, new)) > LONGEST:  # those to keep go first
+                long = np.array([len(w) > LONGEST for w in new])
+                order, kept = np.argsort(long, kind="stable"), int((~long).sum())
+                new, unknown = [new[i] for i in order.tolist()], unknown[order]
+            found = self.learn(new)
+            sizes = np.cumsum(list(map(len, found)))
+            place[unknown] = len(begin) - 1 + np.arange(len(new))
+            begin = np.concatenate([begin, begin[-1] + sizes])
             ids = np.concatenate([ids, np.array(list(chain.from_iterable(found)), np.uint32)])
             self.known.update(zip(new[:kept], range(len(self.begin) - 1, len(self.begin) - 1 + kept), strict=True))
-            self.n_bytes += sum(map(len, new[:kept])) + 4 * sum(map(len, found[:kept]))
+            self.n_bytes += sum(map(len, new[:kept])) + 4 * int(sizes[kept - 1]) * bool(kept)
             self.begin = begin[: len(self.begin) + kept]
             self.ids = ids[: int(self.begin[-1])]
         which = place[coded.indices.to_numpy()]
