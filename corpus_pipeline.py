@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import decontaminate, langid, pieces, secrets, simhash
-from tallyframe.llm.common import table, written
+from tallyframe.llm.common import removed, table, written
 
 #: Documents whose language has a mean marginal below this are rejected, with those that have no letter.
 LEAST_SCORE = 0.35
@@ -58,7 +58,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if done is not None:
+            removed(spark, done)
+        done = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -389,8 +389,9 @@ def _same(df: DataFrame, extra: str) -> str:
 
 
 def encode(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", model: str | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """The input's columns and `out_col`, the sampled ids."""
+    """The input's columns and `out_col`, the sampled ids; a column of that name is replaced."""
     bounded(df.sparkSession)
+    df = df.drop(out_col)
     key, text = df.columns.index(key_col), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,8 +407,9 @@ def encode(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", out_c
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str | None = None) -> DataFrame:
-    """The input's columns and `out_col`, the text of the ids."""
+    """The input's columns and `out_col`, the text of the ids; a column of that name is replaced."""
     bounded(df.sparkSession)
+    df = df.drop(out_col)
     at = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

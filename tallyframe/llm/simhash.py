@@ -271,7 +271,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     text's hash is smallest goes before, of wholly equal ones the first.
     """
     bounded(df.sparkSession)
-    fp, row = unused(df, "fp", "row")
+    fp, row, stays = unused(df, "fp", "row", "kept")
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,6 +283,6 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), F.col(row).alias("row"))
     entries = written(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(rank).alias("best")), "entries")
     joined = labelled(entries)
-    kept = written(joined.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias("kept")), "kept")
+    kept = written(joined.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias(stays)), "kept")
     removed(df.sparkSession, entries, joined)
-    return rows.join(kept, F.col(row) == F.col("kept"), "left_semi").select(*df.columns)
+    return rows.join(kept, F.col(row) == F.col(stays), "left_semi").select(*df.columns)
