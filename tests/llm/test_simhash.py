@@ -60,7 +60,7 @@ def dense(rng, n):
     return sorted(base | x << 4 for x in rng.sample(range(1 << 12), n))
 
 
-@pytest.mark.parametrize(("n", "spread", "block", "short"), [(300, 4, 512, 32), (300, 4, 512, 4), (300, 4, 40, 32), (260, 6, 8, 4), (200, 9, 16, 8), (300, 0, 16, 4), (300, 0, 2, 2)])
+@pytest.mark.parametrize(("n", "spread", "block", "short"), [(300, 4, 512, 32), (300, 4, 512, 4), (300, 4, 40, 32), (260, 6, 8, 4), (200, 9, 16, 8), (300, 0, 16, 4), (60, 0, 4, 2)])
 def test_links_connect_the_same_classes_however_lists_are_split(spark, monkeypatch, n, spread, block, short):
     monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "SHORT", short)
