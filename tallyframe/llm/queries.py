@@ -12,7 +12,7 @@ from .langid import op10_language_id
 from .pieces import op2_sentencepiece
 from .quality import op3_quality_rules, quality_base_columns
 from .secrets import op1_secret_scan, secret_base_spans
-from .simhash import fingerprint_classes, op8_simhash
+from .simhash import op8_simhash
 from .substring import op5_substring_dedup
 from .suffixarray import op4_suffix_array_dedup
 from .tokens import op6_token_file
@@ -34,7 +34,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         # those parts of operators without SQL that SQL can express
         secret_base_spans,
         quality_base_columns,
-        fingerprint_classes,
     )
 }
 
@@ -42,8 +41,8 @@ ORACLE_SQL: dict[str, str] = {
     "op4_suffix_array_dedup": suffixarray.ORACLE,
     "op5_substring_dedup": substring.ORACLE,
     "op7_benchmark_decontamination": decontaminate.ORACLE,
+    "op8_simhash": simhash.ORACLE,
     "op9_url_filters": urls.oracle(),
     "secret_base_spans": secrets.BASE_ORACLE,
     "quality_base_columns": quality.BASE_ORACLE,
-    "fingerprint_classes": simhash.CLASSES_ORACLE,
 }

@@ -247,21 +247,53 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-#: Classes of given fingerprints by DuckDB: the first 60 bits of a text's MD5 digest, with two bits turned by the id, so that copies differ in up to 4 bits.
-CLASSES_ORACLE = """
-with recursive d as (select doc_id, xor(xor(cast('0x' || substr(md5(coalesce(text, '')), 1, 15) as bigint), 1::bigint << cast(doc_id % 7 as integer)), 1::bigint << cast(8 + doc_id % 11 as integer)) as fp from documents),
-e as (select a.doc_id as a, b.doc_id as b from d a join d b on bit_count(xor(a.fp, b.fp)) <= 3),
-r as (select a as node, a as seen from e union select r.node, e.b from r join e on r.seen = e.a)
-select node as doc_id, min(seen) as component_id from r group by 1
-"""
+#: The primes of XXH64.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _xxh64_sql() -> str:
+    """XXH64 of the bytes in list b (numbers of 128 bits, of which there are n), as the algorithm is published."""
+    p1, p2, p3, p4, p5 = (f"{p}::uhugeint" for p in PRIMES)
+    whole = "18446744073709551616::uhugeint"
+    mod = lambda x: f"(({x}) % {whole})"
+    turned = lambda x, r: f"list_transform([{x}], lambda v: (v * {1 << r}::uhugeint) % {whole} + v // {1 << 64 - r}::uhugeint)[1]"
+    lane = lambda at, k: "(" + " + ".join(f"b[{at} + {i + 1}] * {256**i}::uhugeint" for i in range(k)) + ")"
+    mixed = lambda acc, x: mod(f"{turned(mod(f'{acc} + {mod(f"{x} * {p2}")}'), 31)} * {p1}")
+    start = [(SEED + PRIMES[0] + PRIMES[1]) % 2**64, (SEED + PRIMES[1]) % 2**64, SEED, (SEED - PRIMES[0]) % 2**64]
+    sums = [f"list_reduce(range(0, n // 32), lambda a, i: {mixed('a', lane(f'32 * i + {8 * k}', 8))}, {v}::uhugeint)" for k, v in enumerate(start)]
+    steps = [
+        "select id, n, b, " + ", ".join(f"{x} as v{k}" for k, x in enumerate(sums)) + " from bytes",
+        "select *, " + mod(" + ".join(turned(f"v{k}", r) for k, r in enumerate((1, 7, 12, 18)))) + " as h from ({})",
+        *(f"select * replace ({mod(f'xor(h, {mixed("0::uhugeint", f"v{k}")}) * {p1} + {p4}')} as h) from ({{}})" for k in range(4)),
+        f"select id, n, b, (case when n >= 32 then h else {(SEED + PRIMES[4]) % 2**64}::uhugeint end + n::uhugeint) % {whole} as h from ({{}})",
+        f"select * replace (list_reduce(range(n // 32 * 4, n // 8), lambda a, i: {mod(f'{turned(f"xor(a, {mixed('0::uhugeint', lane('8 * i', 8))})", 27)} * {p1} + {p4}')}, h) as h) from ({{}})",
+        f"select * replace (case when n % 8 >= 4 then {mod(f'{turned(f"xor(h, {mod(f'{lane("n // 8 * 8", 4)} * {p1}')})", 23)} * {p2} + {p3}')} else h end as h) from ({{}})",
+        f"select * replace (list_reduce(range(n // 4 * 4, n), lambda a, i: {mod(f'{turned(f"xor(a, {mod(f'b[i + 1] * {p5}')})", 11)} * {p1}')}, h) as h) from ({{}})",
+        f"select * replace ({mod(f'xor(h, h // {1 << 33}::uhugeint) * {p2}')} as h) from ({{}})",
+        f"select * replace ({mod(f'xor(h, h // {1 << 29}::uhugeint) * {p3}')} as h) from ({{}})",
+        f"select id, xor(h, h // {1 << 32}::uhugeint) as h from ({{}})",
+    ]
+    out = steps[0]
+    for step in steps[1:]:
+        out = step.format(out)
+    return out
 
 
-def fingerprint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The classes of given fingerprints, by the index and the components of op8."""
-    text = F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 15), 16, 10).cast("long")
-    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
-    own = table(spark, sf_dir, "documents").select("doc_id", text.bitwiseXOR(bit(F.col("doc_id") % 7)).bitwiseXOR(bit(F.col("doc_id") % 11 + 8)).alias("fp"))
-    return classed(own).select("doc_id", "component_id")
+#: The same rows by DuckDB: XXH64 in whole numbers, all pairs of documents; for small tables.
+ORACLE = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, array_to_string(w[i:i + 2], ' ') as shingle from w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as t(i) where len(w) > 0),
+ids as (select shingle, row_number() over () as id, hex(encode(shingle)) as x from (select distinct shingle from s)),
+bytes as (select id, length(x) // 2 as n, list_transform(range(0, length(x) // 2), lambda i: cast('0x' || x[2 * i + 1:2 * i + 2] as utinyint)::uhugeint) as b from ids),
+hashed as ({_xxh64_sql()}),
+each as (select doc_id, h::ubigint as h from s join ids using (shingle) join hashed using (id)),
+bits as (select doc_id, {" + ".join(f"case when 2 * sum((h >> {k}) & 1) > count(*) then {1 << k}::uhugeint else 0::uhugeint end" for k in range(64))} as fp from each group by 1),
+d as (select doc_id, coalesce(fp, 0::uhugeint)::ubigint as fp from documents left join bits using (doc_id)),
+e as (select a.doc_id as a, b.doc_id as b from d a join d b on bit_count(xor(a.fp, b.fp)::bit) <= {BITS}),
+r as (select a as node, a as seen from e union select r.node, e.b from r join e on r.seen = e.a),
+c as (select node, min(seen) as component_id from r group by 1)
+select doc_id, format('{{:016x}}', fp) as fingerprint, component_id from d join c on doc_id = node
+"""
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
