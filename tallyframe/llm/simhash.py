@@ -38,6 +38,8 @@ BITS = 3
 PLANES = [p for p in combinations(range(8), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
 MASKS = [sum(0xFF << 8 * p for p in plane) for plane in PLANES]
 MIN_SHARED = 8 - BITS
+#: Numbers of rows that are broadcast, 8 bytes each.
+GONE = 1 << 20
 #: Fingerprints of a list, and those of a list whose pairs are tallied together with other lists'.
 BLOCK, SHORT = 512, 32
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -300,10 +302,11 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """One row, all columns as they were, of each class of near-duplicates: that of the smallest id (a null one only where there is no other).
 
     Rows are numbered as they are written, so classes are of rows, whatever their ids: of rows of one id the one whose
-    text's hash is smallest goes before, of wholly equal ones the first.
+    text's hash is smallest goes before, of wholly equal ones the first. The numbers of the rows that go are broadcast if
+    they are at most GONE, else joined.
     """
     bounded(df.sparkSession)
-    fp, row, stays = unused(df, "fp", "row", "kept")
+    fp, row, number = unused(df, "fp", "row", "gone")
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,6 +318,10 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), F.col(row).alias("row"))
     entries = written(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(rank).alias("best")), "entries")
     joined = labelled(entries)
-    kept = written(joined.groupBy("label").agg(F.min("best").alias("best")).select(F.col("best.row").alias(stays)), "kept")
-    removed(df.sparkSession, entries, joined)
-    return rows.join(kept, F.col(row) == F.col(stays), "left_semi").select(*df.columns)
+    best = joined.groupBy("label").agg(F.min("best").alias("first")).select("label", F.col("first.row").alias("first"))
+    named = written(joined.join(best, "label").select(F.col("fp").alias("fp_of"), "first"), "named")
+    narrow = rows.select(F.col(row).alias(number), F.col(fp).alias("fp"))
+    gone = written(narrow.join(named, F.col("fp") == F.col("fp_of")).filter(F.col(number) != F.col("first")).select(number), "gone")
+    removed(df.sparkSession, entries, joined, named)
+    few = gone.count() <= GONE
+    return rows.join(F.broadcast(gone) if few else gone, F.col(row) == F.col(number), "left_anti").select(*df.columns)

@@ -127,7 +127,9 @@ def test_rows_without_an_own_id_lose_no_unique_text(make):
         assert all(i == least[t] for i, t in kept)
 
 
-def test_columns_with_the_names_used_inside(spark):
-    df = spark.createDataFrame([(1, "a b c d", 5, 6, 7, 8, 9), (2, "a b c d", 5, 6, 7, 8, 9), (3, "other words here", 5, 6, 7, 8, 9)], "doc_id long, text string, fp int, row int, kept int, best int, label int")
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_columns_with_the_names_used_inside(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "GONE", most)  # broadcast or joined
+    df = spark.createDataFrame([(1, "a b c d", 5, 6, 7, 8, 9), (2, "a b c d", 5, 6, 7, 8, 9), (3, "other words here", 5, 6, 7, 8, 9)], "doc_id long, text string, fp int, row int, gone int, first int, fp_of int")
     kept = simhash.one_of_each(df)
     assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c d", 5, 6, 7, 8, 9), (3, "other words here", 5, 6, 7, 8, 9)]
