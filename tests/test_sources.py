@@ -1,4 +1,6 @@
 import json
+import os
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import text as X
 from tallyframe.operators import models
+from tallyframe.session import removed, shared_dir, written
 from tallyframe.sources import labels, sinks
 
 LINE = "121.61,96.68,181.47,365.60,0.99994,0.99997,0.0"
@@ -120,3 +123,24 @@ def test_every_record_is_read_back(spark, tmp_path):
     table = spark.createDataFrame([(i, [0.25, 1.0], f"{i}.jpg") for i in range(10)], labels.UNCERTAIN)
     sinks.write_records(table.coalesce(1), str(tmp_path / "u"))
     assert sorted(labels.uncertain_table(spark, str(tmp_path / "u")).collect()) == sorted(table.collect())
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    def session(master, named):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: named), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master))
+
+    assert shared_dir(session("spark://host:7077", "hdfs://x/shared/"), "t").startswith("hdfs://x/shared/t-")
+    assert shared_dir(session("local[4]", None), "t").startswith("/tmp/")
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://host:7077", None), "t")
+
+
+def test_scratch_tables_are_removed_and_settings_come_back(spark, tmp_path):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    df = written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "scratch")
+    assert df.count() == 7 and spark.conf.get(key) == before
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert os.path.isdir(folder)
+    removed(spark, df)
+    assert not os.path.exists(folder)
