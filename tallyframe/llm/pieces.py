@@ -35,16 +35,27 @@ SLICE = 2 << 20
 #: Chunks that are learned at once, and their bytes.
 LEARN, LEARN_BYTES = 10_000, 128 << 10
 #: Chunks whose tables a worker keeps, and their bytes; beyond that it goes on with the most used third, without effect on results.
-CACHE_CHUNKS, CACHE_BYTES = 150_000, 1_500_000
+CACHE_CHUNKS, CACHE_BYTES = 300_000, 3_000_000
 #: Bytes of a chunk whose table is kept, and of a section of longer ones.
 LONG, SECTION = 512, 1 << 15
 #: Parts of one that logarithms have, and integers that stand for 1; the tables of e to the -i / UNIT and of e to the i / UNIT.
 UNIT, ONE = 4096, 1 << 24
 FALL = np.floor(np.exp(-np.arange(math.ceil(UNIT * math.log(ONE)) + 2) / UNIT) * ONE).astype(np.int64)
 RISE = np.floor(np.exp(np.arange(UNIT * 5) / UNIT) * ONE).astype(np.int64)
+#: The last place of RISE that isn't above each multiple of CELL.
+CELL = ONE // UNIT
+CELLS = np.searchsorted(RISE, np.arange(0, int(RISE[-1]), CELL), "right") - 1
 G1, G2, G3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def risen(sums: np.ndarray) -> np.ndarray:
+    """The last place of RISE that isn't above each number, of ONE or more."""
+    out = CELLS[sums // CELL]
+    out += RISE[out + 1] <= sums  # a cell has no more than two places
+    out += RISE[out + 1] <= sums
+    return out
+
+
 def model_path(path: str | None) -> str:
     if path:
         return path
@@ -238,7 +249,7 @@ class Sampler:
             running = np.cumsum(whole)
             running -= np.repeat(running[begin] - whole[begin], count)
             sums = running[begin + count - 1]
-            total[t[begin]] = best - np.searchsorted(RISE, sums, "right") + 1
+            total[t[begin]] = best - risen(sums)
             threshold[a:b] = np.maximum((running << 32) // np.repeat(sums, count), 1)
         order = np.argsort(tail, kind="stable")
         origin = np.zeros(len(total), bool)
