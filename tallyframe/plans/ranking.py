@@ -100,7 +100,7 @@ s(rounds, seen, best, conf) as (
 
 
 @query(f"select frame_id, n from ({_COUNTS.format('R')}) order by n desc, frame_id limit 50")
-def topk_probabilistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topk_probabilistic_sure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With confidence 1 the answer is exact, though only frames that could be among the best are confirmed."""
     # a count can exceed what confidences of 0 allow, so at confidence 1 each detection is given the same chance
     table = U.from_detections(detections(spark, sf_dir), F.lit(0.5), keep=F.col("class_name") == "R")
@@ -108,6 +108,14 @@ def topk_probabilistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(zip(out.frames, map(int, out.values), strict=True)), "frame_id long, n long")
 
 
+@query(_search(20, 0.9, 0, 16) + "select x.f as frame_id, cast(x.v as bigint) as n from (select unnest(best) as x from (select best from s order by rounds desc limit 1))")
+def topk_probabilistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best frames with confidence 0.9."""
+    table, counts = _uncertain(spark, sf_dir)
+    out = T.probabilistic_top(table, table_confirmer(counts), 20, 0.9, 16)
+    return spark.createDataFrame(list(zip(out.frames, map(int, out.values), strict=True)), "frame_id long, n long")
+
+
 @query(_search(10, 0.99, 10, 16) + "select x.f as frame_id, cast(x.v as bigint) as n from (select unnest(best) as x from (select best from s order by rounds desc limit 1))")
 def topk_probabilistic_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10 frames more than 10 apart, with confidence 0.99."""
