@@ -70,7 +70,7 @@ class External:
     def __init__(self, folder: str | None):
         self.held: dict[str, pa.Buffer] = {}
         try:
-            self.fs, self.path = pyarrow.fs.FileSystem.from_uri(f"{folder}/{uuid.uuid4().hex}") if folder else (None, "")
+            self.fs, self.path = pyarrow.fs.FileSystem.from_uri(f"{folder.replace('s3a://', 's3://')}/{uuid.uuid4().hex}") if folder else (None, "")
         except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
             self.fs, self.path = None, ""
         if self.fs:

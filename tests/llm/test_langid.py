@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 from zlib import crc32
 
@@ -115,3 +116,11 @@ def test_training_sees_every_word_of_a_sampled_text():
     assert "zzyzx" in field.lexicon
     weights = field.weights[langid.BUCKETS + field.lexicon["zzyzx"]]
     assert weights[0] > weights[1] and not np.array_equal(weights, field.weights[langid.BUCKETS])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_held_out_accuracy_on_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    told = langid.op10_language_id(spark, "/root/testdata/sf0.01")
+    rows = docs.select("doc_id", "lang").join(told, "doc_id").filter("held_out and lang is not null and lang_pred != 'und'").collect()
+    assert len(rows) > 100 and sum(r.lang == r.lang_pred for r in rows) > 0.95 * len(rows)
