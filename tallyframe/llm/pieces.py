@@ -266,26 +266,23 @@ class Sampler:
         self.uses = np.concatenate([self.uses, np.zeros(len(chunks), np.int32)])
         self.states += len(total)
 
-    def learn_all(self, chunks: list[bytes]) -> None:
-        held, total = [], 0
-        for c in chunks:
-            if held and (len(held) >= LEARN or total + len(c) > LEARN_BYTES):
-                self.learn(held)
-                held, total = [], 0
-            held.append(c)
-            total += len(c)
-        if held:
-            self.learn(held)
+    def learn_all(self, chunks: list[bytes], size: np.ndarray) -> None:
+        """`learn` in parts of at most LEARN chunks and about LEARN_BYTES."""
+        ends, i = np.cumsum(size), 0
+        while i < len(chunks):
+            j = min(i + LEARN, max(i + 1, int(np.searchsorted(ends, ends[i] - size[i] + LEARN_BYTES, "right"))))
+            self.learn(chunks[i:j])
+            i = j
 
     def shrink(self) -> None:
         """Go on with the most used chunks, a third of what is kept at most."""
         names = list(self.known)
         most = np.argsort(-self.uses, kind="stable")[: CACHE_CHUNKS // 3]
         most = most[self.uses[most] > 1]
-        size = np.cumsum([len(names[i]) for i in most.tolist()])
-        kept = [names[i] for i in np.sort(most[size <= CACHE_BYTES // 3]).tolist()]
+        total = np.cumsum([len(names[i]) for i in most.tolist()])
+        kept = [names[i] for i in np.sort(most[total <= CACHE_BYTES // 3]).tolist()]
         self.clear()
-        self.learn_all(kept)
+        self.learn_all(kept, np.array([len(c) for c in kept], np.int64))
 
     def alone(self, chunk: np.ndarray, seed: np.uint64) -> np.ndarray:
         """The ids of one long chunk: forward by sections, of which only the costs that the next needs are kept, and backward with each filtered anew."""
@@ -347,9 +344,12 @@ class Sampler:
             self.shrink()
         coded = pa.Array.from_buffers(pa.binary(), len(seeds), [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(whole)]).dictionary_encode()
         which, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        short = np.array([len(c) <= LONG for c in chunks], bool)
-        self.learn_all([c for c, s in zip(chunks, short.tolist(), strict=True) if s and c not in self.known])
-        place = np.array([self.known.get(c, 0) if s else 0 for c, s in zip(chunks, short.tolist(), strict=True)], np.int64)
+        size, find = pa.compute.binary_length(coded.dictionary).to_numpy(), self.known.get
+        short = size <= LONG
+        place = np.fromiter([find(c, -1) for c in chunks], np.int64, len(chunks))
+        new = np.flatnonzero((place < 0) & short)
+        place[new] = len(self.known) + np.arange(len(new))
+        self.learn_all([chunks[i] for i in new.tolist()], size[new])
         self.uses[place[short]] += np.bincount(which, minlength=len(place)).astype(np.int32)[short]
         steps, drawn = np.zeros(len(seeds), np.int32), []
         alone = {i: self.alone(np.frombuffer(chunks[which[i]], np.uint8), seeds[i]) for i in np.flatnonzero(~short[which]).tolist()}
