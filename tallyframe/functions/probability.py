@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,26 +33,32 @@ def _ratio(table: tuple[tuple[float, ...], tuple[float, ...]], x: Column) -> Col
     return top / low
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f has it: as a variable, where an expression would be repeated."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _erfc_above(x: Column) -> Column:
     """The complementary error function from 0.46875 on."""
-    cut = F.floor(x * 16.0) / 16.0  # its square is exact, so the power loses nothing
-    power = F.exp(-cut * cut) * F.exp(-(x - cut) * (x + cut))
-    inverse = 1.0 / (x * x)
-    tail = (F.lit(1 / math.sqrt(math.pi)) - inverse * _ratio(TAIL, inverse)) / x
+    power = _once(F.floor(x * 16.0) / 16.0, lambda cut: F.exp(-cut * cut) * F.exp(-(x - cut) * (x + cut)))  # the cut's square is exact, so nothing is lost
+    tail = _once(1.0 / (x * x), lambda v: (F.lit(1 / math.sqrt(math.pi)) - v * _ratio(TAIL, v)) / x)
     return power * F.when(x <= 4.0, _ratio(ERFC, x)).otherwise(tail)
 
 
+def _by_size(x: Column, near: Callable[[Column, Column], Column], far: Callable[[Column, Column], Column]) -> Column:
+    """near(x, erf(x)) up to 0.46875, beyond that far(x, erfc(|x|))."""
+    whole = lambda v: F.when(F.abs(v) <= 0.46875, near(v, _once(v * v, lambda q: v * _ratio(ERF, q)))).otherwise(far(v, _once(F.abs(v), _erfc_above)))
+    return _once(x, whole)
+
+
 def erf(x: Column) -> Column:
     """To the last digits of a double; Spark has no built-in one."""
-    y = F.abs(x)
-    return F.when(y <= 0.46875, x * _ratio(ERF, x * x)).otherwise(F.signum(x) * (1.0 - _erfc_above(y)))
+    return _by_size(x, lambda v, e: e, lambda v, c: F.signum(v) * (1.0 - c))
 
 
 def erfc(x: Column) -> Column:
     """1 - erf(x), as exact where that is tiny."""
-    y = F.abs(x)
-    above = _erfc_above(y)
-    return F.when(y <= 0.46875, 1.0 - x * _ratio(ERF, x * x)).when(x > 0, above).otherwise(2.0 - above)
+    return _by_size(x, lambda v, e: 1.0 - e, lambda v, c: _once(c, lambda d: F.when(v > 0, d).otherwise(2.0 - d)))
 
 
 def normal_cdf(z: Column) -> Column:
