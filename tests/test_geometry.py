@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyframe.functions import geometry as G
@@ -100,3 +101,22 @@ def test_match_and_true_positives_over_frames(spark):
 def test_best_class(spark):
     score, place = M.best_class(F.array(F.lit(0.1), F.lit(0.7), F.lit(0.7)))
     assert tuple(spark.range(1).select(score, place).first()) == (0.7, 1)
+
+
+def test_sides_of_a_frame_meet_when_each_comes_from_its_own_window(spark):
+    """Both tables are already dealt by frame, by exchanges of unlike size that adaptive execution merges unlike."""
+
+    def boxes(n, *more):
+        x = F.floor(F.col("id") / 100) * 9.0
+        own = spark.range(0, 100 * n, 1, 3).select((F.col("id") % 100).alias("frame_id"), x.alias("x1"), F.lit(0.0).alias("y1"), (x + 2).alias("x2"), F.lit(2.0).alias("y2"), *more)
+        return own.withColumn("rank", F.row_number().over(W.partitionBy("frame_id").orderBy("x1")))
+
+    asked = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k"}
+    for key, value in asked.items():
+        spark.conf.set(key, value)
+    try:
+        found = M.match_boxes(boxes(20, F.rand(1).alias("prob")), boxes(1)).collect()
+    finally:
+        for key in asked:
+            spark.conf.unset(key)
+    assert len(found) == 2000 and sum(r.matched for r in found) == 100
