@@ -18,9 +18,14 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 ROWS = 10000
 
 
-def stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
-    """frame_id, class_name, value, ts and video of files of events as they arrive; `files` at a time bounds a micro-batch."""
-    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(folder)
+def stream(spark: SparkSession, folder: str, files: int | None = 1) -> DataFrame:
+    """frame_id, class_name, value, ts and video of files of events as they arrive.
+
+    `files` at a time bounds a micro-batch; they come by time of writing, which is no order among files of one write.
+    None takes all there are at once.
+    """
+    reader = spark.readStream.schema(EVENTS)
+    raw = (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(folder)
     return raw.select(F.col("event_id").alias("frame_id"), F.col("event_type").alias("class_name"), "value", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("video"))
 
 
@@ -33,25 +38,30 @@ def carried(frames: DataFrame, threshold: float) -> DataFrame:
     """Each frame with the value of its video's last key frame: a frame is a key if its value differs from that by `threshold` or more, and the first one is.
 
     A video's frames of a micro-batch come in any order and, where Arrow batches end, in several parts; they are put in
-    order together, so a task holds one video's frames of a micro-batch, 24 bytes each.
+    order together, so a task holds one video's frames of a micro-batch, 24 bytes each. A frame that comes in a later
+    micro-batch than a higher frame of its video is an error, as that one's value is out already.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        last, upto = state.get if state.exists else (None, None)
         pdf = pd.concat(list(parts), ignore_index=True).sort_values("frame_id", kind="stable")
+        if upto is not None and pdf.frame_id.iloc[0] < upto:
+            raise ValueError(f"video {key[0]}: frame {pdf.frame_id.iloc[0]} comes after frame {upto}; frames must come in order over micro-batches")
+        if pdf.frame_id.notna().any():
+            upto = int(pdf.frame_id.max())
         out = []
         for v in pdf.value:
             if last is None or abs(v - last) >= threshold:
                 last = v
             out.append(last)
         if last is not None:
-            state.update((last,))
+            state.update((last, upto))
         pdf["carried"] = out
         for s in range(0, len(pdf), ROWS):
             yield pdf.iloc[s : s + ROWS][["frame_id", "video", "value", "carried"]]
 
     shipped(frames.sparkSession)
-    return frames.select("frame_id", "video", "value").groupBy("video").applyInPandasWithState(step, "frame_id long, video long, value double, carried double", "last double", "append", GroupStateTimeout.NoTimeout)
+    return frames.select("frame_id", "video", "value").groupBy("video").applyInPandasWithState(step, "frame_id long, video long, value double, carried double", "last double, upto long", "append", GroupStateTimeout.NoTimeout)
 
 
 def drained(df: DataFrame, path: str, mode: str) -> None:

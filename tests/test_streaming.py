@@ -1,5 +1,10 @@
 from datetime import datetime
 
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql.readwriter import DataFrameWriter
+
+from tallyframe.plans import files
 from tallyframe.sources import sinks
 from tallyframe.streaming import frames as S
 
@@ -45,3 +50,33 @@ def test_upserts_are_idempotent(spark, tmp_path):
         S.upsert(texts, str(tmp_path / "store"), str(tmp_path / f"check{k}")).awaitTermination()
     assert sinks.store(spark, str(tmp_path / "store")).count() == 24
     assert sinks.lookup(spark, str(tmp_path / "store"), 5) == "click"
+
+
+def test_carried_whatever_the_files(spark, tmp_path, monkeypatch):
+    """The query gives the same rows however many files its events are in, and in whatever order they are written."""
+    data = [(i, datetime(2024, 1, 1), i % 2, float(i * 7 % 50), "click", "{}") for i in range(60)]
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame([(i, t, u, c, v, p) for i, t, u, v, c, p in data], S.EVENTS).write.parquet(str(tmp_path / "sf/events.parquet"))
+    write = DataFrameWriter.parquet
+
+    def backwards(self, path, *more, **options):
+        if "/stream-" not in path:
+            return write(self, path, *more, **options)
+        for i in range(55, -1, -5):
+            write(self._df.filter(f"event_id between {i} and {i + 4}").coalesce(1).write.mode("append"), path)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", backwards)
+    got = {r.frame_id: r.carried for r in files.stream_carried(spark, str(tmp_path / "sf")).collect()}
+    last, want = {}, {}
+    for i, _, u, v, *_ in data:
+        if u not in last or abs(v - last[u]) >= 30:
+            last[u] = v
+        want[i] = last[u]
+    assert got == want
+
+
+def test_late_frames_are_an_error(spark, tmp_path):
+    events(spark, tmp_path, rows()[10:])
+    events(spark, tmp_path, rows()[:10])
+    with pytest.raises(StreamingQueryException, match="must come in order"):
+        drained(S.carried(S.stream(spark, str(tmp_path)), 15.0), "late", "append")
