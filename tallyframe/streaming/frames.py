@@ -37,31 +37,38 @@ def windowed_counts(frames: DataFrame, length: str = "1 hour", late: str = "1 ho
 def carried(frames: DataFrame, threshold: float) -> DataFrame:
     """Each frame with the value of its video's last key frame: a frame is a key if its value differs from that by `threshold` or more, and the first one is.
 
-    A video's frames of a micro-batch come in any order and, where Arrow batches end, in several parts; they are put in
-    order together, so a task holds one video's frames of a micro-batch, 24 bytes each. A frame that comes in a later
-    micro-batch than a higher frame of its video is an error, as that one's value is out already.
+    As in SQL, a difference from or to NaN is more than any threshold and one from or to null is not, so a null that
+    comes first is carried on; frames without an id come last, those without a video are one. A video's frames of a
+    micro-batch come in any order and, where Arrow batches end, in several parts; they are put in order together, so a
+    task holds one video's frames of a micro-batch, 27 bytes each. A frame that comes in a later micro-batch than a
+    higher frame of its video is an error, as that one's value is out already.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, upto = state.get if state.exists else (None, None)
-        pdf = pd.concat(list(parts), ignore_index=True).sort_values("frame_id", kind="stable")
-        if upto is not None and pdf.frame_id.iloc[0] < upto:
-            raise ValueError(f"video {key[0]}: frame {pdf.frame_id.iloc[0]} comes after frame {upto}; frames must come in order over micro-batches")
-        if pdf.frame_id.notna().any():
-            upto = int(pdf.frame_id.max())
-        out = []
-        for v in pdf.value:
-            if last is None or abs(v - last) >= threshold:
-                last = v
-            out.append(last)
-        if last is not None:
-            state.update((last, upto))
-        pdf["carried"] = out
+        begun = state.exists
+        last, upto = state.get if begun else (None, None)
+        pdf = pd.concat(list(parts), ignore_index=True).sort_values(["no_frame_id", "frame_id"], kind="stable")
+        if not pdf.no_frame_id.iloc[0]:
+            if upto is not None and pdf.frame_id.iloc[0] < upto:
+                raise ValueError(f"video {key[0]}: frame {pdf.frame_id.iloc[0]} comes after frame {upto}; frames must come in order over micro-batches")
+            upto = int(pdf.frame_id[~pdf.no_frame_id].max())
         for s in range(0, len(pdf), ROWS):
-            yield pdf.iloc[s : s + ROWS][["frame_id", "video", "value", "carried"]]
+            part, out = pdf.iloc[s : s + ROWS], []
+            for v, missing in zip(part.value, part.no_value):
+                v = None if missing else v
+                if not begun or (v is not None and last is not None and not abs(v - last) < threshold):
+                    last, begun = v, True
+                out.append(last)
+            yield part.assign(carried=pd.Series(out, part.index, "float64"), no_carried=[v is None for v in out])
+        state.update((last, upto))
 
     shipped(frames.sparkSession)
-    return frames.select("frame_id", "video", "value").groupBy("video").applyInPandasWithState(step, "frame_id long, video long, value double, carried double", "last double, upto long", "append", GroupStateTimeout.NoTimeout)
+    # pandas has no null besides NaN, and no whole numbers beside it: nulls go in columns of their own
+    columns = {"frame_id": "long", "video": "long", "value": "double", "carried": "double"}
+    told = frames.select(*(x for c in list(columns)[:3] for x in (F.coalesce(c, F.lit(0)).alias(c), F.isnull(c).alias(f"no_{c}"))))
+    schema = ", ".join(f"{c} {t}, no_{c} boolean" for c, t in columns.items())
+    out = told.groupBy("video", "no_video").applyInPandasWithState(step, schema, "last double, upto long", "append", GroupStateTimeout.NoTimeout)
+    return out.select(*(F.when(~F.col(f"no_{c}"), F.coalesce(c, F.lit(float("nan"))) if t == "double" else F.col(c)).alias(c) for c, t in columns.items()))
 
 
 def drained(df: DataFrame, path: str, mode: str) -> None:

@@ -1,10 +1,11 @@
 from datetime import datetime
 
+import duckdb
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql.readwriter import DataFrameWriter
 
-from tallyframe.plans import files
+from tallyframe.plans import catalogue, files
 from tallyframe.sources import sinks
 from tallyframe.streaming import frames as S
 
@@ -80,3 +81,46 @@ def test_late_frames_are_an_error(spark, tmp_path):
     events(spark, tmp_path, rows()[:10])
     with pytest.raises(StreamingQueryException, match="must come in order"):
         drained(S.carried(S.stream(spark, str(tmp_path)), 15.0), "late", "append")
+
+
+@pytest.mark.parametrize("cuts", [[], [1], [1, 2, 5, 9]])
+def test_carried_nulls_and_nans_as_in_sql(spark, tmp_path, cuts):
+    nan, inf = float("nan"), float("inf")
+    values = {0: [None, 5.0, 90.0, nan, None], 1: [1.0, None, 20.0, nan, 21.0, None, 22.0, 40.0], 2: [nan, None, 3.0, inf, inf, 4.0], 3: [nan], 4: [None]}
+    data = sorted((i * 5 + u, u, v) for u, own in values.items() for i, v in enumerate(own))
+    for a, b in zip([0, *cuts], [*cuts, len(data)]):
+        events(spark, tmp_path, [(i, datetime(2024, 1, 1), u, v) for i, u, v in data[a:b]])
+    got = drained(S.carried(S.stream(spark, str(tmp_path)), 30.0), f"odd{len(cuts)}", "append")
+    with duckdb.connect() as con:
+        con.sql(f"create view events as select * from '{tmp_path}/*.parquet'")
+        told = con.sql(catalogue.ORACLE_SQL["stream_carried"]).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, told))
+
+
+def test_carried_without_ids_or_videos(spark, tmp_path):
+    """Ids beyond 2^53 stay whole beside null ones; frames without an id come last, and none without a video is lost."""
+    big = 2**53 + 1
+    events(spark, tmp_path, [(big + 2 * i if i < 3 else None, datetime(2024, 1, 1), u, 10.0 * (i + 1)) for u in (1, big) for i in range(4)] + [(i, datetime(2024, 1, 1), None, 50.0 * i) for i in range(3)])
+    got = drained(S.carried(S.stream(spark, str(tmp_path)), 30.0), "without", "append")
+    want = [(u, big + 2 * i if i < 3 else None, 40.0 if i == 3 else 10.0) for u in (1, big) for i in range(4)] + [(None, i, 50.0 * i) for i in range(3)]
+    assert sorted(repr((r.video, r.frame_id, r.carried)) for r in got) == sorted(map(repr, want))
+
+
+def test_carried_whatever_the_arrow_batches(spark, tmp_path):
+    """A video's frames are in several Arrow batches, each with frames of the whole range."""
+    data = [(i, datetime(2024, 1, 1), i % 2, float(i * 7 % 50)) for i in range(60)]
+    for k in range(4):
+        events(spark, tmp_path, data[k::4])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        got = {r.frame_id: r.carried for r in drained(S.carried(S.stream(spark, str(tmp_path), 4), 30.0), "batches", "append")}
+    finally:
+        spark.conf.set(key, before)
+    last, want = {}, {}
+    for i, _, u, v in data:
+        if u not in last or abs(v - last[u]) >= 30:
+            last[u] = v
+        want[i] = last[u]
+    assert got == want
